@@ -79,8 +79,9 @@ def trend_of_complete_months(trips: DataFrame, dataset: str = BOTH) -> DataFrame
     if name != BOTH:
         hit = hit & (F.col("taxi_type") == name)
     return (
-        trips.groupBy("file_month")
-        .agg(*key_figures(hit), _seen_on_both_sides().alias("complete"))
+        trips.withColumn("hit", hit)
+        .groupBy("file_month")
+        .agg(*key_figures(F.col("hit")), _seen_on_both_sides().alias("complete"))
         .where("complete")
         .withColumn("monat", calendar.month_text(F.col("file_month")))
         .drop("file_month", "complete")

@@ -20,11 +20,12 @@ from tripmill.operators.preview import raw_preview
 from tripmill.operators.selection import TripFilter, pickup
 from tripmill.sources.store import TripStore
 
+# The keys to summarise by. A group holds keys with few values together: hours
+# of a month (744), code x bin x passengers (7 x 31 x 10), zones (some hundred).
+# Fewer groups copy each trip less often, and no group grows with the trips.
 GROUPS = [
     ["tag", "stunde"],
-    ["payment_type"],
-    ["km_bin"],
-    ["passagiere"],
+    ["payment_type", "km_bin", "passagiere"],
     ["PULocationID"],
     ["DOLocationID"],
 ]
@@ -33,9 +34,8 @@ GROUPS = [
 def summarise(trips: DataFrame) -> DataFrame:
     """Counts and sums of filtered trips for each of GROUPS, in one pass.
 
-    An `of_<key>` column tells which group a row belongs to. A trip that a
-    metric leaves out has a NULL key there; those rows are dropped at the end,
-    when they are one row per group.
+    A column of_<first key> tells which group a row belongs to. A trip that a
+    metric leaves out has a NULL key there.
     """
     fare, tip = F.col("fare_amount"), F.col("tip_amount")
     keyed = trips.select(
@@ -74,7 +74,6 @@ def summarise(trips: DataFrame) -> DataFrame:
                 )
             ),
         )
-        .where(" OR ".join(f"(of_{lead} AND {lead} IS NOT NULL)" for lead in leads))
     )
 
 
@@ -98,13 +97,12 @@ def panels(
     pass over the trips runs now; the panels are lazy."""
     summary = _keep(trips.sparkSession, summarise(chosen.apply(trips)))
 
-    def group(lead: str) -> DataFrame:
-        return summary.where(F.col(f"of_{lead}"))
+    def counts(key: str, name: str) -> DataFrame:
+        lead = next(group[0] for group in GROUPS if key in group)
+        counted = summary.where(f"of_{lead} AND {key} IS NOT NULL")
+        return counted.groupBy(key).agg(F.sum("n").alias(name))
 
-    def counts(lead: str, name: str) -> DataFrame:
-        return group(lead).groupBy(lead).agg(F.sum("n").alias(name))
-
-    hours = group("tag")
+    hours = summary.where("of_tag")
     return {
         "kpis": hours.agg(
             F.coalesce(F.sum("n"), F.lit(0)).alias("total_trips"),
@@ -114,9 +112,7 @@ def panels(
             _mean("tip_amount").alias("avg_tip"),
         ),
         "daily_trips": counts("tag", "fahrten").orderBy("tag"),
-        "hourly_trips": hours.groupBy("stunde")
-        .agg(F.sum("n").alias("fahrten"))
-        .orderBy("stunde"),
+        "hourly_trips": counts("stunde", "fahrten").orderBy("stunde"),
         "payment_dist": metrics.payment_shares(counts("payment_type", "anzahl")),
         "distance_dist": counts("km_bin", "anzahl").orderBy("km_bin"),
         "top_pickup_zones": zone_ranks.rank_zones(

@@ -12,38 +12,71 @@ Spark's size threshold, and a key that holds many trips to its skew-join split.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tripmill.functions import calendar
-from tripmill.sources.schema import GREEN, TRIP_SCHEMA, YELLOW, raw_name
-
+from tripmill.sources.schema import TRIP_SCHEMA, raw_name
+
+# The columns read. Stating their types saves a footer read per query.
+TABLES = {
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+        "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+        "l_linestatus string, l_shipdate timestamp_ntz"
+    ),
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz, "
+        "o_orderpriority string"
+    ),
+    "customer": "c_custkey bigint, c_nationkey int",
+    "supplier": "s_suppkey bigint, s_nationkey int",
+    "nation": "n_nationkey int, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+}
+
+# Each trip column over the joined tables. An order's values are reduced to
+# order_code and order_month before the join, so little of orders moves.
+HOUR = "CAST((l_orderkey * 7 + l_linenumber * 5) % 24 AS INT)"
+PRICE = "l_extendedprice / 1000"
+TRIP_COLUMNS = {
+    "VendorID": "CAST(l_suppkey AS INT)",
+    "pickup_datetime": f"IF(l_orderkey % 101 = 0, NULL, l_shipdate + make_dt_interval(0, {HOUR}))",
+    "dropoff_datetime": f"l_shipdate + make_dt_interval(0, {HOUR} + 1)",
+    "passenger_count": "CAST(l_linenumber AS DOUBLE) + l_orderkey % 5 * 0.5D - 0.5D",
+    "trip_distance": "(l_quantity - 1) * 0.8D",
+    "payment_type": (
+        "CASE WHEN l_orderkey % 11 = 0 THEN 0 WHEN l_orderkey % 13 = 0 THEN 6 "
+        "WHEN l_orderkey % 17 = 0 THEN NULL ELSE order_code END"
+    ),
+    "fare_amount": (
+        "CASE WHEN l_orderkey % 19 = 0 THEN 0.0D "
+        f"WHEN l_orderkey % 23 = 0 THEN -{PRICE} ELSE {PRICE} END"
+    ),
+    "tip_amount": f"{PRICE} * l_discount",
+    "total_amount": f"{PRICE} * (1 + l_tax)",
+    "PULocationID": "IF(l_partkey % 50 = 0, NULL, s_nationkey)",
+    "DOLocationID": "IF(l_partkey % 47 = 0, NULL, c_nationkey)",
+    "taxi_type": "IF(l_linestatus = 'O', 'yellow', 'green')",
+    "file_month": "IF(l_orderkey % 7 = 0, order_month, trunc(l_shipdate, 'MM'))",
+}
 ORDER_LOOKUPS = {"payment_type", "file_month", "DOLocationID"}
 LOOKUPS = ORDER_LOOKUPS | {"PULocationID"}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _hours(count: Column) -> Column:
-    return F.make_dt_interval(hours=count.cast("int"))
-
-
-def _multiple(column: str, of: int) -> Column:
-    return F.col(column) % of == 0
+    return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _orders(spark: SparkSession, sf_dir: str, needed: set[str]) -> DataFrame:
-    """Order key and the looked-up values only, so little of orders moves."""
-    orders = _table(spark, sf_dir, "orders").select(
+    orders = _table(spark, sf_dir, "orders").selectExpr(
         "o_orderkey",
         "o_custkey",
-        F.substring("o_orderpriority", 1, 1).cast("bigint").alias("order_code"),
-        calendar.month_start(F.col("o_orderdate")).alias("order_month"),
+        "CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS order_code",
+        "trunc(o_orderdate, 'MM') AS order_month",
     )
     if "DOLocationID" in needed:
         customer = _table(spark, sf_dir, "customer")
-        orders = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"), "left")
+        orders = orders.join(customer, F.expr("o_custkey = c_custkey"), "left")
     return orders
 
 
@@ -63,49 +96,21 @@ def trips(spark: SparkSession, sf_dir: str, *lookups: str, month: str = "") -> D
     if bounds:
         first, following = bounds
         shipped = F.col("l_shipdate")
-        rows = rows.where((shipped > first - _hours(F.lit(24))) & (shipped < following))
+        rows = rows.where(
+            (shipped > first - F.expr("INTERVAL '1' DAY")) & (shipped < following)
+        )
     if needed & ORDER_LOOKUPS:
         orders = _orders(spark, sf_dir, needed)
-        rows = rows.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+        rows = rows.join(orders, F.expr("l_orderkey = o_orderkey"), "left")
     if "PULocationID" in needed:
         supplier = _table(spark, sf_dir, "supplier")
-        rows = rows.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"), "left")
-
-    hour = (F.col("l_orderkey") * 7 + F.col("l_linenumber") * 5) % 24
-    price = F.col("l_extendedprice") / 1000
-    values = {
-        "VendorID": F.col("l_suppkey").cast("int"),
-        "pickup_datetime": F.when(_multiple("l_orderkey", 101), None).otherwise(
-            F.col("l_shipdate") + _hours(hour)
-        ),
-        "dropoff_datetime": F.col("l_shipdate") + _hours(hour + 1),
-        "passenger_count": F.col("l_linenumber").cast("double")
-        + F.col("l_orderkey") % 5 * 0.5
-        - 0.5,
-        "trip_distance": (F.col("l_quantity") - 1) * 0.8,
-        "payment_type": F.when(_multiple("l_orderkey", 11), 0)
-        .when(_multiple("l_orderkey", 13), 6)
-        .when(_multiple("l_orderkey", 17), None)
-        .otherwise(F.col("order_code")),
-        "fare_amount": F.when(_multiple("l_orderkey", 19), 0.0)
-        .when(_multiple("l_orderkey", 23), -price)
-        .otherwise(price),
-        "tip_amount": price * F.col("l_discount"),
-        "total_amount": price * (1 + F.col("l_tax")),
-        "PULocationID": F.when(_multiple("l_partkey", 50), None).otherwise(
-            F.col("s_nationkey")
-        ),
-        "DOLocationID": F.when(_multiple("l_partkey", 47), None).otherwise(
-            F.col("c_nationkey")
-        ),
-        "taxi_type": F.when(F.col("l_linestatus") == "O", YELLOW).otherwise(GREEN),
-        "file_month": F.when(_multiple("l_orderkey", 7), F.col("order_month")).otherwise(
-            calendar.month_start(F.col("l_shipdate"))
-        ),
-    }
-    names = [field.name for field in TRIP_SCHEMA] + ["file_month"]
-    return rows.select(
-        *(values[name].alias(name) for name in names if name in needed or name not in LOOKUPS)
+        rows = rows.join(supplier, F.expr("l_suppkey = s_suppkey"), "left")
+    return rows.selectExpr(
+        *(
+            f"{value} AS {name}"
+            for name, value in TRIP_COLUMNS.items()
+            if name in needed or name not in LOOKUPS
+        )
     )
 
 
@@ -113,17 +118,16 @@ def raw_trips(
     spark: SparkSession, sf_dir: str, colour: str, *lookups: str, month: str = ""
 ) -> DataFrame:
     """One colour's trips under the column names of its own files."""
-    tagged = trips(spark, sf_dir, *lookups, month=month).where(F.col("taxi_type") == colour)
-    return tagged.select(
-        *(F.col(name).alias(raw_name(name, colour)) for name in tagged.columns if name != "taxi_type")
+    tagged = trips(spark, sf_dir, *lookups, month=month).where(f"taxi_type = '{colour}'")
+    return tagged.drop("taxi_type").withColumnsRenamed(
+        {name: raw_name(name, colour) for name in TRIP_SCHEMA.names}
     )
 
 
 def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation = _table(spark, sf_dir, "nation")
-    region = _table(spark, sf_dir, "region")
-    return nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
-        F.col("n_nationkey").alias("LocationID"),
-        F.concat(F.lit("ZONE_"), (F.col("n_nationkey") % 20).cast("string")).alias("Zone"),
-        F.col("r_name").alias("Borough"),
+    nation, region = (_table(spark, sf_dir, name) for name in ("nation", "region"))
+    return nation.join(region, F.expr("n_regionkey = r_regionkey")).selectExpr(
+        "n_nationkey AS LocationID",
+        "concat('ZONE_', CAST(n_nationkey % 20 AS STRING)) AS Zone",
+        "r_name AS Borough",
     )
