@@ -1,0 +1,194 @@
+"""How the queries run: what is pushed down, shuffled and broadcast; the
+dashboard pass; a key that holds a third of all rows."""
+
+import re
+
+import pytest
+from pyspark.sql import functions as F
+from trip_files import trip, write, write_zones
+
+from tripmill import TripFilter, TripStore
+from tripmill.operators import metrics, months, zones as zone_ranks
+from tripmill.plans import catalog, dashboard
+from tripmill.sources import starview
+
+SF_DIR = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def store(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("trips")
+    made = [trip(f"2025-11-{1 + i % 28:02d} {i % 24:02d}:00:00", VendorID=i) for i in range(60)]
+    for colour in ("yellow", "green"):
+        write(folder, colour, "2025-11", made)
+    return TripStore(spark, str(folder), write_zones(folder))
+
+
+def plan(frame):
+    return frame._jdf.queryExecution().explainString(
+        frame.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    )
+
+
+def read_columns(text):
+    return [set(re.findall(r"[<,](\w+):", each)) for each in re.findall(r"ReadSchema: (.*)", text)]
+
+
+def test_month_and_limits_reach_the_parquet_reader(store):
+    chosen = TripFilter("both", "2025-11", 50, 1.0)
+    text = plan(metrics.hourly_trips(chosen.apply(store.trips("both", ["2025-11"]))))
+    pushed = re.findall(r"PushedFilters: (.*)", text)
+    assert len(pushed) == 2
+    for each, prefix in zip(pushed, ("tpep", "lpep")):
+        assert f"GreaterThanOrEqual({prefix}_pickup_datetime,2025-11-01T00:00)" in each
+        assert f"LessThan({prefix}_pickup_datetime,2025-12-01T00:00)" in each
+        assert "GreaterThan(trip_distance,0.0)" in each
+        assert "GreaterThanOrEqual(fare_amount,1.0)" in each
+
+
+def test_only_used_columns_are_read(store):
+    trips = TripFilter().apply(store.trips("both", ["2025-11"]))
+    for columns, prefix in zip(read_columns(plan(metrics.daily_trips(trips))), ("tpep", "lpep")):
+        assert columns == {f"{prefix}_pickup_datetime", "trip_distance", "fare_amount"}
+    counts = months.source_counts(starview.trips(store.spark, SF_DIR, "file_month"))
+    assert {"l_orderkey", "l_linestatus", "l_shipdate"} in read_columns(plan(counts))
+
+
+def test_one_colour_reads_one_file(store):
+    text = plan(metrics.kpis(TripFilter("green").apply(store.trips("green", ["2025-11"]))))
+    assert text.count("Location: InMemoryFileIndex") == 1
+    assert "yellow_tripdata" not in text
+
+
+def test_both_colours_of_the_star_view_are_one_scan(spark):
+    text = plan(catalog.QUERIES["kpis_both"](spark, SF_DIR))
+    assert text.count("lineitem.parquet") == 1
+    assert "Join" not in text
+
+
+def test_lookups_are_joined_only_when_named(spark):
+    for name, tables in {
+        "payment_dist_both": {"lineitem", "orders"},
+        "top_pickup_zones_both": {"lineitem", "supplier", "nation", "region"},
+        "top_dropoff_zones_both": {"lineitem", "orders", "customer", "nation", "region"},
+        "monthly_kpis_both": {"lineitem", "orders"},
+    }.items():
+        text = plan(catalog.QUERIES[name](spark, SF_DIR))
+        assert sorted(re.findall(r"/(\w+)\.parquet\]", text)) == sorted(tables)
+
+
+def test_month_of_the_star_view_prunes_the_scan(spark):
+    text = plan(catalog.QUERIES["kpis_both_month"](spark, SF_DIR))
+    assert "GreaterThan(l_shipdate,1998-06-30T00:00)" in text
+    assert "LessThan(l_shipdate,1998-08-01T00:00)" in text
+
+
+def test_zones_join_counts_not_trips(store):
+    trips = TripFilter().apply(store.trips("both", ["2025-11"]))
+    text = plan(zone_ranks.top_pickup_zones(trips, store.zones()))
+    assert "BroadcastHashJoin" in text
+    assert "TakeOrderedAndProject" in text
+    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+    # Above the join there is nothing but the merge of names; trips are counted below.
+    tree = text.split("\n\n")[0]
+    assert tree.index("Join") < tree.index("HashAggregate", tree.index("Join"))
+
+
+def test_large_lookup_is_not_broadcast(store, spark):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    trips = TripFilter().apply(store.trips("both", ["2025-11"]))
+    small = zone_ranks.top_pickup_zones(trips, store.zones()).collect()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shuffled = zone_ranks.top_pickup_zones(trips, store.zones())
+        assert "SortMergeJoin" in plan(shuffled)
+        assert shuffled.collect() == small
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_no_python_in_any_plan(spark):
+    for name, query in catalog.QUERIES.items():
+        if name != "dashboard_both":
+            text = plan(query(spark, SF_DIR))
+            assert "Python" not in text and "Pandas" not in text, name
+
+
+def test_counts_add_up(spark):
+    def total(name, column):
+        return catalog.QUERIES[name](spark, SF_DIR).agg(F.sum(column)).first()[0]
+
+    trips = total("kpis_both", "total_trips")
+    assert trips == total("kpis_yellow", "total_trips") + total("kpis_green", "total_trips")
+    assert trips == total("daily_trips_both", "fahrten") == total("hourly_trips_both", "fahrten")
+    assert trips == total("weekday_stats_both", "fahrten")
+    assert total("payment_dist_both", "anteil") == pytest.approx(1, abs=1e-5)
+    assert 0 < total("top_pickup_zones_both", "fahrten") <= trips
+    lineitems = spark.read.parquet(f"{SF_DIR}/lineitem.parquet").count()
+    assert total("source_counts", "total") == lineitems
+    assert total("combined_trips_profile", "trips") == lineitems
+
+
+def test_star_view_keeps_every_row(spark):
+    whole = starview.trips(spark, SF_DIR, *starview.LOOKUPS)
+    bare = starview.trips(spark, SF_DIR)
+    assert whole.count() == bare.count() == spark.read.parquet(f"{SF_DIR}/lineitem.parquet").count()
+    with pytest.raises(ValueError):
+        starview.trips(spark, SF_DIR, "VendorID")
+
+
+@pytest.mark.parametrize("month", ["", "1998-07", "1998-13"])
+def test_panels_equal_the_single_metrics(spark, month):
+    chosen = TripFilter("both", month, 35, 0.0)
+    trips = starview.trips(spark, SF_DIR, *catalog.TRIP_LOOKUPS)
+    zones = starview.zones(spark, SF_DIR)
+    shown = dashboard.panels(trips, zones, chosen)
+    base = chosen.apply(trips)
+    for name, panel in shown.items():
+        if name.startswith("top_"):
+            single = getattr(zone_ranks, name)(base, zones)
+        else:
+            single = getattr(metrics, name)(base)
+        assert panel.dtypes == single.dtypes, name
+        assert rounded(panel) == rounded(single), name
+
+
+def rounded(frame):
+    return [
+        tuple(round(value, 6) if isinstance(value, float) else value for value in row)
+        for row in frame.collect()
+    ]
+
+
+def test_the_dashboard_summary_has_cut_its_lineage(spark):
+    trips = starview.trips(spark, SF_DIR, *catalog.TRIP_LOOKUPS)
+    shown = dashboard.panels(trips, starview.zones(spark, SF_DIR), TripFilter())
+    assert "lineitem" not in plan(shown["kpis"])
+    assert "Scan ExistingRDD" in plan(shown["kpis"])
+
+
+def test_a_zone_with_a_third_of_all_trips(spark):
+    """Counts per zone against a brute-force count, with one hot zone and half
+    of the rest spread thinly; every shuffled row must be a partial count."""
+    n = 30_000
+    trips = (
+        spark.range(n, numPartitions=6)
+        .selectExpr(
+            "CAST(IF(id % 3 = 0, 7, id % 200) AS INT) AS PULocationID",
+            "timestamp_ntz'2025-11-01 00:00:00' AS pickup_datetime",
+            "1D AS trip_distance",
+            "1D AS fare_amount",
+        )
+    )
+    zones = spark.range(200).selectExpr(
+        "CAST(id AS INT) AS LocationID", "concat('Z', id % 50) AS Zone", "'B' AS Borough"
+    )
+    expected = {}
+    for i in range(n):
+        zone = f"Z{(7 if i % 3 == 0 else i % 200) % 50}"
+        expected[zone] = expected.get(zone, 0) + 1
+    ranked = sorted(expected.items(), key=lambda item: (-item[1], item[0]))[:15]
+    result = zone_ranks.top_pickup_zones(TripFilter().apply(trips), zones)
+    assert [(row.Zone, row.fahrten) for row in result.collect()] == ranked
+    tree = plan(result).split("\n\n")[0]
+    assert re.search(r"Exchange.*\n.*HashAggregate", tree)

@@ -18,13 +18,19 @@ def parse_month(month: str) -> tuple[int, int]:
     return int(match[1]), int(match[2])
 
 
+def first_day(month: str) -> Column:
+    """The month's first day; NULL if there is no such month (2025-13)."""
+    year, number = parse_month(month)
+    exists = 1 <= number <= 12
+    return F.lit(f"{year:04d}-{number:02d}-01" if exists else None).cast("date")
+
+
 def month_bounds(month: str) -> tuple[Column, Column] | None:
     """First instant of the month and of the next; None if there is no such
-    month (2025-13)."""
-    year, number = parse_month(month)
-    if not 1 <= number <= 12:
+    month."""
+    if not 1 <= parse_month(month)[1] <= 12:
         return None
-    first = F.lit(f"{year:04d}-{number:02d}-01").cast("date")
+    first = first_day(month)
     return first.cast("timestamp_ntz"), F.add_months(first, 1).cast("timestamp_ntz")
 
 

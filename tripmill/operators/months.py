@@ -57,15 +57,13 @@ def source_counts(trips: DataFrame) -> DataFrame:
 def trend(trips: DataFrame, months: DataFrame) -> DataFrame:
     """Key figures of each listed month from the trips of that month's files.
     A month without a matching trip has count 0 and no other values."""
-    figures = (
-        trips.where(trend_hit())
-        .groupBy("file_month")
-        .agg(*key_figures())
-        .withColumn("monat", calendar.month_text(F.col("file_month")))
-        .drop("file_month")
-    )
+    figures = trips.where(trend_hit()).groupBy("file_month").agg(*key_figures())
+    # By date: on the month's text, the join would have every trip's month
+    # written out, for a check that Spark derives from the key and pushes down.
+    first_day = F.concat("monat", F.lit("-01")).try_cast("date")
     return (
-        months.join(figures, "monat", "left")
+        months.join(figures, first_day == F.col("file_month"), "left")
+        .drop("file_month")
         .fillna(0, ["total_trips"])
         .orderBy("monat")
     )

@@ -62,10 +62,12 @@ def plausible_passengers() -> Column:
 
 def trend_hit() -> Column:
     """A trip of its own file's month. The dashboard's distance and fare limits
-    do not apply to the trend."""
+    do not apply to the trend. The month is a range here too: over files, where
+    file_month is a constant, the Parquet reader gets its bounds."""
+    month = F.col("file_month")
     return (
-        pickup().isNotNull()
-        & (calendar.month_start(pickup()) == F.col("file_month"))
+        (pickup() >= month.cast("timestamp_ntz"))
+        & (pickup() < F.add_months(month, 1).cast("timestamp_ntz"))
         & (F.col("trip_distance") > 0)
         & (F.col("fare_amount") >= 0)
     )

@@ -20,65 +20,65 @@ from tripmill.operators.preview import raw_preview
 from tripmill.operators.selection import TripFilter, pickup
 from tripmill.sources.store import TripStore
 
-# The keys to summarise by. A group holds keys with few values together: hours
-# of a month (744), code x bin x passengers (7 x 31 x 10), zones (some hundred).
-# Fewer groups copy each trip less often, and no group grows with the trips.
-GROUPS = [
-    ["tag", "stunde"],
-    ["payment_type", "km_bin", "passagiere"],
-    ["PULocationID"],
-    ["DOLocationID"],
-]
+# What to summarise by: a kind and up to three whole-number keys. Keys with few
+# values share a kind: hours of a month (744), code x mile x passengers (7 x 31
+# x 10), zones (some hundred). Fewer kinds copy each trip less often.
+TIME, CODES, PICKUP, DROPOFF = range(4)
+FIRST_DAY = "DATE'1970-01-01'"
 
 
 def summarise(trips: DataFrame) -> DataFrame:
-    """Counts and sums of filtered trips for each of GROUPS, in one pass.
+    """Counts and sums of filtered trips per kind and keys, in one pass.
 
-    A column of_<first key> tells which group a row belongs to. A trip that a
-    metric leaves out has a NULL key there.
+    Each trip is spread over the kinds and aggregated at once in the scan's
+    stage. A trip that a metric leaves out has a NULL key there.
     """
     fare, tip = F.col("fare_amount"), F.col("tip_amount")
     keyed = trips.select(
-        calendar.day(pickup()).alias("tag"),
-        calendar.hour_of_day(pickup()).alias("stunde"),
-        F.when(selection.known_payment(), F.col("payment_type")).alias("payment_type"),
-        F.when(selection.in_histogram(), labels.mile_bin(F.col("trip_distance"))).alias(
-            "km_bin"
-        ),
+        F.datediff(calendar.day(pickup()), F.expr(FIRST_DAY)).alias("day"),
+        F.hour(pickup()).alias("hour"),
+        F.when(selection.known_payment(), F.col("payment_type").cast("int")).alias("payment"),
+        F.when(selection.in_histogram(), labels.mile_bin(F.col("trip_distance"))).alias("mile"),
         F.when(
             selection.plausible_passengers(), labels.head_count(F.col("passenger_count"))
-        ).alias("passagiere"),
+        ).alias("heads"),
         "PULocationID",
         "DOLocationID",
         "total_amount",
         "trip_distance",
         fare,
         tip,
-        F.when(selection.paid(), fare).alias("paid_fare"),
-        F.when(selection.paid(), tip).alias("paid_tip"),
     )
-    leads = [group[0] for group in GROUPS]
-    keys = [key for group in GROUPS for key in group]
-    measures = ["total_amount", "trip_distance", "fare_amount", "tip_amount"]
-    return (
-        keyed.groupingSets(GROUPS, *keys)
-        .agg(
-            *((F.grouping(lead) == 0).alias(f"of_{lead}") for lead in leads),
-            F.count("*").alias("n"),
-            *(
-                measure
-                for name in [*measures, "paid_fare", "paid_tip"]
-                for measure in (
-                    F.sum(name).alias(f"sum_{name}"),
-                    F.count(name).alias(f"n_{name}"),
-                )
-            ),
-        )
+    spread = keyed.select(
+        F.expr(
+            f"stack(4, {TIME}, day, hour, NULL, {CODES}, payment, mile, heads, "
+            f"{PICKUP}, PULocationID, NULL, NULL, {DROPOFF}, DOLocationID, NULL, NULL) "
+            "AS (kind, key1, key2, key3)"
+        ),
+        "total_amount",
+        "trip_distance",
+        fare,
+        tip,
+    )
+    paid_fare, paid_tip = F.when(selection.paid(), fare), F.when(selection.paid(), tip)
+    return spread.groupBy("kind", "key1", "key2", "key3").agg(
+        F.count("*").alias("n"),
+        F.sum("total_amount").alias("total_amount"),
+        F.sum("trip_distance").alias("trip_distance"),
+        F.sum(fare).alias("fare_amount"),
+        F.sum(tip).alias("tip_amount"),
+        F.count(tip).alias("n_tip"),
+        F.sum(paid_fare).alias("paid_fare"),
+        F.count(paid_fare).alias("n_paid"),
+        F.sum(paid_tip).alias("paid_tip"),
+        F.count(paid_tip).alias("n_paid_tip"),
     )
 
 
-def _mean(name: str) -> Column:
-    return F.try_divide(F.sum(f"sum_{name}"), F.sum(f"n_{name}"))
+def _mean(total: str, count: str = "n") -> Column:
+    """Filtered trips all have a distance and a fare, so n counts those; tips
+    may be missing and have counts of their own."""
+    return F.try_divide(F.sum(total), F.sum(count))
 
 
 def _keep(spark: SparkSession, summary: DataFrame) -> DataFrame:
@@ -97,40 +97,46 @@ def panels(
     pass over the trips runs now; the panels are lazy."""
     summary = _keep(trips.sparkSession, summarise(chosen.apply(trips)))
 
-    def counts(key: str, name: str) -> DataFrame:
-        lead = next(group[0] for group in GROUPS if key in group)
-        counted = summary.where(f"of_{lead} AND {key} IS NOT NULL")
-        return counted.groupBy(key).agg(F.sum("n").alias(name))
+    def kind(which: int, **keys: str) -> DataFrame:
+        named = {name: F.expr(value) for name, value in keys.items()}
+        return summary.where(F.col("kind") == which).withColumns(named)
+
+    hours = kind(TIME, tag=f"date_add({FIRST_DAY}, key1)", stunde="CAST(key2 AS BIGINT)")
+    codes = kind(
+        CODES, payment_type="CAST(key1 AS BIGINT)", km_bin="key2", passagiere="key3"
+    )
+    pickups = kind(PICKUP, PULocationID="key1")
+    dropoffs = kind(DROPOFF, DOLocationID="key1")
+
+    def counts(rows: DataFrame, key: str, name: str) -> DataFrame:
+        return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.sum("n").alias(name))
 
-    hours = summary.where("of_tag")
     return {
         "kpis": hours.agg(
             F.coalesce(F.sum("n"), F.lit(0)).alias("total_trips"),
-            F.sum("sum_total_amount").alias("total_revenue"),
+            F.sum("total_amount").alias("total_revenue"),
             _mean("fare_amount").alias("avg_fare"),
             _mean("trip_distance").alias("avg_distance"),
-            _mean("tip_amount").alias("avg_tip"),
+            _mean("tip_amount", "n_tip").alias("avg_tip"),
         ),
-        "daily_trips": counts("tag", "fahrten").orderBy("tag"),
-        "hourly_trips": counts("stunde", "fahrten").orderBy("stunde"),
-        "payment_dist": metrics.payment_shares(counts("payment_type", "anzahl")),
-        "distance_dist": counts("km_bin", "anzahl").orderBy("km_bin"),
+        "daily_trips": counts(hours, "tag", "fahrten").orderBy("tag"),
+        "hourly_trips": counts(hours, "stunde", "fahrten").orderBy("stunde"),
+        "payment_dist": metrics.payment_shares(counts(codes, "payment_type", "anzahl")),
+        "distance_dist": counts(codes, "km_bin", "anzahl").orderBy("km_bin"),
         "top_pickup_zones": zone_ranks.rank_zones(
-            counts("PULocationID", "n"), zones, "PULocationID", limit
+            counts(pickups, "PULocationID", "n"), zones, "PULocationID", limit
         ),
         "top_dropoff_zones": zone_ranks.rank_zones(
-            counts("DOLocationID", "n"), zones, "DOLocationID", limit
+            counts(dropoffs, "DOLocationID", "n"), zones, "DOLocationID", limit
         ),
-        "hourly_fare_tip": hours.groupBy("stunde")
+        "hourly_fare_tip": hours.where("n_paid > 0")
+        .groupBy("stunde")
         .agg(
-            F.sum("n_paid_fare").alias("n"),
-            _mean("paid_fare").alias("avg_fare"),
-            _mean("paid_tip").alias("avg_tip"),
+            _mean("paid_fare", "n_paid").alias("avg_fare"),
+            _mean("paid_tip", "n_paid_tip").alias("avg_tip"),
         )
-        .where("n > 0")
-        .drop("n")
         .orderBy("stunde"),
-        "passenger_dist": counts("passagiere", "fahrten").orderBy("passagiere"),
+        "passenger_dist": counts(codes, "passagiere", "fahrten").orderBy("passagiere"),
         "weekday_stats": metrics.label_weekdays(
             hours.groupBy(calendar.weekday(F.col("tag")).alias("dow_num")).agg(
                 F.sum("n").alias("fahrten"), _mean("fare_amount").alias("avg_fare")

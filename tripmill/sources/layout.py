@@ -24,14 +24,6 @@ def month_in(path: Column) -> Column:
     return F.regexp_extract(path, NAME_PATTERN, 2)
 
 
-def file_month(path: Column) -> Column:
-    """First day of the month in a trip file's path; NULL for a month that does
-    not exist. Runs on every row of a scan, so it cuts the text at a fixed
-    place instead of matching the pattern."""
-    name = F.substring_index(path, "_tripdata_", -1)
-    return F.concat(F.substring(name, 1, 7), F.lit("-01")).try_cast("date")
-
-
 def listing(spark: SparkSession, data_dir: str) -> DataFrame:
     """(taxi_type, monat) of every file, empty if there is none.
 

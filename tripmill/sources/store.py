@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tripmill.functions import calendar
 from tripmill.operators import months
 from tripmill.sources import layout
 from tripmill.sources.schema import COLOURS, colours_of, to_trip_schema
@@ -38,80 +41,62 @@ class TripStore:
         colours = colours_of(dataset)
         if len(colours) > 1:
             return self.trips(dataset, [month])
-        return self.spark.read.parquet(
-            layout.trip_path(self.data_dir, colours[0], month)
-        )
+        return self._read([(colours[0], month)])[0]
 
     def trips(self, dataset: str, wanted: Iterable[str]) -> DataFrame:
         """Trips of the named months' files in the combined schema."""
-        return self._combine(dataset, wanted).drop("file_month")
+        return self.trips_by_file(dataset, wanted).drop("file_month")
 
     def trips_by_file(self, dataset: str, wanted: Iterable[str]) -> DataFrame:
-        """The same with file_month, the first day of the file's month."""
-        return self._combine(dataset, wanted)
-
-    def _combine(self, dataset: str, wanted: Iterable[str]) -> DataFrame:
-        wanted = list(wanted)
+        """The same with file_month, the first day of the file's month.
+
+        Each month is a read of its own with the month as a constant. Months
+        may store a column with different types, which one Parquet read refuses;
+        and a filter on the file's month becomes a range the reader can use,
+        where taking the month from the path would cost more per trip than the
+        rest of the query.
+        """
+        files = [(colour, month) for colour in colours_of(dataset) for month in wanted]
+        if not files:
+            raise ValueError("no month to read")
         parts = [
-            part
-            for colour in colours_of(dataset)
-            for part in self._read(
-                colour,
-                [layout.trip_path(self.data_dir, colour, month) for month in wanted],
-            )
+            to_trip_schema(raw, colour).withColumn("file_month", calendar.first_day(month))
+            for (colour, month), raw in zip(files, self._read(files))
         ]
-        if not parts:
-            raise ValueError("no month to read")
         return reduce(DataFrame.unionByName, parts)
 
-    def _read(self, colour: str, paths: list[str]) -> list[DataFrame]:
-        """One read per distinct file schema. Months that store a column with
-        another type cannot share a Parquet read; the cast to the trip schema
-        is what makes them one table."""
-        by_schema: dict[str, list[str]] = {}
-        schemas = {}
-        for path in paths:
-            schema = self.spark.read.parquet(path).schema
-            by_schema.setdefault(schema.json(), []).append(path)
-            schemas[schema.json()] = schema
-        return [
-            to_trip_schema(
-                self.spark.read.schema(schemas[key]).parquet(*group),
-                colour,
-                layout.file_month(F.col("_metadata.file_path")).alias("file_month"),
-            )
-            for key, group in by_schema.items()
-        ]
+    def _read(self, files: list[tuple[str, str]]) -> list[DataFrame]:
+        """One lazy frame per (colour, month). Opening a file reads a footer, a
+        wait of its own for each of some hundred files, so they overlap."""
+
+        def open_file(file: tuple[str, str]) -> DataFrame:
+            return self.spark.read.parquet(layout.trip_path(self.data_dir, *file))
+
+        with ThreadPoolExecutor(max_workers=16) as pool:
+            return list(pool.map(open_file, files))
 
     def source_counts(self) -> DataFrame:
         """Rows per colour and month of all trip files; 0 where a month of the
-        other colour has no file. Counting reads Parquet footers only."""
-        found = self.files().distinct()
-        paths = [
-            layout.trip_path(self.data_dir, row.taxi_type, row.monat)
-            for row in found.collect()
-        ]
-        if not paths:
-            return self.spark.createDataFrame(
-                [], "taxi_type string, monat string, total bigint"
-            )
-        per_file = (
-            self.spark.read.parquet(*paths)
-            .groupBy(F.col("_metadata.file_path").alias("path"))
-            .agg(F.count("*").alias("n"))
-            .select(
-                layout.colour_in(F.col("path")).alias("taxi_type"),
-                layout.month_in(F.col("path")).alias("monat"),
-                "n",
-            )
+        other colour has no file. No column is read, only counts in footers."""
+        found = {(row.taxi_type, row.monat) for row in self.files().distinct().collect()}
+        every = list(product(COLOURS, sorted({month for _, month in found})))
+        # A file goes by its number: its names as text would be hashed per row.
+        numbers = [number for number, file in enumerate(every) if file in found]
+        raws = self._read([every[number] for number in numbers])
+        rows = [raw.select(F.lit(number).alias("file")) for number, raw in zip(numbers, raws)]
+        names = self.spark.createDataFrame(
+            [(number, *file) for number, file in enumerate(every)],
+            "file int, taxi_type string, monat string",
+        )
+        counts = (
+            reduce(DataFrame.union, rows, names.select("file").limit(0))
+            .groupBy("file")
+            .agg(F.count("*").alias("total"))
         )
-        every_file = found.select(
-            "monat", F.explode(F.array(*map(F.lit, COLOURS))).alias("taxi_type")
-        ).distinct()
         return (
-            every_file.join(per_file, ["taxi_type", "monat"], "left")
-            .groupBy("taxi_type", "monat")
-            .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+            names.join(counts, "file", "left")
+            .fillna(0, ["total"])
+            .select("taxi_type", "monat", "total")
             .orderBy("taxi_type", "monat")
         )
 
