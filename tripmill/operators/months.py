@@ -19,6 +19,11 @@ def _seen_on_both_sides() -> Column:
     return yellow & green
 
 
+def of_a_file(trips: DataFrame) -> DataFrame:
+    """Trips without a file month are in no month's file."""
+    return trips.where(F.col("file_month").isNotNull())
+
+
 def on_both_sides(found: DataFrame) -> DataFrame:
     """Months with rows of both colours, ascending. One aggregation instead of
     an intersection of two scans."""
@@ -34,7 +39,8 @@ def on_both_sides(found: DataFrame) -> DataFrame:
 def available_months(trips: DataFrame) -> DataFrame:
     """Months whose trips (with file_month) come from both colours."""
     return (
-        trips.groupBy("file_month")
+        of_a_file(trips)
+        .groupBy("file_month")
         .agg(_seen_on_both_sides().alias("complete"))
         .where("complete")
         .select(calendar.month_text(F.col("file_month")).alias("monat"))
@@ -45,7 +51,8 @@ def available_months(trips: DataFrame) -> DataFrame:
 def source_counts(trips: DataFrame) -> DataFrame:
     """Trips per colour and file month; a month one colour lacks counts 0."""
     return (
-        trips.groupBy("file_month")
+        of_a_file(trips)
+        .groupBy("file_month")
         .agg(*(F.count_if(F.col("taxi_type") == colour).alias(colour) for colour in COLOURS))
         .withColumn("monat", calendar.month_text(F.col("file_month")))
         .unpivot("monat", list(COLOURS), "taxi_type", "total")
@@ -77,7 +84,8 @@ def trend_of_complete_months(trips: DataFrame, dataset: str = BOTH) -> DataFrame
     if name != BOTH:
         hit = hit & (F.col("taxi_type") == name)
     return (
-        trips.withColumn("hit", hit)
+        of_a_file(trips)
+        .withColumn("hit", hit)
         .groupBy("file_month")
         .agg(*key_figures(F.col("hit")), _seen_on_both_sides().alias("complete"))
         .where("complete")

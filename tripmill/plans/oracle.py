@@ -50,7 +50,7 @@ FIGURES = """
 
 COMPLETE_MONTHS = """
 complete AS (
-  SELECT file_month AS monat FROM trips WHERE taxi_type = 'yellow'
+  SELECT file_month AS monat FROM trips WHERE taxi_type = 'yellow' AND file_month IS NOT NULL
   INTERSECT
   SELECT file_month FROM trips WHERE taxi_type = 'green'
 )"""
@@ -134,6 +134,7 @@ FROM complete LEFT JOIN figures ON monat = file_month ORDER BY monat"""
 def _source_counts() -> str:
     return f"""WITH {TRIPS}, files AS (
   SELECT DISTINCT file_month, unnest(['yellow', 'green']) AS colour FROM trips
+  WHERE file_month IS NOT NULL
 )
 SELECT colour AS taxi_type, files.file_month AS monat, COUNT(trips.taxi_type) AS total
 FROM files LEFT JOIN trips ON trips.file_month = files.file_month AND trips.taxi_type = colour
