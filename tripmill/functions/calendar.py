@@ -22,7 +22,7 @@ def first_day(month: str) -> Column:
     """The month's first day; NULL if there is no such month (2025-13)."""
     year, number = parse_month(month)
     exists = 1 <= number <= 12
-    return F.lit(f"{year:04d}-{number:02d}-01" if exists else None).cast("date")
+    return F.expr(f"DATE'{year:04d}-{number:02d}-01'" if exists else "CAST(NULL AS DATE)")
 
 
 def month_bounds(month: str) -> tuple[Column, Column] | None:

@@ -61,8 +61,8 @@ def _to_type(value: Column, stored: T.DataType, wanted: T.DataType) -> Column:
     return value.cast(wanted)
 
 
-def to_trip_schema(raw: DataFrame, colour: str) -> DataFrame:
-    """Rename, cast and tag one colour's rows.
+def to_trip_schema(raw: DataFrame, colour: str, *kept: str) -> DataFrame:
+    """Rename, cast and tag one colour's rows; further columns only if named.
 
     A column that the file lacks stays absent, so only a query that needs it
     fails, the way it would on the raw file.
@@ -77,4 +77,4 @@ def to_trip_schema(raw: DataFrame, colour: str) -> DataFrame:
         for field in TRIP_SCHEMA
         if raw_name(field.name, colour).lower() in stored
     ]
-    return raw.select(*columns, F.lit(colour).alias("taxi_type"))
+    return raw.select(*columns, F.lit(colour).alias("taxi_type"), *kept)

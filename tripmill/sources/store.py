@@ -6,7 +6,6 @@ from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
-from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -41,7 +40,7 @@ class TripStore:
         colours = colours_of(dataset)
         if len(colours) > 1:
             return self.trips(dataset, [month])
-        return self._read([(colours[0], month)])[0]
+        return self.spark.read.parquet(layout.trip_path(self.data_dir, colours[0], month))
 
     def trips(self, dataset: str, wanted: Iterable[str]) -> DataFrame:
         """Trips of the named months' files in the combined schema."""
@@ -54,49 +53,61 @@ class TripStore:
         may store a column with different types, which one Parquet read refuses;
         and a filter on the file's month becomes a range the reader can use,
         where taking the month from the path would cost more per trip than the
-        rest of the query.
+        rest of the query. Months stored alike are brought to the trip schema
+        together.
         """
-        files = [(colour, month) for colour in colours_of(dataset) for month in wanted]
-        if not files:
-            raise ValueError("no month to read")
+        wanted = list(wanted)
         parts = [
-            to_trip_schema(raw, colour).withColumn("file_month", calendar.first_day(month))
-            for (colour, month), raw in zip(files, self._read(files))
+            to_trip_schema(reduce(DataFrame.union, alike), colour, "file_month")
+            for colour in colours_of(dataset)
+            for alike in self._read(colour, wanted)
         ]
+        if not parts:
+            raise ValueError("no month to read")
         return reduce(DataFrame.unionByName, parts)
 
-    def _read(self, files: list[tuple[str, str]]) -> list[DataFrame]:
-        """One lazy frame per (colour, month). Opening a file reads a footer, a
-        wait of its own for each of some hundred files, so they overlap."""
+    def _read(self, colour: str, wanted: list[str]) -> list[list[DataFrame]]:
+        """Each month's file as stored plus file_month, grouped by schema.
+        Opening a file is a footer read of its own, so they overlap."""
 
-        def open_file(file: tuple[str, str]) -> DataFrame:
-            return self.spark.read.parquet(layout.trip_path(self.data_dir, *file))
+        def open_file(month: str) -> tuple[str, DataFrame]:
+            raw = self.spark.read.parquet(layout.trip_path(self.data_dir, colour, month))
+            return raw.schema.json(), raw.withColumn("file_month", calendar.first_day(month))
 
+        alike: dict[str, list[DataFrame]] = {}
         with ThreadPoolExecutor(max_workers=16) as pool:
-            return list(pool.map(open_file, files))
+            for schema, raw in pool.map(open_file, wanted):
+                alike.setdefault(schema, []).append(raw)
+        return list(alike.values())
 
     def source_counts(self) -> DataFrame:
         """Rows per colour and month of all trip files; 0 where a month of the
         other colour has no file. No column is read, only counts in footers."""
-        found = {(row.taxi_type, row.monat) for row in self.files().distinct().collect()}
-        every = list(product(COLOURS, sorted({month for _, month in found})))
-        # A file goes by its number: its names as text would be hashed per row.
-        numbers = [number for number, file in enumerate(every) if file in found]
-        raws = self._read([every[number] for number in numbers])
-        rows = [raw.select(F.lit(number).alias("file")) for number, raw in zip(numbers, raws)]
-        names = self.spark.createDataFrame(
-            [(number, *file) for number, file in enumerate(every)],
-            "file int, taxi_type string, monat string",
-        )
-        counts = (
-            reduce(DataFrame.union, rows, names.select("file").limit(0))
-            .groupBy("file")
-            .agg(F.count("*").alias("total"))
+        found = self.files().distinct()
+        paths = [
+            layout.trip_path(self.data_dir, row.taxi_type, row.monat)
+            for row in found.collect()
+        ]
+        # Zeros are added, not joined: a join on names cut from the path would
+        # push a check of them down to every row.
+        counts = found.select(
+            F.explode(F.array(*map(F.lit, COLOURS))).alias("taxi_type"),
+            "monat",
+            F.lit(0).cast("bigint").alias("n"),
         )
+        if paths:
+            path = F.col("path")
+            per_file = (
+                self.spark.read.parquet(*paths)
+                .groupBy(F.col("_metadata.file_path").alias("path"))
+                .agg(F.count("*").alias("n"))
+            )
+            counts = counts.union(
+                per_file.select(layout.colour_in(path), layout.month_in(path), "n")
+            )
         return (
-            names.join(counts, "file", "left")
-            .fillna(0, ["total"])
-            .select("taxi_type", "monat", "total")
+            counts.groupBy("taxi_type", "monat")
+            .agg(F.sum("n").alias("total"))
             .orderBy("taxi_type", "monat")
         )
 
