@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tripmill.functions import calendar
+from tripmill.operators import selection
 from tripmill.operators.metrics import key_figures
-from tripmill.operators.selection import trend_hit
 from tripmill.sources.schema import BOTH, COLOURS, dataset_name
 
 
@@ -64,7 +64,8 @@ def source_counts(trips: DataFrame) -> DataFrame:
 def trend(trips: DataFrame, months: DataFrame) -> DataFrame:
     """Key figures of each listed month from the trips of that month's files.
     A month without a matching trip has count 0 and no other values."""
-    figures = trips.where(trend_hit()).groupBy("file_month").agg(*key_figures())
+    of_month = trips.where(selection.of_file_month() & selection.in_trend())
+    figures = of_month.groupBy("file_month").agg(*key_figures())
     # By date: on the month's text, the join would have every trip's month
     # written out, for a check that Spark derives from the key and pushes down.
     first_day = F.concat("monat", F.lit("-01")).try_cast("date")
@@ -80,7 +81,7 @@ def trend_of_complete_months(trips: DataFrame, dataset: str = BOTH) -> DataFrame
     """The same where no listing tells the months: trips of both colours, the
     months those that both have. One pass finds months and key figures."""
     name = dataset_name(dataset)
-    hit = trend_hit()
+    hit = selection.in_trend() & selection.of_file_month_by_row()
     if name != BOTH:
         hit = hit & (F.col("taxi_type") == name)
     return (
