@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tripmill.functions.labels import OTHER_PAYMENT, PAYMENT_LABELS, WEEKDAY_LABELS
 from tripmill.plans.catalog import MAX_DIST, MONTH
 from tripmill.sources.schema import TRIP_SCHEMA
 
@@ -87,15 +88,19 @@ def _grouped(
     )
 
 
+def _label(code: str, labels: dict[int, str], other: str | None = None) -> str:
+    cases = " ".join(f"WHEN {key} THEN '{label}'" for key, label in labels.items())
+    rest = f" ELSE '{other}'" if other else ""
+    return f"CASE {code} {cases}{rest} END"
+
+
 def _payments() -> str:
     return f"""WITH {_chosen("both")}, counted AS (
   SELECT payment_type, COUNT(*) AS anzahl FROM chosen
   WHERE payment_type IS NOT NULL AND payment_type BETWEEN 1 AND 6 GROUP BY payment_type
 )
 SELECT payment_type, anzahl,
-  CASE payment_type WHEN 1 THEN 'Kreditkarte' WHEN 2 THEN 'Bar' WHEN 3 THEN 'Keine Gebühr'
-    WHEN 4 THEN 'Streit' WHEN 5 THEN 'Unbekannt' WHEN 6 THEN 'Storniert'
-    ELSE 'Sonstige' END AS Zahlungsart,
+  {_label("payment_type", PAYMENT_LABELS, OTHER_PAYMENT)} AS Zahlungsart,
   ROUND(anzahl / CAST((SELECT SUM(anzahl) FROM counted) AS DOUBLE), 6) AS anteil
 FROM counted ORDER BY anzahl DESC, payment_type"""
 
@@ -114,8 +119,7 @@ def _weekdays() -> str:
   FROM chosen GROUP BY 1
 )
 SELECT dow_num, fahrten, avg_fare,
-  CASE dow_num WHEN 0 THEN 'So' WHEN 1 THEN 'Mo' WHEN 2 THEN 'Di' WHEN 3 THEN 'Mi'
-    WHEN 4 THEN 'Do' WHEN 5 THEN 'Fr' WHEN 6 THEN 'Sa' END AS Wochentag
+  {_label("dow_num", WEEKDAY_LABELS)} AS Wochentag
 FROM grouped ORDER BY (dow_num + 6) % 7"""
 
 
@@ -253,7 +257,9 @@ def oracle_sql() -> dict[str, str]:
         "monthly_kpis_yellow": _trend("yellow"),
         "monthly_kpis_green": _trend("green"),
         "monthly_kpis_both": _trend("both"),
-        "available_months": f"WITH {TRIPS}, {COMPLETE_MONTHS} SELECT monat FROM complete ORDER BY 1",
+        "available_months": (
+            f"WITH {TRIPS}, {COMPLETE_MONTHS} SELECT monat FROM complete ORDER BY 1"
+        ),
         "source_counts": _source_counts(),
         "raw_preview_yellow": _preview_yellow(),
         "raw_preview_both": _preview_both(),
