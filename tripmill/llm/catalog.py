@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tripmill.llm import exact_dedup, near_dedup, quality
+from tripmill.llm import exact_dedup, mixing, near_dedup, quality
 from tripmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = mixing.place(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return placed.select("row.doc_id", "source", "parts", "block", "slot", "position")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -26,6 +31,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_mix_sources": op1_mix_sources,
     "op2_quality_rules": op2_quality_rules,
     "op6_near_dedup": op6_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
