@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tripmill.llm import exact_dedup, mixing, near_dedup, quality
+from tripmill.llm import exact_dedup, mixing, near_dedup, pieces, quality, unigram
 from tripmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# A public piece model; another path can be given to the operators.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = mixing.place(table(spark, sf_dir, "documents").select("doc_id", "source"))
@@ -22,6 +25,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.encode(table(spark, sf_dir, "documents"), pieces.load(PIECES))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"))
 
@@ -33,6 +40,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_quality_rules": op2_quality_rules,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_near_dedup": op6_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
 }
