@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tripmill.llm import exact_dedup, mixing, near_dedup, pieces, quality, unigram
+from tripmill.llm import exact_dedup, language, mixing, near_dedup, pieces, quality, unigram
 from tripmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.predict(docs, language.fit(docs, pieces.load(PIECES)))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.encode(table(spark, sf_dir, "documents"), pieces.load(PIECES))
 
@@ -40,6 +45,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_quality_rules": op2_quality_rules,
+    "op3_language_id": op3_language_id,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_near_dedup": op6_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
