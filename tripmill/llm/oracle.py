@@ -2,9 +2,61 @@
 
 from __future__ import annotations
 
+import math
+
 from tripmill.llm.common import UPPER
+from tripmill.llm.licences import PHRASES, TEMPLATES, THRESHOLD
+
+_LOWERED = f"translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}')"
+
+
+def _licences() -> str:
+    """Phrases by position, lines against templates by counting shared tokens."""
+    starts = []
+    for phrase in PHRASES:
+        words = phrase.split()
+        hit = " AND ".join(f"w[i + {k}] = '{word}'" for k, word in enumerate(words))
+        starts.append(f"list_filter(range(1, len(w) + 1), lambda i: coalesce({hit}, false))")
+    templates = []
+    for label, template in TEMPLATES.items():
+        tokens = sorted(set(template.split()))
+        need = math.ceil(THRESHOLD * len(tokens) - 1e-9)
+        templates.append(f"('{label}', {tokens!r}, {need})")
+    labels = ", ".join(f"CASE WHEN len(s{k}) > 0 THEN '{label}' END" for k, label in enumerate(PHRASES.values()))
+    return f"""
+        WITH words AS (
+            SELECT doc_id, {_LOWERED} AS content,
+                   regexp_extract_all({_LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+            FROM documents
+        ), found AS (
+            SELECT *, {", ".join(f"{start} AS s{k}" for k, start in enumerate(starts))} FROM words
+        ), base AS (
+            SELECT *, list_concat({", ".join(f"s{k}" for k in range(len(starts)))}) AS places,
+                   list_filter([{labels}], lambda x: x IS NOT NULL) AS base_list
+            FROM found
+        ), templates AS (
+            SELECT * FROM (VALUES {", ".join(templates)}) AS t(label, tokens, need)
+        ), lines AS (
+            SELECT doc_id, unnest(string_split(content, chr(10))) AS line FROM words
+        ), shared AS (
+            SELECT doc_id, label, need, len(tokens) AS size,
+                   len(list_intersect(regexp_extract_all(line, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), tokens)) AS overlap
+            FROM lines, templates
+        ), contained AS (
+            SELECT doc_id, list(DISTINCT label) AS labels, max(overlap / size) AS containment
+            FROM shared WHERE overlap >= need GROUP BY doc_id
+        )
+        SELECT doc_id, len(w) AS n_words, len(places) AS n_base,
+               list_min(places) - 1 AS first_word, list_max(places) - 1 AS last_word,
+               array_to_string(list_sort(list_distinct(base_list)), ',') AS base_labels,
+               array_to_string(list_sort(list_distinct(list_concat(base_list, coalesce(labels, [])))), ',') AS labels,
+               CASE WHEN len(places) > 0 THEN 1.0::DOUBLE ELSE coalesce(containment, 0.0)::DOUBLE END AS score
+        FROM base LEFT JOIN contained USING (doc_id)
+    """
+
 
 ORACLE_SQL = {
+    "op8_licence_scan": _licences(),
     "op9_exact_dedup": f"""
         WITH lowered AS (
             SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}') AS content
