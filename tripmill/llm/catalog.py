@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tripmill.llm import exact_dedup, language, licences, mixing, near_dedup, pieces, quality, toxicity, unigram
+from tripmill.llm import exact_dedup, language, licences, mixing, near_dedup, pieces, quality, resharding, toxicity, unigram
 from tripmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 # A public piece model; another path can be given to the operators.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+SHARDS = 16
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +31,24 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, language.fit(docs, pieces.load(PIECES)))
 
 
+def op4_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From one shard per source (by a hash of its name), which are as uneven as the
+    sources, to even ones."""
+    docs = table(spark, sf_dir, "documents")
+    old = F.crc32(F.coalesce("source", F.lit("")).cast("binary")) % SHARDS
+    placed, _ = resharding.assign(resharding.sized(docs, old), SHARDS)
+    return placed.select(
+        F.col("id").alias("doc_id"),
+        "size",
+        F.col("crc").alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+        F.col("old").alias("old_shard"),
+    )
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.encode(table(spark, sf_dir, "documents"), pieces.load(PIECES))
 
@@ -54,6 +73,7 @@ QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_quality_rules": op2_quality_rules,
     "op3_language_id": op3_language_id,
+    "op4_reshard": op4_reshard,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_near_dedup": op6_near_dedup,
     "op8_licence_scan": op8_licence_scan,

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # Rows that one rank bucket should hold on average.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

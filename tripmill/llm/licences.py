@@ -31,14 +31,13 @@ PHRASES = {
     "general public license": "gpl",
     "all rights reserved": "reserved",
 }
-# Opening words of public licence notices.
+# Opening words of public licence notices. Kinds whose notices differ in
+# one word (CC BY-NC and BY-SA) meet the threshold of each other and share a label.
 TEMPLATES = {
-    "agpl-3.0": "this program is licensed under the gnu affero general public license version 3",
     "apache-2.0": "licensed under the apache license version 2 0",
     "bsd": "redistribution and use in source and binary forms with or without modification are permitted",
-    "cc-by-4.0": "licensed under creative commons attribution 4 0 international",
-    "cc-by-nc-4.0": "licensed under cc by nc 4 0",
-    "cc-by-sa-4.0": "licensed under cc by sa 4 0",
+    "cc-4.0": "licensed under cc by nc 4 0",
+    "cc-4.0-text": "licensed under a creative commons attribution 4 0 international license",
     "gpl-3.0": "this work is licensed under the gnu general public license version 3",
     "lgpl-2.1": "this library is licensed under the gnu lesser general public license version 2 1",
     "mit": "released under the mit license",
