@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tripmill.llm import exact_dedup, language, licences, mixing, near_dedup, pieces, quality, resharding, toxicity, unigram
+from tripmill.llm import exact_dedup, language, licences, mixing, near_dedup, pieces, quality, resharding, toxicity, unigram, warc
 from tripmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,10 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("chunks")
+
+
 def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
@@ -76,6 +80,7 @@ QUERIES: dict[str, Query] = {
     "op4_reshard": op4_reshard,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_near_dedup": op6_near_dedup,
+    "op7_warc": op7_warc,
     "op8_licence_scan": op8_licence_scan,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_toxicity": op10_toxicity,
