@@ -1,0 +1,116 @@
+import random
+
+import numpy as np
+import pytest
+from hypothesis import given, strategies as st
+
+from made_words import words
+from tripmill.llm import near_dedup
+
+
+def shingle_set(text):
+    tokens = (text or "").encode().lower().split()
+    if not tokens:
+        return frozenset()
+    if len(tokens) < 5:
+        return frozenset([tuple(tokens)])
+    return frozenset(tuple(tokens[i : i + 5]) for i in range(len(tokens) - 4))
+
+
+def expected(rows):
+    """Components by comparing everything with everything."""
+    sets = [(i, shingle_set(text)) for i, text, *_ in rows]
+    root = {i: i for i, _ in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for place, (i, a) in enumerate(sets):
+        for j, b in sets[:place]:
+            if a and b and 100 * len(a & b) >= 75 * len(a | b):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return sorted((i, len(s), find(i), find(i) == i) for i, s in sets)
+
+
+def got(frame):
+    return sorted(map(tuple, near_dedup.near_groups(frame).collect()))
+
+
+def edited(tokens, rng, share):
+    return [rng.choice("xyz") + t if rng.random() < share else t for t in tokens]
+
+
+@pytest.fixture(scope="module")
+def star():
+    """Copies of one text that are like it and mostly not like each other, some pairs,
+    a passage that all texts share, and texts of their own."""
+    rng = random.Random(4)
+    base, passage = words(120, 9), words(40, 10)
+    rows = [(0, " ".join(base))]
+    rows += [(i, " ".join(edited(base, rng, rng.choice((0.005, 0.02, 0.03))))) for i in range(1, 150)]
+    rows += [(i, " ".join(words(rng.randint(40, 120), i) + passage)) for i in range(200, 300)]
+    rows += [(i + 200, " ".join(edited(words(90, i) + passage, rng, 0.015))) for i in range(200, 260)]
+    rows += [(i + 300, " ".join(words(90, i) + passage)) for i in range(200, 260)]
+    return rows
+
+
+def test_equals_brute_force(documents, star):
+    assert got(documents(star)) == expected(star)
+
+
+def test_regions_over_many_partitions(documents, star, monkeypatch):
+    monkeypatch.setattr(near_dedup, "ROWS_PER_PARTITION", 60)
+    assert got(documents(star)) == expected(star)
+
+
+def test_odd_rows(documents, odd_rows):
+    rows = [row for row in odd_rows if row[0] is not None]
+    result = near_dedup.near_groups(documents(odd_rows)).collect()
+    assert len(result) == len(odd_rows)
+    assert sorted({tuple(r) for r in result if r.doc_id is not None}) == sorted(set(expected(list(dict(
+        (row[0], row) for row in rows).values()))))
+    assert [(r.component_id, r.kept) for r in result if r.doc_id is None] == [(None, True)] * 2
+
+
+def test_drop_near_keeps_one_whole_row_of_each_group(documents, star):
+    frame = documents(star)
+    kept = near_dedup.drop_near(frame)
+    assert kept.columns == frame.columns
+    assert sorted(row.doc_id for row in kept.collect()) == [i for i, _, _, stays in expected(star) if stays]
+
+
+def test_no_rows(documents):
+    assert got(documents([])) == []
+    assert got(documents([(1, ""), (2, None)])) == [(1, 0, 1, True), (2, 0, 2, True)]
+
+
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=60))
+def test_modal_values(pairs):
+    marks = np.array([[a] * 32 + [b] * 32 for a, b in pairs] or [[0] * 64], ">u2")
+    modal = near_dedup._modal(marks)
+    for place in (0, 40):
+        column = marks[:, place].tolist()
+        assert column.count(modal[place]) == max(map(column.count, column))
+
+
+def test_components(spark):
+    rng = random.Random(8)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(i, i + 1) for i in range(500, 540)]
+    links += [(1000, i) for i in range(1001, 1200)]
+    root = {}
+
+    def find(i):
+        while root.setdefault(i, i) != i:
+            i = root[i]
+        return i
+
+    for a, b in links:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    frame = spark.createDataFrame(links, "a long, b long")
+    got_roots = {row.id: row.root for row in near_dedup.components(frame).collect()}
+    assert got_roots == {i: find(i) for i in root if find(i) != i}
+    assert near_dedup.components(frame.limit(0)).count() == 0

@@ -142,7 +142,7 @@ class Encoder:
         counts = self.counts[at]
         total = np.concatenate([[0], np.cumsum(counts)])
         ids = self.flat[np.arange(total[-1]) + np.repeat(self.starts[at] - total[:-1], counts)]
-        offsets = total[np.concatenate([[0], ends])].astype(np.int32)
+        offsets = total[np.array([0, *ends])].astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
 
 
