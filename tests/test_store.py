@@ -9,7 +9,10 @@ from pyspark.errors import AnalysisException
 from trip_files import arrow_table, at, trip, write, write_zones
 
 from tripmill import TripFilter, TripStore, refresh
+from tripmill.functions import calendar
 from tripmill.operators import metrics, months, preview
+from tripmill.plans import dashboard
+from tripmill.sources import layout
 from tripmill.sources.schema import TRIP_SCHEMA
 
 
@@ -62,7 +65,7 @@ def test_spark_written_folders_are_files(store, spark, tmp_path):
         spark.read.parquet(str(plain)).repartition(3).write.parquet(target)
     assert store.month_list() == ["2025-11"]
     assert rows(store.source_counts()) == [("green", "2025-11", 6), ("yellow", "2025-11", 6)]
-    trend = months.trend(store.trips_by_file("both", ["2025-11"]), store.available_months())
+    trend = store.trend("both", ["2025-11"])
     assert trend.first().total_trips == 12
 
 
@@ -105,11 +108,14 @@ def test_months_may_store_columns_differently(store):
         PULocationID=pa.float64(),
     )
     trips = store.trips("yellow", ["2025-10", "2025-11"])
-    assert trips.dtypes == [(f.name, f.dataType.simpleString()) for f in TRIP_SCHEMA]
+    wider = {"VendorID": "bigint", "payment_type": "double", "PULocationID": "double"}
+    assert trips.dtypes == [
+        (f.name, wider.get(f.name, f.dataType.simpleString())) for f in TRIP_SCHEMA
+    ]
     seen = {
-        (row.passenger_count, row.payment_type, row.PULocationID) for row in trips.collect()
+        (row.passenger_count, str(row.payment_type), row.PULocationID) for row in trips.collect()
     }
-    assert seen == {(3.0, 1, 1), (1.5, 2, 1), (1.0, None, None)}
+    assert seen == {(3.0, "1.0", 1.0), (1.5, "2.0", 1.0), (1.0, "nan", 3.5)}
     assert rows(store.source_counts())[-1] == ("yellow", "2025-11", 2)
 
 
@@ -170,8 +176,7 @@ def test_trend_counts_only_the_files_own_month(store):
     write(store.data_dir, "yellow", "2026-01", [trip("2026-01-09")])
 
     def trend(dataset):
-        wanted = store.month_list()
-        return months.trend(store.trips_by_file(dataset, wanted), store.available_months())
+        return store.trend(dataset, store.month_list())
 
     assert trend("both").columns == [
         "monat", "total_trips", "total_revenue", "avg_fare", "avg_distance", "avg_tip",
@@ -187,23 +192,125 @@ def test_trend_counts_only_the_files_own_month(store):
 def test_trend_of_a_month_that_does_not_exist(store):
     for colour in ("yellow", "green"):
         write(store.data_dir, colour, "2025-13", [trip()])
-    trend = months.trend(store.trips_by_file("both", ["2025-13"]), store.available_months())
+    trend = store.trend("both", ["2025-13"])
     assert rows(trend) == [("2025-13", 0, None, None, None, None)]
 
 
 def test_complete_months_in_one_pass_agree_with_the_listing(store):
     for month in ("2025-10", "2025-11"):
         write(store.data_dir, "yellow", month, [trip(f"{month}-03"), trip("2025-11-07")])
-        write(store.data_dir, "green", month, [trip("2025-11-07 01:00:00")])
+        write(store.data_dir, "green", month, [trip("2025-11-07 01:00:00"), trip(None)])
     write(store.data_dir, "yellow", "2025-12", [trip("2025-12-03")])
     wanted = store.month_list()
+    with_month = None
+    for month in wanted:
+        of_month = store.trips("both", [month]).withColumn("file_month", calendar.first_day(month))
+        with_month = with_month.unionByName(of_month) if with_month else of_month
     for dataset in ("yellow", "green", "both"):
-        listed = months.trend(store.trips_by_file(dataset, wanted), store.available_months())
-        both = store.trips_by_file("both", wanted)
-        one_pass = months.trend_of_complete_months(both, dataset)
+        listed = store.trend(dataset, wanted)
+        one_pass = months.trend_of_complete_months(with_month, dataset)
         assert rows(one_pass.select(listed.columns)) == rows(listed)
 
 
+def test_trend_without_any_month(store):
+    trend = store.trend("both", [])
+    assert rows(trend) == []
+    assert trend.columns == [
+        "monat", "total_trips", "total_revenue", "avg_fare", "avg_distance", "avg_tip",
+    ]
+
+
+def test_a_month_may_lack_a_column_the_trend_does_not_use(store):
+    for month in ("2025-10", "2025-11"):
+        write(store.data_dir, "green", month, [trip(f"{month}-02")])
+    write(store.data_dir, "yellow", "2025-10", [trip("2025-10-02")])
+    table = arrow_table("yellow", [trip()]).drop_columns(["passenger_count"])
+    pq.write_table(table, f"{store.data_dir}/yellow_tripdata_2025-11.parquet")
+    trend = store.trend("both", store.month_list())
+    assert [(row.monat, row.total_trips) for row in trend.collect()] == [("2025-10", 2), ("2025-11", 2)]
+    trips = store.trips("yellow", store.month_list())
+    assert metrics.kpis(trips).first().total_trips == 2
+    with pytest.raises(AnalysisException):
+        metrics.passenger_dist(trips)
+
+
+def test_the_trend_scans_once_per_schema(store):
+    for month in range(1, 13):
+        for colour in ("yellow", "green"):
+            write(store.data_dir, colour, f"2024-{month:02d}", [trip(f"2024-{month:02d}-05")])
+    trend = store.trend("both", store.month_list())
+    plan = trend._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("] parquet") == 2
+    assert [row.total_trips for row in trend.collect()] == [2] * 12
+
+
+def test_paths_with_spaces(spark, tmp_path):
+    data = tmp_path / "my data+1%"
+    data.mkdir()
+    for colour in ("yellow", "green"):
+        write(data, colour, "2025-11", [trip()] * 2)
+    store = TripStore(spark, str(data), write_zones(tmp_path))
+    assert [row.total_trips for row in store.trend("both", store.month_list()).collect()] == [4]
+    assert rows(store.source_counts()) == [("green", "2025-11", 2), ("yellow", "2025-11", 2)]
+
+
+def test_months_are_listed_by_name_alone(store, spark, tmp_path):
+    for colour in ("yellow", "green"):
+        folder = tmp_path / "data" / f"{colour}_tripdata_2025-11.parquet"
+        for part in range(40):
+            (folder / f"sub={part % 4}").mkdir(parents=True, exist_ok=True)
+            (folder / f"sub={part % 4}" / f"part-{part:05d}.parquet").touch()
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("listing", "")
+    try:
+        found = layout.month_files(spark, store.data_dir)
+        assert tracker.getJobIdsForGroup("listing") == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found == [("green", "2025-11"), ("yellow", "2025-11")]
+
+
+def test_codes_that_are_no_codes_are_counted_as_other(store):
+    odd = [1.0, 1.5, 1.5, 7.0, float("nan"), None]
+    made = [trip(payment_type=code) for code in odd]
+    write(store.data_dir, "yellow", "2025-11", made, payment_type=pa.float64())
+    write(store.data_dir, "green", "2025-11", [trip(payment_type=2)])
+    trips = TripFilter("both", "2025-11").apply(store.trips("both", ["2025-11"]))
+    wanted = [(1.5, 2, "Sonstige", 0.5), (1.0, 1, "Kreditkarte", 0.25), (2.0, 1, "Bar", 0.25)]
+    assert rows(metrics.payment_dist(trips)) == wanted
+    shown = refresh(store, TripFilter("both", "2025-11"))
+    assert rows(shown["payment_dist"]) == wanted
+
+
+def test_ids_too_large_for_the_schema_stay_what_they_are(store):
+    far = 2**40
+    made = [trip(PULocationID=far), trip(PULocationID=1)]
+    write(store.data_dir, "yellow", "2025-11", made, PULocationID=pa.int64())
+    write(store.data_dir, "green", "2025-11", [trip()])
+    shown = refresh(store, TripFilter("both", "2025-11"))
+    assert rows(shown["top_pickup_zones"]) == [("Airport", "Queens", 2)]
+    assert far in {row.PULocationID for row in store.trips("yellow", ["2025-11"]).collect()}
+
+
+def test_release_leaves_no_file(store, tmp_path):
+    for colour in ("yellow", "green"):
+        write(store.data_dir, colour, "2025-11", [trip()])
+    work = tmp_path / "work"
+    shown = refresh(store, TripFilter("both"), folder=str(work))
+    assert shown["kpis"].first().total_trips == 2
+    assert len(list(work.iterdir())) == 1
+    shown.release()
+    assert list(work.iterdir()) == []
+
+
+def test_a_refresh_needs_a_shared_folder(store, monkeypatch):
+    for colour in ("yellow", "green"):
+        write(store.data_dir, colour, "2025-11", [trip()])
+    monkeypatch.setattr(dashboard, "work_folder", lambda spark: None)
+    with pytest.raises(ValueError, match="folder"):
+        refresh(store, TripFilter("both"))
+
+
 def test_preview_of_one_colour_shows_the_file(store):
     write(store.data_dir, "yellow", "2025-11", [trip(None, trip_distance=-1.0)] * 40)
     write(store.data_dir, "green", "2025-11", [trip()] * 40)

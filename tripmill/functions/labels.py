@@ -23,7 +23,8 @@ def _lookup(labels: dict[int, str], code: Column) -> Column:
         for key, label in labels.items()
         for part in (F.lit(key).cast("bigint"), F.lit(label))
     ]
-    return F.create_map(*entries)[code.cast("bigint")]
+    whole = code.cast("bigint")
+    return F.when(whole == code, F.create_map(*entries)[whole])
 
 
 def payment_label(code: Column) -> Column:

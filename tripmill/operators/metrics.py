@@ -14,20 +14,25 @@ from tripmill.operators import selection
 from tripmill.operators.selection import pickup
 
 
-def key_figures(counts_if: Column | None = None) -> list[Column]:
-    """The five key figures, over all rows or only those where counts_if holds."""
-
-    def measured(column: str) -> Column:
-        value = F.col(column)
-        return value if counts_if is None else F.when(counts_if, value)
-
-    total = F.count("*") if counts_if is None else F.count_if(counts_if)
+# How a metric's rows come, as the dashboard shows them.
+ORDER = {
+    "daily_trips": lambda: ["tag"],
+    "hourly_trips": lambda: ["stunde"],
+    "payment_dist": lambda: [F.desc("anzahl"), "payment_type"],
+    "distance_dist": lambda: ["km_bin"],
+    "hourly_fare_tip": lambda: ["stunde"],
+    "passenger_dist": lambda: ["passagiere"],
+    "weekday_stats": lambda: [calendar.monday_first(F.col("dow_num"))],
+}
+
+
+def key_figures() -> list[Column]:
     return [
-        total.alias("total_trips"),
-        F.sum(measured("total_amount")).alias("total_revenue"),
-        F.avg(measured("fare_amount")).alias("avg_fare"),
-        F.avg(measured("trip_distance")).alias("avg_distance"),
-        F.avg(measured("tip_amount")).alias("avg_tip"),
+        F.count("*").alias("total_trips"),
+        F.sum("total_amount").alias("total_revenue"),
+        F.avg("fare_amount").alias("avg_fare"),
+        F.avg("trip_distance").alias("avg_distance"),
+        F.avg("tip_amount").alias("avg_tip"),
     ]
 
 
@@ -50,19 +55,20 @@ def hourly_trips(trips: DataFrame) -> DataFrame:
 
 def payment_dist(trips: DataFrame) -> DataFrame:
     known = trips.where(selection.known_payment())
-    return payment_shares(_count_by(known, F.col("payment_type"), "payment_type", "anzahl"))
+    counts = _count_by(known, F.col("payment_type"), "payment_type", "anzahl")
+    return payment_shares(counts).orderBy(*ORDER["payment_dist"]())
 
 
 def payment_shares(counts: DataFrame) -> DataFrame:
-    """Label and share of total per payment code, most frequent first. The
-    window spans at most six rows: codes are limited to 1-6 before."""
+    """Label and share of total per payment code. The window spans the codes from 1
+    to 6 that occur: six, unless files store fractions."""
     share = F.col("anzahl") / F.sum("anzahl").over(Window.partitionBy())
     return counts.select(
         "payment_type",
         "anzahl",
         labels.payment_label(F.col("payment_type")).alias("Zahlungsart"),
         share.alias("anteil"),
-    ).orderBy(F.desc("anzahl"), "payment_type")
+    )
 
 
 def distance_dist(trips: DataFrame) -> DataFrame:
@@ -91,16 +97,12 @@ def passenger_dist(trips: DataFrame) -> DataFrame:
 
 
 def weekday_stats(trips: DataFrame) -> DataFrame:
-    return label_weekdays(
-        trips.groupBy(calendar.weekday(pickup()).alias("dow_num")).agg(
-            F.count("*").alias("fahrten"),
-            F.avg("fare_amount").alias("avg_fare"),
-        )
+    stats = trips.groupBy(calendar.weekday(pickup()).alias("dow_num")).agg(
+        F.count("*").alias("fahrten"),
+        F.avg("fare_amount").alias("avg_fare"),
     )
+    return label_weekdays(stats).orderBy(*ORDER["weekday_stats"]())
 
 
 def label_weekdays(stats: DataFrame) -> DataFrame:
-    """Weekday label, rows from Monday to Sunday."""
-    return stats.withColumn("Wochentag", labels.weekday_label(F.col("dow_num"))).orderBy(
-        calendar.monday_first(F.col("dow_num"))
-    )
+    return stats.withColumn("Wochentag", labels.weekday_label(F.col("dow_num")))

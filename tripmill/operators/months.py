@@ -6,9 +6,25 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tripmill.functions import calendar
 from tripmill.operators import selection
-from tripmill.operators.metrics import key_figures
+from tripmill.operators.selection import pickup
 from tripmill.sources.schema import BOTH, COLOURS, dataset_name
 
+# What a trend adds up: its key figures as sums and counts.
+MEASURES = ("total_amount", "fare_amount", "trip_distance", "tip_amount")
+SUMS = "pickup_no int, n bigint, n_tip bigint, file_no int, " + ", ".join(
+    f"{name} double" for name in MEASURES
+)
+
+
+def month_number(moment: Column) -> Column:
+    """Months since year 0: a whole number, cheaper per trip than a date or text."""
+    return F.year(moment) * 12 + F.month(moment)
+
+
+def number_of(monat: Column) -> Column:
+    """The same of a month written YYYY-MM; NULL if there is no such month (2025-13)."""
+    return month_number(F.concat(monat, F.lit("-01")).try_cast("date"))
+
 
 def _seen(colour: str) -> Column:
     return F.bool_or(F.col("taxi_type") == colour)
@@ -38,57 +54,97 @@ def on_both_sides(found: DataFrame) -> DataFrame:
 
 def available_months(trips: DataFrame) -> DataFrame:
     """Months whose trips (with file_month) come from both colours."""
-    return (
-        of_a_file(trips)
-        .groupBy("file_month")
-        .agg(_seen_on_both_sides().alias("complete"))
-        .where("complete")
-        .select(calendar.month_text(F.col("file_month")).alias("monat"))
-        .orderBy("monat")
+    found = of_a_file(trips).select("taxi_type", "file_month").distinct()
+    return on_both_sides(
+        found.select("taxi_type", calendar.month_text(F.col("file_month")).alias("monat"))
     )
 
 
-def source_counts(trips: DataFrame) -> DataFrame:
-    """Trips per colour and file month; a month one colour lacks counts 0."""
+def source_counts(counts: DataFrame) -> DataFrame:
+    """Trips per colour and month from rows (taxi_type, monat, n) that add up; a month
+    that one colour lacks counts 0."""
+    per_colour = (
+        F.coalesce(F.sum(F.when(F.col("taxi_type") == colour, F.col("n"))), F.lit(0)).alias(colour)
+        for colour in COLOURS
+    )
     return (
-        of_a_file(trips)
-        .groupBy("file_month")
-        .agg(*(F.count_if(F.col("taxi_type") == colour).alias(colour) for colour in COLOURS))
-        .withColumn("monat", calendar.month_text(F.col("file_month")))
+        counts.groupBy("monat")
+        .agg(*per_colour)
         .unpivot("monat", list(COLOURS), "taxi_type", "total")
         .select("taxi_type", "monat", "total")
         .orderBy("taxi_type", "monat")
     )
 
 
-def trend(trips: DataFrame, months: DataFrame) -> DataFrame:
-    """Key figures of each listed month from the trips of that month's files.
-    A month without a matching trip has count 0 and no other values."""
-    of_month = trips.where(selection.of_file_month() & selection.in_trend())
-    figures = of_month.groupBy("file_month").agg(*key_figures())
-    # By date: on the month's text, the join would have every trip's month
-    # written out, for a check that Spark derives from the key and pushes down.
-    first_day = F.concat("monat", F.lit("-01")).try_cast("date")
+def counts_of_rows(trips: DataFrame) -> DataFrame:
+    """(taxi_type, monat, n) of trips with file_month."""
+    return (
+        of_a_file(trips)
+        .groupBy("taxi_type", "file_month")
+        .agg(F.count("*").alias("n"))
+        .select("taxi_type", calendar.month_text(F.col("file_month")).alias("monat"), "n")
+    )
+
+
+def month_sums(trips: DataFrame, *keys: str | Column, every_key: bool = False) -> DataFrame:
+    """What the trend adds up, per key and pickup month. With every_key a key whose trips
+    are all unfit is there too, with n = 0; else unfit trips are left out at the scan."""
+    hit = pickup().isNotNull() & selection.in_trend()
+    rows = trips if every_key else trips.where(hit)
+
+    def counted(name: str) -> Column:
+        return F.when(hit, F.col(name)) if every_key else F.col(name)
+
+    return rows.groupBy(*keys, month_number(pickup()).alias("pickup_no")).agg(
+        (F.count_if(hit) if every_key else F.count("*")).alias("n"),
+        F.count(counted("tip_amount")).alias("n_tip"),
+        *(F.sum(counted(name)).alias(name) for name in MEASURES),
+    )
+
+
+def _figures(counts: Column) -> list[Column]:
+    """The five key figures from the sums for which `counts` holds. Fit trips have a
+    distance and a fare; tips may be missing and have a count of their own."""
+
+    def total(name: str) -> Column:
+        return F.sum(F.when(counts, F.col(name)))
+
+    return [
+        F.coalesce(total("n"), F.lit(0)).alias("total_trips"),
+        total("total_amount").alias("total_revenue"),
+        F.try_divide(total("fare_amount"), total("n")).alias("avg_fare"),
+        F.try_divide(total("trip_distance"), total("n")).alias("avg_distance"),
+        F.try_divide(total("tip_amount"), total("n_tip")).alias("avg_tip"),
+    ]
+
+
+def _of_own_month() -> Column:
+    return F.col("pickup_no") == F.col("file_no")
+
+
+def trend(sums: DataFrame, months: DataFrame) -> DataFrame:
+    """Key figures of each listed month from the sums (with file_no) of its files.
+    A month without a matching trip has count 0 and no other values; without any month
+    there are no rows."""
+    figures = sums.where(_of_own_month()).groupBy("file_no").agg(*_figures(F.lit(True)))
     return (
-        months.join(figures, first_day == F.col("file_month"), "left")
-        .drop("file_month")
+        months.join(figures, number_of(F.col("monat")) == F.col("file_no"), "left")
+        .drop("file_no")
         .fillna(0, ["total_trips"])
         .orderBy("monat")
     )
 
 
 def trend_of_complete_months(trips: DataFrame, dataset: str = BOTH) -> DataFrame:
-    """The same where no listing tells the months: trips of both colours, the
-    months those that both have. One pass finds months and key figures."""
+    """The same where no listing tells the months: trips of both colours with file_month,
+    the months those that both have. One pass finds months and key figures."""
     name = dataset_name(dataset)
-    hit = selection.in_trend() & selection.of_file_month_by_row()
-    if name != BOTH:
-        hit = hit & (F.col("taxi_type") == name)
+    own = _of_own_month() if name == BOTH else _of_own_month() & (F.col("taxi_type") == name)
+    keys = ("taxi_type", "file_month", month_number(F.col("file_month")).alias("file_no"))
     return (
-        of_a_file(trips)
-        .withColumn("hit", hit)
+        month_sums(of_a_file(trips), *keys, every_key=True)
         .groupBy("file_month")
-        .agg(*key_figures(F.col("hit")), _seen_on_both_sides().alias("complete"))
+        .agg(*_figures(own), _seen_on_both_sides().alias("complete"))
         .where("complete")
         .withColumn("monat", calendar.month_text(F.col("file_month")))
         .drop("file_month", "complete")

@@ -60,21 +60,6 @@ def plausible_passengers() -> Column:
     return F.col("passenger_count").between(1, 8)
 
 
-def of_file_month() -> Column:
-    """Picked up in the month of the file. As a range: over files, where
-    file_month is a constant, the Parquet reader gets its bounds."""
-    month = F.col("file_month")
-    return (pickup() >= month.cast("timestamp_ntz")) & (
-        pickup() < F.add_months(month, 1).cast("timestamp_ntz")
-    )
-
-
-def of_file_month_by_row() -> Column:
-    """The same where file_month differs from row to row: one comparison of
-    dates is less work per row than two computed bounds."""
-    return pickup().isNotNull() & (calendar.month_start(pickup()) == F.col("file_month"))
-
-
 def in_trend() -> Column:
     """The trend's own limits; those of the dashboard do not apply to it."""
     return (F.col("trip_distance") > 0) & (F.col("fare_amount") >= 0)

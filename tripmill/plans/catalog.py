@@ -82,12 +82,28 @@ TRIP_LOOKUPS = ("payment_type", "PULocationID", "DOLocationID")
 
 
 def raw_preview_both(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trips = starview.trips(spark, sf_dir, *TRIP_LOOKUPS)
+    trips = starview.trips(spark, sf_dir, *TRIP_LOOKUPS, narrow=_first_of())
     return preview.first_rows(trips.select(*TRIP_SCHEMA.names))
 
 
 def raw_preview_yellow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preview.first_rows(starview.raw_trips(spark, sf_dir, YELLOW, *TRIP_LOOKUPS))
+    trips = starview.raw_trips(spark, sf_dir, YELLOW, *TRIP_LOOKUPS, narrow=_first_of(YELLOW))
+    return preview.first_rows(trips)
+
+
+def _first_of(colour: str | None = None, limit: int = 30) -> Callable[[DataFrame], DataFrame]:
+    """Of lineitem, the rows among which the preview's are: those whose leading columns,
+    which need no lookup, are among the first. Only these few meet the lookups."""
+
+    def narrow(rows: DataFrame) -> DataFrame:
+        if colour:
+            rows = rows.where(F.expr(starview.TRIP_COLUMNS["taxi_type"]) == colour)
+        leading = TRIP_SCHEMA.names[: TRIP_SCHEMA.names.index("payment_type")]
+        return preview.rows_of_the_first(
+            rows, {name: F.expr(starview.TRIP_COLUMNS[name]) for name in leading}, limit
+        )
+
+    return narrow
 
 
 def combined_trips_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,6 +135,9 @@ def dashboard_both(spark: SparkSession, sf_dir: str) -> DataFrame:
         starview.trips(spark, sf_dir, *TRIP_LOOKUPS),
         starview.zones(spark, sf_dir),
         TripFilter(BOTH, max_dist=MAX_DIST),
+        # The warehouse is shared too, should the session name no folder for such work.
+        folder=dashboard.work_folder(spark) or spark.conf.get("spark.sql.warehouse.dir"),
+        ordered=False,
     )
     panels["monthly_kpis"] = months.trend_of_complete_months(
         starview.trips(spark, sf_dir, "file_month")
@@ -184,7 +203,7 @@ QUERIES: dict[str, Query] = {
     "monthly_kpis_green": _by_month(months.trend_of_complete_months, GREEN),
     "monthly_kpis_both": _by_month(months.trend_of_complete_months, BOTH),
     "available_months": _by_month(months.available_months),
-    "source_counts": _by_month(months.source_counts),
+    "source_counts": _by_month(lambda trips: months.source_counts(months.counts_of_rows(trips))),
     "raw_preview_yellow": raw_preview_yellow,
     "raw_preview_both": raw_preview_both,
     "combined_trips_profile": combined_trips_profile,

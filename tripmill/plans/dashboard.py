@@ -3,19 +3,19 @@
 Run one by one, the ten filtered metrics would scan the trips ten times, and
 keeping the filtered trips for them would store a copy of the data. Instead one
 pass counts and sums the trips along every key the panels use. That summary has
-a few thousand rows per month however many trips there are; it is checkpointed,
-so a lost executor cannot send a panel back to the trips, and the panels are
-small aggregations over it.
+a few thousand rows per month however many trips there are; it is written to a
+shared folder, so a lost executor cannot send a panel back to the trips, and the
+panels are small aggregations over it. Panels.release() removes what was written.
 """
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tripmill.functions import calendar, labels
-from tripmill.operators import metrics, months, selection, zones as zone_ranks
+from tripmill.operators import metrics, selection, zones as zone_ranks
 from tripmill.operators.preview import raw_preview
 from tripmill.operators.selection import TripFilter, pickup
 from tripmill.sources.store import TripStore
@@ -25,6 +25,11 @@ from tripmill.sources.store import TripStore
 # x 10), zones (some hundred). Fewer kinds copy each trip less often.
 TIME, CODES, PICKUP, DROPOFF = range(4)
 FIRST_DAY = "DATE'1970-01-01'"
+SUMMARY = (
+    "kind int, key1 {kind}, key2 int, key3 int, n bigint, total_amount double, "
+    "trip_distance double, fare_amount double, tip_amount double, n_tip bigint, "
+    "paid_fare double, n_paid bigint, paid_tip double, n_paid_tip bigint"
+)
 
 
 def summarise(trips: DataFrame) -> DataFrame:
@@ -33,33 +38,32 @@ def summarise(trips: DataFrame) -> DataFrame:
     Each trip is spread over the kinds and aggregated at once in the scan's
     stage. A trip that a metric leaves out has a NULL key there.
     """
-    fare, tip = F.col("fare_amount"), F.col("tip_amount")
+    kind = _key_type(trips)
     keyed = trips.select(
-        F.datediff(calendar.day(pickup()), F.expr(FIRST_DAY)).alias("day"),
+        F.datediff(calendar.day(pickup()), F.expr(FIRST_DAY)).cast(kind).alias("day"),
         F.hour(pickup()).alias("hour"),
-        F.when(selection.known_payment(), F.col("payment_type").cast("int")).alias("payment"),
+        F.when(selection.known_payment(), F.col("payment_type")).cast(kind).alias("payment"),
         F.when(selection.in_histogram(), labels.mile_bin(F.col("trip_distance"))).alias("mile"),
         F.when(
             selection.plausible_passengers(), labels.head_count(F.col("passenger_count"))
         ).alias("heads"),
-        "PULocationID",
-        "DOLocationID",
+        *(F.col(name).cast(kind).alias(name) for name in ("PULocationID", "DOLocationID")),
         "total_amount",
         "trip_distance",
-        fare,
-        tip,
+        "fare_amount",
+        "tip_amount",
     )
+    # Only the panels over time use sums; elsewhere NULL is copied and added up.
+    measures = "total_amount, trip_distance, fare_amount, tip_amount"
+    none = "NULL, NULL, NULL, NULL"
     spread = keyed.select(
         F.expr(
-            f"stack(4, {TIME}, day, hour, NULL, {CODES}, payment, mile, heads, "
-            f"{PICKUP}, PULocationID, NULL, NULL, {DROPOFF}, DOLocationID, NULL, NULL) "
-            "AS (kind, key1, key2, key3)"
-        ),
-        "total_amount",
-        "trip_distance",
-        fare,
-        tip,
+            f"stack(4, {TIME}, day, hour, NULL, {measures}, {CODES}, payment, mile, heads, {none}, "
+            f"{PICKUP}, PULocationID, NULL, NULL, {none}, {DROPOFF}, DOLocationID, NULL, NULL, {none}) "
+            f"AS (kind, key1, key2, key3, {measures})"
+        )
     )
+    fare, tip = F.col("fare_amount"), F.col("tip_amount")
     paid_fare, paid_tip = F.when(selection.paid(), fare), F.when(selection.paid(), tip)
     return spread.groupBy("kind", "key1", "key2", "key3").agg(
         F.count("*").alias("n"),
@@ -81,37 +85,72 @@ def _mean(total: str, count: str = "n") -> Column:
     return F.try_divide(F.sum(total), F.sum(count))
 
 
-def _keep(spark: SparkSession, summary: DataFrame) -> DataFrame:
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tripmill-"))
-    return summary.checkpoint()
+def _key_type(trips: DataFrame) -> str:
+    """What holds every code and id as it is stored: files may have wider ones."""
+    stored = {field.name: field.dataType for field in trips.schema}
+    if isinstance(stored["payment_type"], T.FractionalType):
+        return "double"
+    ids = [stored["PULocationID"], stored["DOLocationID"]]
+    if any(isinstance(each, T.FractionalType) for each in ids):
+        return "double"
+    return "int" if all(isinstance(each, T.IntegerType) for each in ids) else "bigint"
+
+
+def work_folder(spark: SparkSession) -> str | None:
+    """The shared folder that the session names for intermediate results, if any."""
+    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+
+
+class Panels(dict[str, DataFrame]):
+    """Panels by name, and the folder of the summary they read."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        super().__init__()
+        self.spark, self.folder = spark, folder
+
+    def release(self) -> None:
+        """Removes the summary; the filtered panels can't be computed after that."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def panels(
-    trips: DataFrame, zones: DataFrame, chosen: TripFilter, limit: int = zone_ranks.TOP_ZONES
-) -> dict[str, DataFrame]:
-    """The ten filtered metrics by name, equal to calling each on its own. The
-    pass over the trips runs now; the panels are lazy."""
-    summary = _keep(trips.sparkSession, summarise(chosen.apply(trips)))
+    trips: DataFrame,
+    zones: DataFrame,
+    chosen: TripFilter,
+    limit: int = zone_ranks.TOP_ZONES,
+    folder: str | None = None,
+    ordered: bool = True,
+) -> Panels:
+    """The ten filtered metrics by name, equal to calling each on its own. The pass over
+    the trips runs now and is written below `folder`, which all executors share (that of
+    the session if not given); the panels are lazy. Without order they come as they are
+    grouped, for a caller that goes on with them."""
+    spark = trips.sparkSession
+    folder = folder or work_folder(spark)
+    if not folder:
+        raise ValueError("name a folder that all executors share, or set spark.checkpoint.dir")
+    shown = Panels(spark, f"{folder.rstrip('/')}/dashboard-{uuid.uuid4()}")
+    filtered = chosen.apply(trips)
+    summarise(filtered).write.parquet(shown.folder)
+    summary = spark.read.schema(SUMMARY.format(kind=_key_type(filtered))).parquet(shown.folder)
+    code = filtered.schema["payment_type"].dataType.simpleString()
 
     def kind(which: int, **keys: str) -> DataFrame:
         named = {name: F.expr(value) for name, value in keys.items()}
         return summary.where(F.col("kind") == which).withColumns(named)
 
-    hours = kind(TIME, tag=f"date_add({FIRST_DAY}, key1)", stunde="CAST(key2 AS BIGINT)")
-    codes = kind(
-        CODES, payment_type="CAST(key1 AS BIGINT)", km_bin="key2", passagiere="key3"
+    hours = kind(
+        TIME, tag=f"date_add({FIRST_DAY}, CAST(key1 AS INT))", stunde="CAST(key2 AS BIGINT)"
     )
+    codes = kind(CODES, payment_type=f"CAST(key1 AS {code})", km_bin="key2", passagiere="key3")
     pickups = kind(PICKUP, PULocationID="key1")
     dropoffs = kind(DROPOFF, DOLocationID="key1")
 
     def counts(rows: DataFrame, key: str, name: str) -> DataFrame:
         return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.sum("n").alias(name))
 
-    return {
+    shown |= {
         "kpis": hours.agg(
             F.coalesce(F.sum("n"), F.lit(0)).alias("total_trips"),
             F.sum("total_amount").alias("total_revenue"),
@@ -119,10 +158,10 @@ def panels(
             _mean("trip_distance").alias("avg_distance"),
             _mean("tip_amount", "n_tip").alias("avg_tip"),
         ),
-        "daily_trips": counts(hours, "tag", "fahrten").orderBy("tag"),
-        "hourly_trips": counts(hours, "stunde", "fahrten").orderBy("stunde"),
+        "daily_trips": counts(hours, "tag", "fahrten"),
+        "hourly_trips": counts(hours, "stunde", "fahrten"),
         "payment_dist": metrics.payment_shares(counts(codes, "payment_type", "anzahl")),
-        "distance_dist": counts(codes, "km_bin", "anzahl").orderBy("km_bin"),
+        "distance_dist": counts(codes, "km_bin", "anzahl"),
         "top_pickup_zones": zone_ranks.rank_zones(
             counts(pickups, "PULocationID", "n"), zones, "PULocationID", limit
         ),
@@ -134,29 +173,31 @@ def panels(
         .agg(
             _mean("paid_fare", "n_paid").alias("avg_fare"),
             _mean("paid_tip", "n_paid_tip").alias("avg_tip"),
-        )
-        .orderBy("stunde"),
-        "passenger_dist": counts(codes, "passagiere", "fahrten").orderBy("passagiere"),
+        ),
+        "passenger_dist": counts(codes, "passagiere", "fahrten"),
         "weekday_stats": metrics.label_weekdays(
             hours.groupBy(calendar.weekday(F.col("tag")).alias("dow_num")).agg(
                 F.sum("n").alias("fahrten"), _mean("fare_amount").alias("avg_fare")
             )
         ),
     }
+    if ordered:
+        for name, order in metrics.ORDER.items():
+            shown[name] = shown[name].orderBy(*order())
+    return shown
 
 
-def refresh(store: TripStore, chosen: TripFilter) -> dict[str, DataFrame]:
+def refresh(store: TripStore, chosen: TripFilter, folder: str | None = None) -> Panels:
     """Everything the dashboard shows, in its order. Without a chosen month the
     latest available one is shown. The trend has all available months; it says
-    something from two rows on, which is the caller's to check."""
+    something from two rows on, which is the caller's to check. Release the panels
+    when they are no longer needed."""
     available = store.month_list()
     month = chosen.month or (available[-1] if available else "")
     if not month:
         raise ValueError(f"no month with both colours in {store.data_dir}")
     chosen = TripFilter(chosen.dataset, month, chosen.max_dist, chosen.min_fare)
-    shown = panels(store.trips(chosen.dataset, [month]), store.zones(), chosen)
-    shown["monthly_kpis"] = months.trend(
-        store.trips_by_file(chosen.dataset, available), store.available_months()
-    )
+    shown = panels(store.trips(chosen.dataset, [month]), store.zones(), chosen, folder=folder)
+    shown["monthly_kpis"] = store.trend(chosen.dataset, available)
     shown["raw_preview"] = raw_preview(store.raw(chosen.dataset, month))
     return shown

@@ -51,17 +51,25 @@ def raw_name(column: str, colour: str) -> str:
 
 
 def _to_type(value: Column, stored: T.DataType, wanted: T.DataType) -> Column:
+    """Months differ in how they store codes and ids. One that is stored as another
+    numeric type than the schema's stays as it is, and a union takes the wider type: a
+    code 1.5 or a very large id is counted and never changed."""
     if isinstance(stored, T.TimestampType) and isinstance(wanted, T.TimestampNTZType):
         # An instant: take its UTC wall clock, whatever the session zone is.
         epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
         return F.timestamp_add("MICROSECOND", F.unix_micros(value), epoch)
-    if isinstance(stored, T.FractionalType) and isinstance(wanted, T.IntegralType):
-        # Months differ in how they store codes. NaN or 1.5 is no code.
-        return F.when(value == F.rint(value), value).try_cast(wanted)
+    if isinstance(stored, T.NumericType) and isinstance(wanted, T.IntegralType):
+        return value if _wider(stored, wanted) else value.cast(wanted)
     return value.cast(wanted)
 
 
-def to_trip_schema(raw: DataFrame, colour: str, *kept: str) -> DataFrame:
+def _wider(stored: T.DataType, wanted: T.DataType) -> bool:
+    return isinstance(stored, T.FractionalType) or (
+        isinstance(stored, T.LongType) and isinstance(wanted, T.IntegerType)
+    )
+
+
+def to_trip_schema(raw: DataFrame, colour: str, *kept: str | Column) -> DataFrame:
     """Rename, cast and tag one colour's rows; further columns only if named.
 
     A column that the file lacks stays absent, so only a query that needs it

@@ -12,6 +12,8 @@ Spark's size threshold, and a key that holds many trips to its skew-join split.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tripmill.functions import calendar
@@ -80,13 +82,19 @@ def _orders(spark: SparkSession, sf_dir: str, needed: set[str]) -> DataFrame:
     return orders
 
 
-def trips(spark: SparkSession, sf_dir: str, *lookups: str, month: str = "") -> DataFrame:
+def trips(
+    spark: SparkSession,
+    sf_dir: str,
+    *lookups: str,
+    month: str = "",
+    narrow: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """Combined trips of both colours in one pass, in the combined schema
     without the looked-up columns that are not named.
 
     month narrows the scan to the ship dates that can yield a pickup in that
     month: a pickup follows its ship date by less than a day. The filter on the
-    pickup time still decides.
+    pickup time still decides. narrow takes rows out of lineitem before the lookups.
     """
     needed = set(lookups)
     if needed - LOOKUPS:
@@ -99,6 +107,8 @@ def trips(spark: SparkSession, sf_dir: str, *lookups: str, month: str = "") -> D
         rows = rows.where(
             (shipped > first - F.expr("INTERVAL '1' DAY")) & (shipped < following)
         )
+    if narrow:
+        rows = narrow(rows)
     if needed & ORDER_LOOKUPS:
         orders = _orders(spark, sf_dir, needed)
         rows = rows.join(orders, F.expr("l_orderkey = o_orderkey"), "left")
@@ -114,11 +124,9 @@ def trips(spark: SparkSession, sf_dir: str, *lookups: str, month: str = "") -> D
     )
 
 
-def raw_trips(
-    spark: SparkSession, sf_dir: str, colour: str, *lookups: str, month: str = ""
-) -> DataFrame:
+def raw_trips(spark: SparkSession, sf_dir: str, colour: str, *lookups: str, **how) -> DataFrame:
     """One colour's trips under the column names of its own files."""
-    tagged = trips(spark, sf_dir, *lookups, month=month).where(f"taxi_type = '{colour}'")
+    tagged = trips(spark, sf_dir, *lookups, **how).where(f"taxi_type = '{colour}'")
     return tagged.drop("taxi_type").withColumnsRenamed(
         {name: raw_name(name, colour) for name in TRIP_SCHEMA.names}
     )

@@ -9,10 +9,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tripmill.functions import calendar
 from tripmill.operators import months
 from tripmill.sources import layout
-from tripmill.sources.schema import COLOURS, colours_of, to_trip_schema
+from tripmill.sources.schema import colours_of, to_trip_schema
 
 
 @dataclass(frozen=True)
@@ -22,8 +21,8 @@ class TripStore:
     zones_csv: str
 
     def files(self) -> DataFrame:
-        """(taxi_type, monat) of every trip file, one row per part file."""
-        return layout.listing(self.spark, self.data_dir)
+        """(taxi_type, monat) of every trip file."""
+        return layout.listing(self.spark, layout.month_files(self.spark, self.data_dir))
 
     def available_months(self) -> DataFrame:
         """Months present for both colours, ascending, as column monat."""
@@ -43,73 +42,81 @@ class TripStore:
         return self.spark.read.parquet(layout.trip_path(self.data_dir, colours[0], month))
 
     def trips(self, dataset: str, wanted: Iterable[str]) -> DataFrame:
-        """Trips of the named months' files in the combined schema."""
-        return self.trips_by_file(dataset, wanted).drop("file_month")
-
-    def trips_by_file(self, dataset: str, wanted: Iterable[str]) -> DataFrame:
-        """The same with file_month, the first day of the file's month.
-
-        Each month is a read of its own with the month as a constant. Months
-        may store a column with different types, which one Parquet read refuses;
-        and a filter on the file's month becomes a range the reader can use,
-        where taking the month from the path would cost more per trip than the
-        rest of the query. Months stored alike are brought to the trip schema
-        together.
-        """
-        wanted = list(wanted)
+        """Trips of the named months' files in the combined schema, without the columns
+        that some of the files lack: only a query that needs one fails."""
         parts = [
-            to_trip_schema(reduce(DataFrame.union, alike), colour, "file_month")
+            to_trip_schema(raw, colour)
             for colour in colours_of(dataset)
-            for alike in self._read(colour, wanted)
+            for raw in self._read(colour, list(wanted))
         ]
         if not parts:
             raise ValueError("no month to read")
-        return reduce(DataFrame.unionByName, parts)
+        shared = [name for name in parts[0].columns if all(name in part.columns for part in parts)]
+        return reduce(DataFrame.unionByName, (part.select(*shared) for part in parts))
 
-    def _read(self, colour: str, wanted: list[str]) -> list[list[DataFrame]]:
-        """Each month's file as stored plus file_month, grouped by schema.
-        Opening a file is a footer read of its own, so they overlap."""
+    def _read(self, colour: str, wanted: list[str]) -> list[DataFrame]:
+        """The months' files as stored, those with one schema in one scan. Months may
+        store a column with different types, which one Parquet read refuses. Asking a
+        file for its schema is a footer read, so these overlap."""
 
-        def open_file(month: str) -> tuple[str, DataFrame]:
-            raw = self.spark.read.parquet(layout.trip_path(self.data_dir, colour, month))
-            return raw.schema.json(), raw.withColumn("file_month", calendar.first_day(month))
+        def schema_of(month: str):
+            path = layout.trip_path(self.data_dir, colour, month)
+            return path, self.spark.read.parquet(path).schema
 
-        alike: dict[str, list[DataFrame]] = {}
+        alike: dict[str, tuple] = {}
         with ThreadPoolExecutor(max_workers=16) as pool:
-            for schema, raw in pool.map(open_file, wanted):
-                alike.setdefault(schema, []).append(raw)
-        return list(alike.values())
+            for path, schema in pool.map(schema_of, wanted):
+                alike.setdefault(schema.json(), (schema, []))[1].append(path)
+        return [self.spark.read.schema(schema).parquet(*paths) for schema, paths in alike.values()]
+
+    def month_sums(self, dataset: str, wanted: Iterable[str]) -> DataFrame:
+        """What the trend adds up, per file month and pickup month (whole numbers).
+
+        One scan per stored schema, however many months: trips are summed per hash of
+        their file's path and per pickup month, and only those few rows learn which
+        month the path stands for. The path itself as a key, or a month cut from it,
+        would cost more per trip than all the rest."""
+        parts = []
+        for colour in colours_of(dataset):
+            for raw in self._read(colour, list(wanted)):
+                trips = to_trip_schema(raw, colour, layout.file_hash().alias("file"))
+                summed = months.month_sums(trips, "file")
+                parts.append(summed.join(self._month_of(raw), "file").drop("file"))
+        if not parts:
+            return self.spark.createDataFrame([], months.SUMS)
+        return reduce(DataFrame.unionByName, parts)
+
+    def _month_of(self, raw: DataFrame) -> DataFrame:
+        """(file, file_no) of the files of a scan, which the reader lists itself."""
+        number = months.number_of(layout.month_in(F.col("path")))
+        per_file = layout.hashed_files(raw).groupBy("file").agg(
+            F.min(number).alias("file_no"), F.max(number).alias("other")
+        )
+        clash = F.raise_error(F.lit("two files share a hash: read fewer months at once"))
+        alike = F.col("file_no").eqNullSafe(F.col("other"))
+        return per_file.select("file", F.when(alike, F.col("file_no")).otherwise(clash.cast("int")).alias("file_no"))
+
+    def trend(self, dataset: str, wanted: list[str]) -> DataFrame:
+        """Key figures of each of the months from the trips of that month's files."""
+        listed = self.spark.createDataFrame([(month,) for month in wanted], "monat string")
+        return months.trend(self.month_sums(dataset, wanted), listed)
 
     def source_counts(self) -> DataFrame:
         """Rows per colour and month of all trip files; 0 where a month of the
-        other colour has no file. No column is read, only counts in footers."""
-        found = self.files().distinct()
-        paths = [
-            layout.trip_path(self.data_dir, row.taxi_type, row.monat)
-            for row in found.collect()
-        ]
+        other colour has no file. No column is read; rows are counted per hash of
+        their file's path."""
+        found = layout.month_files(self.spark, self.data_dir)
+        paths = [layout.trip_path(self.data_dir, *each) for each in found]
         # Zeros are added, not joined: a join on names cut from the path would
         # push a check of them down to every row.
-        counts = found.select(
-            F.explode(F.array(*map(F.lit, COLOURS))).alias("taxi_type"),
-            "monat",
-            F.lit(0).cast("bigint").alias("n"),
-        )
+        counts = layout.listing(self.spark, found).withColumn("n", F.lit(0).cast("bigint"))
         if paths:
+            every = self.spark.read.parquet(*paths)
             path = F.col("path")
-            per_file = (
-                self.spark.read.parquet(*paths)
-                .groupBy(F.col("_metadata.file_path").alias("path"))
-                .agg(F.count("*").alias("n"))
-            )
-            counts = counts.union(
-                per_file.select(layout.colour_in(path), layout.month_in(path), "n")
-            )
-        return (
-            counts.groupBy("taxi_type", "monat")
-            .agg(F.sum("n").alias("total"))
-            .orderBy("taxi_type", "monat")
-        )
+            per_file = every.groupBy(layout.file_hash().alias("file")).agg(F.count("*").alias("n"))
+            named = per_file.join(layout.hashed_files(every), "file")
+            counts = counts.union(named.select(layout.colour_in(path), layout.month_in(path), "n"))
+        return months.source_counts(counts)
 
     def zones(self) -> DataFrame:
         """The zone lookup. Columns go by header name; every value is text but
