@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tripmill.functions import calendar
 from tripmill.operators import selection
+from tripmill.operators.metrics import key_figures
 from tripmill.operators.selection import pickup
 from tripmill.sources.schema import BOTH, COLOURS, dataset_name
 
@@ -86,47 +87,41 @@ def counts_of_rows(trips: DataFrame) -> DataFrame:
     )
 
 
-def month_sums(trips: DataFrame, *keys: str | Column, every_key: bool = False) -> DataFrame:
-    """What the trend adds up, per key and pickup month. With every_key a key whose trips
-    are all unfit is there too, with n = 0; else unfit trips are left out at the scan."""
-    hit = pickup().isNotNull() & selection.in_trend()
-    rows = trips if every_key else trips.where(hit)
+def _fit() -> Column:
+    return pickup().isNotNull() & selection.in_trend()
 
-    def counted(name: str) -> Column:
-        return F.when(hit, F.col(name)) if every_key else F.col(name)
 
-    return rows.groupBy(*keys, month_number(pickup()).alias("pickup_no")).agg(
-        (F.count_if(hit) if every_key else F.count("*")).alias("n"),
-        F.count(counted("tip_amount")).alias("n_tip"),
-        *(F.sum(counted(name)).alias(name) for name in MEASURES),
+def month_sums(trips: DataFrame, *keys: str | Column) -> DataFrame:
+    """What the trend adds up, per key and pickup month."""
+    return (
+        trips.where(_fit())
+        .groupBy(*keys, month_number(pickup()).alias("pickup_no"))
+        .agg(
+            F.count("*").alias("n"),
+            F.count("tip_amount").alias("n_tip"),
+            *(F.sum(name).alias(name) for name in MEASURES),
+        )
     )
 
 
-def _figures(counts: Column) -> list[Column]:
-    """The five key figures from the sums for which `counts` holds. Fit trips have a
-    distance and a fare; tips may be missing and have a count of their own."""
-
-    def total(name: str) -> Column:
-        return F.sum(F.when(counts, F.col(name)))
-
+def _figures() -> list[Column]:
+    """The five key figures from the sums. Fit trips have a distance and a fare; tips
+    may be missing and have a count of their own."""
     return [
-        F.coalesce(total("n"), F.lit(0)).alias("total_trips"),
-        total("total_amount").alias("total_revenue"),
-        F.try_divide(total("fare_amount"), total("n")).alias("avg_fare"),
-        F.try_divide(total("trip_distance"), total("n")).alias("avg_distance"),
-        F.try_divide(total("tip_amount"), total("n_tip")).alias("avg_tip"),
+        F.sum("n").alias("total_trips"),
+        F.sum("total_amount").alias("total_revenue"),
+        F.try_divide(F.sum("fare_amount"), F.sum("n")).alias("avg_fare"),
+        F.try_divide(F.sum("trip_distance"), F.sum("n")).alias("avg_distance"),
+        F.try_divide(F.sum("tip_amount"), F.sum("n_tip")).alias("avg_tip"),
     ]
 
 
-def _of_own_month() -> Column:
-    return F.col("pickup_no") == F.col("file_no")
-
-
 def trend(sums: DataFrame, months: DataFrame) -> DataFrame:
     """Key figures of each listed month from the sums (with file_no) of its files.
     A month without a matching trip has count 0 and no other values; without any month
     there are no rows."""
-    figures = sums.where(_of_own_month()).groupBy("file_no").agg(*_figures(F.lit(True)))
+    own = sums.where(F.col("pickup_no") == F.col("file_no"))
+    figures = own.groupBy("file_no").agg(*_figures())
     return (
         months.join(figures, number_of(F.col("monat")) == F.col("file_no"), "left")
         .drop("file_no")
@@ -139,12 +134,14 @@ def trend_of_complete_months(trips: DataFrame, dataset: str = BOTH) -> DataFrame
     """The same where no listing tells the months: trips of both colours with file_month,
     the months those that both have. One pass finds months and key figures."""
     name = dataset_name(dataset)
-    own = _of_own_month() if name == BOTH else _of_own_month() & (F.col("taxi_type") == name)
-    keys = ("taxi_type", "file_month", month_number(F.col("file_month")).alias("file_no"))
+    hit = _fit() & (month_number(pickup()) == month_number(F.col("file_month")))
+    if name != BOTH:
+        hit = hit & (F.col("taxi_type") == name)
     return (
-        month_sums(of_a_file(trips), *keys, every_key=True)
+        of_a_file(trips)
+        .withColumn("hit", hit)
         .groupBy("file_month")
-        .agg(*_figures(own), _seen_on_both_sides().alias("complete"))
+        .agg(*key_figures(F.col("hit")), _seen_on_both_sides().alias("complete"))
         .where("complete")
         .withColumn("monat", calendar.month_text(F.col("file_month")))
         .drop("file_month", "complete")
