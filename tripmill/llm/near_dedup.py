@@ -11,7 +11,8 @@ an order is a run of signatures with a common beginning:
 * a crowded region, at every depth, also pairs its members with its pivots: the members
   nearest to the most common value of each position. Copies of one text are often
   similar to that text and not to each other, which no order shows. A region that lies
-  in several partitions has its pivots chosen among those of all parts.
+  in several partitions has its pivots chosen among those of all parts. There a member
+  only offers the few neighbours and pivots that agree most.
 
 So pairs grow with the rows and not with the square of a region. Pairs whose signatures
 agree too little are left out. Links are confirmed on full sets: first each class with
@@ -39,11 +40,15 @@ STEP = POSITIONS // ORDERS
 LEAST_DEPTH = 2
 DEPTHS = (2, 3, 4, 6, 8)
 NEXT = 12
-PIVOTS = 6
+PIVOTS = 8
 # Similarity 0.75 puts the agreement of 64 positions below 0.5 three times in a million.
 LEAST_AGREEMENT = 0.5
-ROWS_PER_PARTITION = 150_000
-WORDS_HELD = 200_000
+ROWS_PER_PARTITION = 60_000
+# Of a crowded region each row offers only its likeliest neighbours and pivots.
+OFFERED = 4
+# Rows of pairs and links per task.
+PAIRS_PER_PARTITION = 200_000
+WORDS_HELD = 100_000
 
 _MIX = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63],
@@ -153,12 +158,41 @@ def _as_rows(a, b, agreement, to_pivot) -> pa.RecordBatch:
 
 
 def _against(marks: np.ndarray, ids: np.ndarray, pivot_marks: np.ndarray, pivot_ids: np.ndarray):
-    """Pairs of each row with each pivot that agree enough."""
-    for mark, pivot in zip(pivot_marks, pivot_ids):
-        near = _agreement(marks, mark)
-        hit = np.flatnonzero((near >= LEAST_AGREEMENT) & (ids != pivot))
-        if len(hit):
-            yield _as_rows(ids[hit], np.full(len(hit), pivot), near[hit], True)
+    """Pairs of each row with the pivots that agree most, and enough."""
+    near = np.stack([_agreement(marks, mark) for mark in pivot_marks], axis=1)
+    near[ids[:, None] == pivot_ids] = -1.0
+    which = np.argsort(-near, axis=1, kind="stable")[:, :OFFERED]
+    rows = np.repeat(np.arange(len(ids)), which.shape[1])
+    which = which.ravel()
+    hit = near[rows, which] >= LEAST_AGREEMENT
+    rows, which = rows[hit], which[hit]
+    yield _as_rows(ids[rows], pivot_ids[which], near[rows, which], True)
+
+
+def _next_ones(marks: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Pairs of neighbours of a sorted order that share LEAST_DEPTH positions: all within
+    NEXT, in crowded regions the best few of each row."""
+    begins = np.flatnonzero((marks[1:, :LEAST_DEPTH] != marks[:-1, :LEAST_DEPTH]).any(axis=1)) + 1
+    edges = np.concatenate([[0], begins, [len(marks)]])
+    region = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+    crowded = np.diff(edges)[region] > NEXT + 1
+    left, right, agreed = [], [], []
+    for off in range(1, min(NEXT, len(marks) - 1) + 1):
+        same = np.flatnonzero(region[off:] == region[:-off])
+        near = _agreement(marks[same], marks[same + off])
+        hit = (near >= LEAST_AGREEMENT) & (ids[same] != ids[same + off])
+        left.append(same[hit])
+        right.append(same[hit] + off)
+        agreed.append(near[hit])
+    if not left:
+        return
+    a, b, near = (np.concatenate(each) for each in (left, right, agreed))
+    offered = ~crowded[a]
+    for side in (a, b):
+        order = np.lexsort((-near, side))
+        place = np.arange(len(order)) - np.searchsorted(side[order], side[order])
+        offered[order[place < OFFERED]] = True
+    yield _as_rows(ids[a[offered]], ids[b[offered]], near[offered], False)
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,12 +209,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for order in np.unique(orders):
         begin, end = np.searchsorted(orders, [order, order + 1])
         part, names = marks[begin:end], ids[begin:end]
-        for off in range(1, min(NEXT, len(part) - 1) + 1):
-            same = np.flatnonzero((part[off:, :LEAST_DEPTH] == part[:-off, :LEAST_DEPTH]).all(axis=1))
-            near = _agreement(part[same], part[same + off])
-            hit = (near >= LEAST_AGREEMENT) & (names[same] != names[same + off])
-            if hit.any():
-                yield _as_rows(names[same[hit]], names[same[hit] + off], near[hit], False)
+        yield from _next_ones(part, names)
         for depth in DEPTHS:
             for low, high in _runs(part, depth):
                 chosen = low + _pivot_rows(part[low:high], names[low:high])
@@ -200,12 +229,19 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _common_pivots(key, group):
-    """The pivots of a region among those of its parts, two rows a partition at most."""
-    group = group.drop_duplicates("a")
-    marks = np.frombuffer(b"".join(group["mark"]), ">u2").reshape(-1, POSITIONS)
-    best = group.iloc[_pivot_rows(marks, group["a"].to_numpy())]
-    return best[["order", "region", "a", "mark"]]
+def _common_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pivots of each region among those of its parts, some for each partition."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            ids = np.array([part["a"] for part in row["parts"]], np.int64)
+            marks = np.frombuffer(b"".join(part["mark"] for part in row["parts"]), ">u2").reshape(-1, POSITIONS)
+            best = _pivot_rows(marks, ids)
+            n = len(best)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([row["order"]] * n, pa.int32()), pa.array([row["region"]] * n, pa.binary()),
+                 pa.array(ids[best]), pa.array([marks[i].tobytes() for i in best], pa.binary())],
+                ["order", "region", "pivot", "pivot_mark"],
+            )
 
 
 def _with_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,14 +271,14 @@ def candidates(classes: DataFrame) -> DataFrame:
         .mapInArrow(_neighbours, _PAIRS)
     )
     parted = found.where("region IS NOT NULL").select("order", "region", "a", "mark")
-    several = parted.groupBy("order", "region").agg(F.count("*").alias("n")).where(f"n > {PIVOTS}").drop("n")
+    # Of a region, PIVOTS rows for each partition that it lies in.
     pivots = (
-        parted.join(several, ["order", "region"])
-        .groupBy("order", "region")
-        .applyInPandas(_common_pivots, "order int, region binary, a long, mark binary")
-        .select("order", "region", F.col("a").alias("pivot"), F.col("mark").alias("pivot_mark"))
+        parted.groupBy("order", "region")
+        .agg(F.collect_set(F.struct("a", "mark")).alias("parts"))
+        .where(F.size("parts") > PIVOTS)
+        .mapInArrow(_common_pivots, "order int, region binary, pivot long, pivot_mark binary")
     )
-    # Two regions a partition at most, so at most 12 times as many rows as partitions.
+    # Two regions a partition at most, so at most 2 PIVOTS times as many rows as partitions.
     again = (
         rows.withColumn("region", F.substring("mark", 1, 2 * LEAST_DEPTH))
         .join(F.broadcast(pivots), ["order", "region"])
@@ -267,8 +303,10 @@ def _least_partitions(frame: DataFrame) -> int:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = _WordHashes()
     for batch in batches:
-        values = [shingles(text.as_py(), hashes).tobytes() for text in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(values, pa.binary())], ["id", "elements"])
+        for start in range(0, batch.num_rows, 512):
+            part = batch.slice(start, 512)
+            values = [shingles(text.as_py(), hashes).tobytes() for text in part.column("text")]
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(values, pa.binary())], ["id", "elements"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,11 +326,18 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInArrow(_confirm, "a long, b long")
 
 
+def _compact(frame: DataFrame) -> DataFrame:
+    """A frame that is kept, in tasks of PAIRS_PER_PARTITION rows or thereabouts: a small
+    one would else go through as many files as there are partitions, again and again."""
+    return frame.coalesce(1 + frame.count() // PAIRS_PER_PARTITION)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, root): of every linked id the smallest one it reaches. Large and small stars
     alternate until nothing changes; each is an aggregation and a join, so a node with
     very many links is no group in a task. The driver sees a count and a checksum."""
-    edges = common.cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    edges = _compact(common.cut(edges.where("u <> v").distinct()))
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -301,7 +346,7 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = common.cut(small.where("u <> v").distinct())
+        edges = _compact(common.cut(small.where("u <> v").distinct()))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
@@ -333,18 +378,18 @@ def near_groups(docs: DataFrame) -> DataFrame:
     classes = common.cut(
         linkable.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.any_value("mark").alias("mark"))
     )
-    pairs = common.cut(candidates(classes.select("id", "mark")))
+    pairs = _compact(common.cut(candidates(classes.select("id", "mark"))))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     sets = common.cut(texts.join(wanted, "id", "left_semi").mapInArrow(_sets, "id long, elements binary"))
-    links = common.cut(confirmed(_best(pairs), sets))
+    links = _compact(common.cut(confirmed(_best(pairs), sets)))
     first = components(links)
     ends = pairs.select("a", "b")
     for end in ("a", "b"):
         root = first.select(F.col("id").alias(end), F.col("root").alias(f"root_{end}"))
         ends = ends.join(root, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
-    apart = common.cut(ends.where("root_a <> root_b"))
-    more = confirmed(apart.select("a", "b"), sets)
+    apart = _compact(common.cut(ends.where("root_a <> root_b").select("a", "b")))
+    more = confirmed(apart, sets)
     roots = components(links.unionByName(more))
     of_class = classes.join(roots, "id", "left").select(
         "set_key", F.coalesce("root", "id").alias("component_id")
