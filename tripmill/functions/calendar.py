@@ -44,10 +44,6 @@ def in_month(ts: Column, month: str) -> Column:
     return (ts >= first) & (ts < following)
 
 
-def month_start(ts: Column) -> Column:
-    return F.trunc(ts.cast("date"), "MM")
-
-
 def month_text(first_day: Column) -> Column:
     return F.substring(first_day.cast("string"), 1, 7)
 
