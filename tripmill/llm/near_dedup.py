@@ -379,7 +379,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
         linkable.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.any_value("mark").alias("mark"))
     )
     pairs = _compact(common.cut(candidates(classes.select("id", "mark"))))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    # Each side is made distinct before the two meet, so pairs are not doubled.
+    wanted = pairs.select(F.col("a").alias("id")).distinct().union(pairs.select("b").distinct()).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     sets = common.cut(texts.join(wanted, "id", "left_semi").mapInArrow(_sets, "id long, elements binary"))
     links = _compact(common.cut(confirmed(_best(pairs), sets)))
