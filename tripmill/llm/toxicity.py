@@ -29,11 +29,11 @@ from tripmill.llm import common
 from tripmill.llm.pieces import HELD
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-BEGINNINGS = (4, 5, 6, 7, 8)
+BEGINNINGS = (4, 5, 7)
 AGAIN = "+"
 #: Labelled documents that are learned from at most, and terms chosen at most (each
 #: once more where only its double was chosen).
-TOXIC_EXAMPLES, OTHER_EXAMPLES, TERMS = 4_000, 8_000, 4_096
+TOXIC_EXAMPLES, OTHER_EXAMPLES, TERMS = 4_000, 8_000, 2_048
 #: A term is chosen from so many toxic examples, such a lift and such a G-statistic on.
 LEAST_EXAMPLES, LEAST_LIFT, LEAST_G = 3, 3.0, 15.0
 NEIGHBOURS = 15
@@ -76,8 +76,8 @@ class Vectors:
 
 
 class Index:
-    """Unit vectors of examples in blocks, with the largest weight of each term per block.
-    Examples are ordered by their heaviest terms, so a block's examples are alike."""
+    """Unit vectors of examples in blocks of an inverted index, with the largest weight of
+    each term per block. Examples are ordered by their heaviest terms, so a block's examples are alike."""
 
     def __init__(self, vectors: list[dict[int, float]], toxic: list[int], ids: list[int]):
         heaviest = [sorted(vector, key=lambda t: (-vector[t], t)) for vector in vectors]
@@ -85,43 +85,43 @@ class Index:
         self.toxic = np.array([toxic[i] for i in order], float)
         self.ids = [ids[i] for i in order]
         self.position = {i: place for place, i in enumerate(order)}
-        self.blocks: list[dict[int, tuple[np.ndarray, np.ndarray]]] = []
-        bounds: dict[int, list[tuple[int, float]]] = {}
-        for start in range(0, len(order), BLOCK):
-            postings: dict[int, list[tuple[int, float]]] = {}
-            for place, i in enumerate(order[start : start + BLOCK]):
+        width = 1 + max((t for vector in vectors for t in vector), default=-1)
+        count = -(-len(order) // BLOCK)
+        # Per block the places of the terms it has, and their weights as a small table.
+        self.place = np.full((count, width), -1, np.int16)
+        self.blocks: list[np.ndarray] = []
+        self.bounds = np.zeros((width, count))
+        for number in range(count):
+            members = order[number * BLOCK : (number + 1) * BLOCK]
+            own = sorted({t for i in members for t in vectors[i]})
+            self.place[number, own] = np.arange(len(own))
+            weights = np.zeros((len(own), BLOCK))
+            for column, i in enumerate(members):
                 for term, weight in vectors[i].items():
-                    postings.setdefault(term, []).append((place, weight))
-            block = {t: (np.array([p for p, _ in each]), np.array([w for _, w in each])) for t, each in postings.items()}
-            for term, (_, weights) in block.items():
-                bounds.setdefault(term, []).append((len(self.blocks), float(weights.max())))
-            self.blocks.append(block)
-        self.bounds = {t: (np.array([b for b, _ in each]), np.array([w for _, w in each])) for t, each in bounds.items()}
+                    weights[self.place[number, term], column] = weight
+            self.blocks.append(weights)
+            self.bounds[own, number] = weights.max(axis=1)
 
     def nearest(self, query: dict[int, float], k: int = NEIGHBOURS, without: int = -1) -> list[tuple[float, int]]:
         """The k largest (cosine, -place) with positive cosine, falling; of equal cosines
         the smaller places."""
-        bound = np.zeros(len(self.blocks))
-        for term, weight in query.items():
-            if term in self.bounds:
-                blocks, most = self.bounds[term]
-                bound[blocks] += weight * most
+        known = [t for t in query if t < len(self.bounds)]
+        terms_ = np.array(known, np.int64)
+        weights = np.array([query[t] for t in known])
+        bound = weights @ self.bounds[terms_] if known else np.zeros(len(self.blocks))
         best: list[tuple[float, int]] = []
-        for number in np.argsort(-bound, kind="stable"):
+        for number in np.argsort(-bound, kind="stable").tolist():
             limit = bound[number] + 1e-9
             if limit <= 1e-9 or (len(best) == k and best[0][0] > limit):
                 break
-            cosine = np.zeros(BLOCK)
-            block = self.blocks[number]
-            for term, weight in query.items():
-                if term in block:
-                    places, weights = block[term]
-                    cosine[places] += weight * weights
+            rows = self.place[number, terms_]
+            has = rows >= 0
+            cosine = np.round(weights[has] @ self.blocks[number][rows[has]], 9)
             floor = best[0][0] if len(best) == k else 0.0
             for place in np.flatnonzero((cosine > 0) & (cosine >= floor)).tolist():
-                at = int(number) * BLOCK + place
+                at = number * BLOCK + place
                 if at != without:
-                    entry = (round(float(cosine[place]), 9), -at)
+                    entry = (float(cosine[place]), -at)
                     if len(best) < k:
                         heapq.heappush(best, entry)
                     elif entry > best[0]:
