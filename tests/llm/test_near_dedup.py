@@ -66,6 +66,22 @@ def test_regions_over_many_partitions(documents, star, monkeypatch):
     assert got(documents(star)) == expected(star)
 
 
+def test_pairs_within_a_crowd_that_is_less_similar(documents):
+    """2,000 texts at 0.70 to each other by a passage of all, 40 pairs of them at 0.76."""
+    passage = [f"p{n}" for n in range(284)]
+    rows = []
+    for i in range(2_000):
+        # 280 shingles of the passage and 60 others; a pair shares 14 of these.
+        own = [f"o{i}x{n}" for n in range(60)]
+        if i < 80:
+            own[:14] = [f"s{i // 2}x{n}" for n in range(14)]
+        rows.append((i, " ".join(passage + own)))
+    sets = [shingle_set(text) for _, text in rows[:3]]
+    assert len(sets[0] & sets[1]) / len(sets[0] | sets[1]) > 0.75 > 0.72 > len(sets[0] & sets[2]) / len(sets[0] | sets[2]) > 0.69
+    found = {i: root for i, _, root, _ in got(documents(rows))}
+    assert found == {i: i - i % 2 if i < 80 else i for i in range(2_000)}
+
+
 def test_odd_rows(documents, odd_rows):
     rows = [row for row in odd_rows if row[0] is not None]
     result = near_dedup.near_groups(documents(odd_rows)).collect()

@@ -18,6 +18,10 @@ So pairs grow with the rows and not with the square of a region. Pairs whose sig
 agree too little are left out. Links are confirmed on full sets: first each class with
 its likeliest partner and pivot, then the pairs whose ends are not yet connected; a pair
 within one component cannot change the result. Components come from alternating stars.
+
+What neighbours and pivots of a crowded region leave out is found by an exact join of its
+members that are in different components: rarest shingles first, two sets that are
+similar enough have one in common near the front of both.
 """
 
 from __future__ import annotations
@@ -49,6 +53,8 @@ OFFERED = 4
 # Rows of pairs and links per task.
 PAIRS_PER_PARTITION = 200_000
 WORDS_HELD = 100_000
+# The join of a shingle that more members have is split.
+HOT_SHINGLE = 5_000
 
 _MIX = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63],
@@ -196,9 +202,10 @@ def _next_ones(marks: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates of one sorted partition, and the pivots of the regions at its two
-    ends, which may go on in other partitions. A partition has ROWS_PER_PARTITION rows
-    or thereabouts, of about 150 bytes."""
+    """Candidates of one sorted partition, the pivots of the regions at its two ends,
+    which may go on in other partitions, and (with neither b nor region) the members of
+    these and of crowded regions. A partition has ROWS_PER_PARTITION rows or
+    thereabouts, of about 150 bytes."""
     held = [batch for batch in batches if batch.num_rows]
     if not held:
         return
@@ -206,10 +213,12 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ids, orders = (rows.column(name).to_numpy() for name in ("id", "order"))
     marks = np.frombuffer(b"".join(rows.column("mark").to_pylist()), ">u2").reshape(-1, POSITIONS)
     del rows, held
+    members = []
     for order in np.unique(orders):
         begin, end = np.searchsorted(orders, [order, order + 1])
         part, names = marks[begin:end], ids[begin:end]
         yield from _next_ones(part, names)
+        members += [names[low:high] for low, high in _runs(part, LEAST_DEPTH)]
         for depth in DEPTHS:
             for low, high in _runs(part, depth):
                 chosen = low + _pivot_rows(part[low:high], names[low:high])
@@ -218,6 +227,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edge = {tuple(part[0, :LEAST_DEPTH]), tuple(part[-1, :LEAST_DEPTH])}
         for prefix in edge:
             inside = np.flatnonzero((part[:, :LEAST_DEPTH] == prefix).all(axis=1))
+            members.append(names[inside])
             chosen = inside[_pivot_rows(part[inside], names[inside])]
             n = len(chosen)
             yield pa.RecordBatch.from_arrays(
@@ -227,6 +237,13 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  pa.array([part[i].tobytes() for i in chosen], pa.binary())],
                 ["a", "b", "agreement", "to_pivot", "order", "region", "mark"],
             )
+    several = np.unique(np.concatenate(members))
+    n = len(several)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(several), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), pa.nulls(n, pa.bool_()),
+         pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())],
+        ["a", "b", "agreement", "to_pivot", "order", "region", "mark"],
+    )
 
 
 def _common_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,8 +274,9 @@ def _with_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _as_rows(a[hit], b[hit], near[hit], True)
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """(a, b, agreement, to_pivot), a < b, of pairs of classes (id, mark) worth a look."""
+def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b, agreement, to_pivot), a < b, of pairs of classes (id, mark) worth a look, and
+    (id) of the classes in regions that may hold other pairs."""
     turned = F.expr(f"concat(substring(mark, {2 * STEP} * order + 1), substring(mark, 1, {2 * STEP} * order))")
     rows = (
         classes.withColumn("order", F.explode(F.sequence(F.lit(0), F.lit(ORDERS - 1))))
@@ -285,12 +303,13 @@ def candidates(classes: DataFrame) -> DataFrame:
         .select("id", "mark", "pivot", "pivot_mark")
         .mapInArrow(_with_pivots, _PAIRS)
     )
-    return (
-        found.where("region IS NULL")
+    pairs = (
+        found.where("region IS NULL AND b IS NOT NULL")
         .unionByName(again)
         .groupBy("a", "b")
         .agg(F.max("agreement").alias("agreement"), F.bool_or("to_pivot").alias("to_pivot"))
     )
+    return pairs, found.where("region IS NULL AND b IS NULL").select(F.col("a").alias("id")).distinct()
 
 
 def _least_partitions(frame: DataFrame) -> int:
@@ -326,6 +345,78 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInArrow(_confirm, "a long, b long")
 
 
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, roots = (batch.column(name).to_numpy() for name in ("id", "root"))
+        for start in range(0, batch.num_rows, 512):
+            values = [
+                np.frombuffer(each.as_buffer(), np.int64) for each in batch.column("elements").slice(start, 512)
+            ]
+            sizes = np.array([len(each) for each in values], np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(values)), pa.array(np.repeat(ids[start : start + 512], sizes)),
+                 pa.array(np.repeat(roots[start : start + 512], sizes)), pa.array(np.repeat(sizes, sizes))],
+                ["shingle", "id", "root", "size"],
+            )
+
+
+def rare_pairs(members: DataFrame) -> DataFrame:
+    """(a, b), a < b, of members (id, root, elements) with different roots: all that can
+    be similar enough.
+
+    Shingles are ordered: first those of one root only, which no pair has in common, then
+    by the number of members that have them. Sets x and y, x the larger, that are similar
+    enough have 3/7 of their sizes' sum in common, so a first common shingle within the
+    first quarter of x and the first seventh of y, and enough left behind it in both.
+    Members that are not as similar but share a text differ in rarer shingles, which fill
+    these beginnings. Of two different roots one is not the most frequent one of a
+    shingle, so members of a large component do not meet each other.
+    """
+    every = members.mapInArrow(_elements, "shingle long, id long, root long, size long")
+    shared = (
+        every.groupBy("shingle")
+        .agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+        .where("low <> high")
+        .select("shingle", "n")
+    )
+    front = (
+        every.join(shared, "shingle")
+        .groupBy("id", "root", "size")
+        .agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("rising"))
+        .withColumn("before", F.col("size") - F.size("rising"))
+        .withColumn("length", F.expr("cast(greatest(0, size - (3 * size + 3) div 4 + 1 - before) AS int)"))
+        .where("length > 0")
+        .select("id", "root", "size", "before", F.posexplode(F.slice("rising", F.lit(1), F.col("length"))))
+        .select(
+            "id", "root", "size", (F.col("before") + F.col("pos")).alias("place"),
+            "col.shingle", (1 + F.expr(f"col.n div {HOT_SHINGLE}")).alias("splits"),
+        )
+    )
+    front = common.cut(front)
+    most = (
+        front.groupBy("shingle", "root").agg(F.count("*").alias("n"))
+        .groupBy("shingle")
+        .agg(F.max(F.struct("n", "root"))["root"].alias("usual"), F.count("*").alias("roots"))
+        .where("roots > 1")
+        .select("shingle", "usual")
+    )
+    front = front.join(most, "shingle").withColumn("rare", F.col("root") != F.col("usual"))
+    large = front.withColumn("split", F.expr("pmod(xxhash64(id), splits)"))
+    small = front.where("place < size - (6 * size + 6) div 7 + 1").withColumn(
+        "split", F.explode(F.expr("sequence(0L, splits - 1)"))
+    )
+
+    def meet(x: DataFrame, y: DataFrame) -> DataFrame:
+        return (
+            x.alias("x").join(y.alias("y"), ["shingle", "split"])
+            .where("x.root <> y.root AND (y.size < x.size OR y.size = x.size AND y.id < x.id)")
+            .where("7 * least(x.size - x.place, y.size - y.place) >= 3 * (x.size + y.size)")
+            .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+        )
+
+    return meet(large.where("rare"), small).union(meet(large.where("NOT rare"), small.where("rare"))).distinct()
+
+
 def _compact(frame: DataFrame) -> DataFrame:
     """A frame that is kept, in tasks of PAIRS_PER_PARTITION rows or thereabouts: a small
     one would else go through as many files as there are partitions, again and again."""
@@ -378,9 +469,10 @@ def near_groups(docs: DataFrame) -> DataFrame:
     classes = common.cut(
         linkable.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.any_value("mark").alias("mark"))
     )
-    pairs = _compact(common.cut(candidates(classes.select("id", "mark"))))
+    pairs, crowded = candidates(classes.select("id", "mark"))
+    pairs, crowded = _compact(common.cut(pairs)), _compact(common.cut(crowded))
     # Each side is made distinct before the two meet, so pairs are not doubled.
-    wanted = pairs.select(F.col("a").alias("id")).distinct().union(pairs.select("b").distinct()).distinct()
+    wanted = pairs.select(F.col("a").alias("id")).distinct().union(pairs.select("b").distinct()).union(crowded).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     sets = common.cut(texts.join(wanted, "id", "left_semi").mapInArrow(_sets, "id long, elements binary"))
     links = _compact(common.cut(confirmed(_best(pairs), sets)))
@@ -391,7 +483,12 @@ def near_groups(docs: DataFrame) -> DataFrame:
         ends = ends.join(root, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
     apart = _compact(common.cut(ends.where("root_a <> root_b").select("a", "b")))
     more = confirmed(apart, sets)
-    roots = components(links.unionByName(more))
+    links = links.unionByName(more)
+    roots = components(links)
+    members = sets.join(crowded, "id", "left_semi").join(roots, "id", "left")
+    left = _compact(common.cut(rare_pairs(members.select("id", F.coalesce("root", "id").alias("root"), "elements"))))
+    of_crowds = confirmed(left, sets)
+    roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(of_crowds))
     of_class = classes.join(roots, "id", "left").select(
         "set_key", F.coalesce("root", "id").alias("component_id")
     )
