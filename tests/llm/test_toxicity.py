@@ -90,6 +90,14 @@ def test_vectors_count_words_beginnings_and_doubles():
     assert toxicity.Vectors(chosen)(None) == toxicity.Vectors(chosen)("") == {}
 
 
+def test_terms_are_those_of_distinct_texts(spark):
+    toxic = [(f"nastyword{chr(97 + i)} vileness", 1) for i in range(8)] + [("copied rubbish", 1)] * 8
+    other = [(" ".join(words(8, i)), 0) for i in range(60)]
+    chosen = toxicity.choose_terms(spark.createDataFrame(toxic + other, "text string, toxic int"))
+    assert "vileness" in chosen and not {"copied", "rubbish", "^copi"} & set(chosen)
+    assert {"^nast", "^nasty", "^nastyw", "^nastywo", "^nastywor"} <= set(chosen)
+
+
 def test_odd_rows_and_missing_labels(spark, documents, odd_rows):
     schema = "doc_id long, quality int, toxic int"
     labels = spark.createDataFrame([(None, 1, 1), (4, 0, None), (5, 0, 3), (7, 0, 0)], schema)

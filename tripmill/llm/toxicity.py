@@ -29,11 +29,11 @@ from tripmill.llm import common
 from tripmill.llm.pieces import HELD
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-BEGINNINGS = (4, 5, 7)
+BEGINNINGS = (4, 5, 6, 7, 8)
 AGAIN = "+"
 #: Labelled documents that are learned from at most, and terms chosen at most (each
 #: once more where only its double was chosen).
-TOXIC_EXAMPLES, OTHER_EXAMPLES, TERMS = 4_000, 8_000, 2_048
+TOXIC_EXAMPLES, OTHER_EXAMPLES, TERMS = 4_000, 8_000, 4_096
 #: A term is chosen from so many toxic examples, such a lift and such a G-statistic on.
 LEAST_EXAMPLES, LEAST_LIFT, LEAST_G = 3, 3.0, 15.0
 NEIGHBOURS = 15
@@ -213,7 +213,9 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def choose_terms(examples: DataFrame) -> list[str]:
-    """The terms of labelled texts (text, toxic) that tell most, TERMS at most."""
+    """The terms of labelled texts (text, toxic) that tell most, TERMS at most. A text
+    that repeats counts once under each label."""
+    examples = common.cut(examples.select("text", "toxic").distinct())
     sizes = {row.toxic: row["count"] for row in examples.groupBy("toxic").count().collect()}
     n_toxic, n_other = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_other:
