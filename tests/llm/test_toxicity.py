@@ -98,6 +98,28 @@ def test_terms_are_those_of_distinct_texts(spark):
     assert {"^nast", "^nasty", "^nastyw", "^nastywo", "^nastywor"} <= set(chosen)
 
 
+def test_a_capped_class_moves_no_scores(spark, documents, monkeypatch):
+    """Labelled texts of four kinds, toxic at different rates; the clean ones are capped."""
+    rows, labels = [], []
+    for i in range(800):
+        toxic = int(i % 10 == 0)
+        marked = toxic or i % 5 == 1
+        rows.append((i, "vileness horridly" if marked else "plain quiet words"))
+        labels.append((i, 1, toxic))
+    docs, labels = documents(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    scores = []
+    for most in (8_000, 60):
+        monkeypatch.setattr(toxicity, "OTHER_EXAMPLES", most)
+        monkeypatch.setattr(toxicity, "LEAST_LIFT", 1.0)
+        examples = toxicity._examples(labels)
+        counts = toxicity.vectors(docs, ["vileness", "horridly"])
+        model = toxicity.fit(counts, examples, 2)
+        scores.append((model.prior, model.score(None), model.votes([(1.0, -model.index.toxic.argmax()), (1.0, -model.index.toxic.argmin())])))
+    whole, capped = scores
+    assert abs(whole[0] - capped[0]) < 0.005 and abs(whole[1] - capped[1]) < 0.01
+    assert capped[2] < 0.3 < whole[2]
+
+
 def test_odd_rows_and_missing_labels(spark, documents, odd_rows):
     schema = "doc_id long, quality int, toxic int"
     labels = spark.createDataFrame([(None, 1, 1), (4, 0, None), (5, 0, 3), (7, 0, 0)], schema)

@@ -134,6 +134,8 @@ class Model(NamedTuple):
     index: Index
     prior: float
     calibrated: np.ndarray
+    #: What an example that is not toxic, and a toxic one, count among the votes.
+    weights: tuple[float, float] = (1.0, 1.0)
 
     def weigh(self, counts: dict[int, int]) -> dict[int, float]:
         """The unit TF-IDF vector of term counts."""
@@ -142,8 +144,8 @@ class Model(NamedTuple):
         return {t: float(w / norm) for t, w in vector.items()}
 
     def votes(self, found: list[tuple[float, int]]) -> float:
-        total = sum(cosine for cosine, _ in found)
-        toxic = sum(cosine * self.index.toxic[-place] for cosine, place in found)
+        toxic = self.weights[1] * sum(cosine * self.index.toxic[-place] for cosine, place in found)
+        total = toxic + self.weights[0] * sum(cosine * (1 - self.index.toxic[-place]) for cosine, place in found)
         return (toxic + PRIOR_VOTE * self.prior) / (total + PRIOR_VOTE)
 
     def score(self, share: float | None) -> float:
@@ -184,12 +186,18 @@ def _g_statistic(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> np.ndarray
 
 
 def _examples(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic, weight): the bounded sample; weight is how many labelled documents
+    of its class an example stands for."""
     usable = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where(
         F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~common.held_out(F.col("doc_id"))
     )
     usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    sizes = {row.toxic: row["count"] for row in usable.groupBy("toxic").count().collect()}
     parts = [
-        usable.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        usable.where(F.col("toxic") == label)
+        .orderBy(F.xxhash64("doc_id"), "doc_id")
+        .limit(most)
+        .withColumn("weight", F.lit(max(1.0, sizes.get(label, 0) / most)))
         for label, most in ((1, TOXIC_EXAMPLES), (0, OTHER_EXAMPLES))
     ]
     return parts[0].unionByName(parts[1])
@@ -274,9 +282,14 @@ def fit(vectors_: DataFrame, examples: DataFrame, n_terms: int) -> Model:
         .limit(TOXIC_EXAMPLES + OTHER_EXAMPLES)
         .collect()
     )
-    sizes = {row.toxic: row["count"] for row in examples.groupBy("toxic").count().collect()}
+    of_class = examples.groupBy("toxic").agg(F.sum("weight").alias("size"), F.max("weight").alias("weight")).collect()
+    sizes = {row.toxic: row["size"] for row in of_class}
+    weight = {row.toxic: row["weight"] for row in of_class}
     prior = (sizes.get(1, 0) + 0.5) / (sum(sizes.values()) + 1)
-    empty = Model(idf, Index([], [], []), prior, np.append(prior, (np.arange(BINS) + 0.5) / BINS))
+    empty = Model(
+        idf, Index([], [], []), prior, np.append(prior, (np.arange(BINS) + 0.5) / BINS),
+        (weight.get(0, 1.0), weight.get(1, 1.0)),
+    )
     with_terms = [row for row in rows if row.terms]
     weighed = [empty.weigh(dict(zip(row.terms, row.counts))) for row in with_terms]
     model = empty._replace(
@@ -287,8 +300,9 @@ def fit(vectors_: DataFrame, examples: DataFrame, n_terms: int) -> Model:
     ]
     labels = [row.toxic for row in with_terms]
     bare = [row.toxic for row in rows if not row.terms]
+    labels += bare
     return model._replace(
-        calibrated=calibrate(shares + [None] * len(bare), labels + bare, [1.0] * len(rows), prior)
+        calibrated=calibrate(shares + [None] * len(bare), labels, [weight[label] for label in labels], prior)
     )
 
 
