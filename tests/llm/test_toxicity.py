@@ -120,6 +120,16 @@ def test_a_capped_class_moves_no_scores(spark, documents, monkeypatch):
     assert capped[2] < 0.3 < whole[2]
 
 
+def test_strong_terms_stand_before_rare_ones(spark, monkeypatch):
+    """Many words of a few toxic texts only, and one of most toxic and some other texts."""
+    monkeypatch.setattr(toxicity, "TERMS", 2)
+    rare = [" ".join(f"{chr(97 + j)}{chr(97 + k)}x" for j in range(5) for k in range(8)) + f" {i}" for i in range(6)]
+    toxic = [(text, 1) for text in rare] + [(f"vile {i}", 1) for i in range(60)]
+    other = [(f"vile {i}" if i < 8 else f"calm {i}", 0) for i in range(100)]
+    chosen = toxicity.choose_terms(spark.createDataFrame(toxic + other, "text string, toxic int"))
+    assert chosen[0] == "vile"
+
+
 def test_odd_rows_and_missing_labels(spark, documents, odd_rows):
     schema = "doc_id long, quality int, toxic int"
     labels = spark.createDataFrame([(None, 1, 1), (4, 0, None), (5, 0, 3), (7, 0, 0)], schema)

@@ -23,7 +23,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tripmill.llm import common
 from tripmill.llm.pieces import HELD
@@ -175,13 +175,12 @@ def calibrate(shares: list[float | None], toxic: list[int], weight: list[float],
     return np.array([sums[0] / totals[0], *rising])
 
 
-def _g_statistic(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> np.ndarray:
+def _g_statistic(a: Column, b: Column, n_a: int, n_b: int) -> Column:
     """How surely a of n_a and b of n_b differ, from their presences alone."""
     share = n_a / (n_a + n_b)
     both = a + b
-    with np.errstate(divide="ignore", invalid="ignore"):
-        part_a = np.where(a > 0, a * np.log(a / (both * share)), 0)
-        part_b = np.where(b > 0, b * np.log(b / (both * (1 - share))), 0)
+    part_a = F.when(a > 0, a * F.log(a / (both * share))).otherwise(0.0)
+    part_b = F.when(b > 0, b * F.log(b / (both * (1 - share)))).otherwise(0.0)
     return 2 * (part_a + part_b)
 
 
@@ -234,14 +233,12 @@ def choose_terms(examples: DataFrame) -> list[str]:
         .agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
         .where(F.col("toxic") >= LEAST_EXAMPLES)
         .withColumn("lift", (F.col("toxic") / n_toxic) / ((F.col("other") + 0.5) / n_other))
-        .where(F.col("lift") >= LEAST_LIFT)
-        .orderBy(F.desc("lift"), F.desc("toxic"), "term")
-        .limit(8 * TERMS)
-        .toPandas()
+        .withColumn("g", _g_statistic(F.col("toxic"), F.col("other"), n_toxic, n_other))
+        .where((F.col("lift") >= LEAST_LIFT) & (F.col("g") >= LEAST_G))
+        .orderBy(F.desc("g"), "term")
+        .limit(TERMS)
     )
-    g = _g_statistic(counted["toxic"].to_numpy(float), counted["other"].to_numpy(float), n_toxic, n_other)
-    ranked = sorted(zip(-g, counted["term"]))
-    best = [term for minus_g, term in ranked[:TERMS] if -minus_g >= LEAST_G]
+    best = [row.term for row in counted.collect()]
     # A doubled term is found by its single one.
     return list(dict.fromkeys(best + [term.removesuffix(AGAIN) for term in best]))
 
