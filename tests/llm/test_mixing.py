@@ -72,6 +72,32 @@ def test_given_weights_hold_while_all_sources_last(documents):
     assert abs(early["d"] + early[None] - 20) <= 4
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 9), st.integers(1, 40)), min_size=1, max_size=6))
+def test_sources_of_a_lane_are_less_than_one_block_from_the_ideal(sources):
+    parts, blocks = [p for p, _ in sources], [n for _, n in sources]
+    places = mixing.deal([float(p) for p in parts], blocks)
+    owner = {slot: i for i, own in enumerate(places) for slot in own}
+    assert sorted(owner) == list(range(sum(blocks)))
+    got = [0] * len(parts)
+    for slot in range(sum(blocks)):
+        got[owner[slot]] += 1
+        for have, wanted in zip(got, ideal(parts, blocks, slot + 1)):
+            assert abs(have - wanted) < 1 + 1e-6
+
+
+def test_sources_beyond_the_lanes_keep_their_targets(documents, monkeypatch):
+    monkeypatch.setattr(mixing, "LANES", 2)
+    rows = [(i, "t", "en", f"s{i % 8}") for i in range(800)]
+    weights = {f"s{i}": 3 if i == 7 else 1 for i in range(8)}
+    placed = mixing.place(documents(rows), weights, block_rows=4).select("row.doc_id", "source", "position").collect()
+    assert sorted(row.doc_id for row in placed) == list(range(800))
+    assert sorted(row.position for row in placed) == list(range(800))
+    early = Counter(row.source for row in placed if row.position < 200)
+    for name, weight in weights.items():
+        assert abs(early[name] - 20 * weight) <= 8
+
+
 def test_mixed_gives_whole_rows_in_order(documents):
     frame = documents(rows_of(300))
     mixed = mixing.mixed(frame)

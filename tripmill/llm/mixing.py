@@ -7,7 +7,8 @@ due at ceil((k + 1) W / p), and in each slot the released block that is due firs
 That meets every deadline, so after each slot each source is less than one block away
 from its share. At the end of a round every source has exactly its share, so all rounds
 with the same blocks look alike and one of each kind is scheduled, however many there
-are. When a source runs out the others share its slots by their weights, so every row
+are. Sources beyond the LANES largest share a lane, whose blocks are dealt among them by
+the same rule; its weight is the sum of theirs. When a source runs out the others share its slots by their weights, so every row
 has one place in the mix. There are two kinds more for each source that runs out: the
 schedule has at most (2 lanes + 1) W entries, and the rows look theirs up in it.
 """
@@ -15,13 +16,15 @@ schedule has at most (2 lanes + 1) W entries, and the rows look theirs up in it.
 from __future__ import annotations
 
 import heapq
+import math
+from bisect import bisect_right
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, functions as F
 
 from tripmill.llm import common
 
-# Rows per block, parts in all, and the most sources with a share of their own.
+# Rows per block, parts in all, and the most sources with a lane of their own.
 BLOCK_ROWS = 64
 PARTS = 1000
 LANES = 200
@@ -83,6 +86,38 @@ def earliest_deadline_first(parts: list[int], blocks: list[int]) -> list[list[in
     return places
 
 
+def deal(weights: list[float], blocks: list[int]) -> list[list[int]]:
+    """Slots of the blocks of very many sources that share a lane: releases and deadlines
+    of `earliest_deadline_first` over the whole run, with weights as they are. Work grows
+    with the blocks and the logarithm of the sources."""
+    lasts = sorted((n / w, n, w) for w, n in zip(weights, blocks))
+    limits = [v for v, _, _ in lasts]
+    done, live = [0], [math.fsum(weights)]
+    for _, n, w in lasts:
+        done.append(done[-1] + n)
+        live.append(live[-1] - w)
+
+    def given(source: int, k: int) -> float:
+        """When the ideal has given the source k blocks."""
+        v = k / weights[source]
+        at = bisect_right(limits, v)
+        return done[at] + (v * live[at] if at < len(lasts) else 0.0)
+
+    places: list[list[int]] = [[] for _ in blocks]
+    waiting = [(0, source) for source, n in enumerate(blocks) if n]
+    ready: list[tuple[int, int]] = []
+    for slot in range(sum(blocks)):
+        while waiting and (waiting[0][0] <= slot or not ready):
+            source = heapq.heappop(waiting)[1]
+            due = math.ceil(given(source, len(places[source]) + 1) - 1e-6)
+            heapq.heappush(ready, (due, source))
+        source = heapq.heappop(ready)[1]
+        places[source].append(slot)
+        if len(places[source]) < blocks[source]:
+            heapq.heappush(waiting, (math.floor(given(source, len(places[source])) + 1e-6), source))
+    return places
+
+
 def phases(parts: list[int], blocks: list[int]) -> list[Phase]:
     """The kinds of rounds in order, for lanes with so many blocks each."""
     whole = [n // p for n, p in zip(blocks, parts)]
@@ -102,13 +137,35 @@ def slot_of(plan: list[Phase], part: int, lane: int, block: int) -> int:
     return phase.first_slot + (round_ - phase.first_round) * phase.slots + phase.places[lane][k]
 
 
+def _dealt(rows: DataFrame, shared: list[tuple[str | None, int]], target, block_rows: int) -> DataFrame:
+    """The rows of the shared lane, ordered by the turns of their sources' blocks: bucket,
+    shuffled and id stand for the turn and the place in the source."""
+    spark = rows.sparkSession
+    names = spark.createDataFrame([(name,) for name, _ in shared if name is not None], "turn_source string")
+    places = deal([target(name, n) for name, n in shared], [-(-n // block_rows) for _, n in shared])
+    turns = spark.createDataFrame(
+        [(name, k, turn) for (name, _), own in zip(shared, places) for k, turn in enumerate(own)],
+        "turn_name string, turn_k long, turn long",
+    )
+    ranked = common.running(
+        rows.join(names, F.col("source") == F.col("turn_source"), "left"),
+        ["turn_source"], ["bucket"], [F.col("shuffled"), F.col("id")], rank=F.lit(1),
+    ).withColumn("own_k", F.expr(f"rank div {block_rows}"))
+    same = F.col("turn_source").eqNullSafe(F.col("turn_name")) & (F.col("own_k") == F.col("turn_k"))
+    return ranked.join(turns, same).select(
+        "row", "source", F.col("rank").alias("id"), "lane", "parts", F.col("turn").alias("shuffled"),
+        F.expr(f"turn div {max(1, common.BUCKET_ROWS // block_rows)}").alias("bucket"),
+    )
+
+
 def place(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(row, source, parts, block, slot, position): each document as a struct, and where
     it comes in the mix. position is gapless from 0 over all documents.
 
     Without weights, a source's target is its size to the power EXPONENT. Sources beyond
-    the LANES largest, those without a given weight, and null share one lane (with weight
-    by its size, or weights[None]). Weights of 0 or less are refused. Rows that repeat
+    the LANES largest keep their targets within a lane that they share. Those without a
+    given weight and null count as one source (with weight by its size, or weights[None]).
+    The driver holds all sources and the blocks of the shared lane. Weights of 0 or less are refused. Rows that repeat
     are rows like any other; no rows give none.
     """
     if weights is not None and any(weight <= 0 for weight in weights.values()):
@@ -117,22 +174,22 @@ def place(docs: DataFrame, weights: dict[str, float] | None = None, block_rows:
         F.struct("*").alias("row"), F.col("source").cast("string").alias("source"), F.col("doc_id").cast("long").alias("id")
     )
     sizes = rows.groupBy("source").agg(F.count("*").alias("n"))
-    named = sizes.where("source IS NOT NULL").orderBy(F.desc("n"), "source")
-    if weights is not None:
-        given = [name for name in weights if name is not None]
-        if len(given) > LANES:
-            raise ValueError(f"more than {LANES} sources have a weight")
-        named = named.where(F.col("source").isin(given))
-    lanes = [(row.source, row.n) for row in named.limit(LANES).collect()]
-    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    rest = total - sum(n for _, n in lanes)
+    counted = [(row.source, row.n) for row in sizes.orderBy(F.desc("n"), "source").collect()]
+    named = [(name, n) for name, n in counted if name is not None and (weights is None or name in weights)]
+    total = sum(n for _, n in counted)
+    lanes, shared = named[:LANES], named[LANES:]
+    rest = total - sum(n for _, n in named)
     if rest:
-        lanes.append((None, rest))
-    if weights is None:
-        wanted = [n**EXPONENT for _, n in lanes]
-    else:
-        smallest = min(weights.values(), default=1.0)
-        wanted = [weights.get(name, smallest) for name, _ in lanes]
+        shared.append((None, rest))
+    smallest = min((weights or {}).values(), default=1.0)
+
+    def target(name: str | None, n: int) -> float:
+        return n**EXPONENT if weights is None else weights.get(name, smallest)
+
+    wanted = [target(name, n) for name, n in lanes]
+    if shared:
+        lanes.append((None, sum(n for _, n in shared)))
+        wanted.append(math.fsum(target(name, n) for name, n in shared))
     parts = whole_parts(wanted)
     plan = phases(parts, [-(-n // block_rows) for _, n in lanes])
 
@@ -159,6 +216,9 @@ def place(docs: DataFrame, weights: dict[str, float] | None = None, block_rows:
         .withColumn("bucket", F.shiftright("shuffled", 64 - max(1, common.bucket_bits(total))))
         .select("row", "source", "id", "lane", "parts", "shuffled", "bucket")
     )
+    if len(shared) > 1:
+        own = rows.where(F.col("lane") != last)
+        rows = own.unionByName(_dealt(rows.where(F.col("lane") == last), shared, target, block_rows))
     ranked = common.running(rows, ["lane"], ["bucket"], [F.col("shuffled"), F.col("id")], rank=F.lit(1))
     starts = F.array(*(F.lit(phase.first_round).cast("long") for phase in plan or [Phase(0, 0, 0, [])]))
     blocked = ranked.select(
