@@ -45,6 +45,16 @@ def test_forward_sums_all_segmentations(small, some):
         assert row == pytest.approx([np.log(by_hand(probabilities, word, lang)) for lang in (0, 1)])
 
 
+def test_long_words_are_learned_from_like_short_ones(small, monkeypatch):
+    probabilities = np.random.default_rng(3).random((len(NAMES) + 1, 2)) / 5
+    some, own, counts = ["abacab" * 7, "ba", "cabba" * 9], np.array([0, 1, 1]), np.array([2, 5, 3])
+    walked = []
+    for together in (48, 4):
+        monkeypatch.setattr(pieces, "TOGETHER", together)
+        walked.append(language.expected_uses(pieces.Walker(small.trie), probabilities, some, own, counts))
+    assert walked[1] == pytest.approx(walked[0]) and walked[0].any(axis=0).all()
+
+
 def test_expected_uses_are_those_of_the_segmentations(small):
     probabilities = np.random.default_rng(2).random((len(NAMES) + 1, 1)) / 5
     uses = language.expected_uses(pieces.Walker(small.trie), probabilities, ["ab"], np.array([0]), np.array([3]))

@@ -81,8 +81,8 @@ def log_likelihoods(walker: Walker, probabilities: np.ndarray, some: list[str])
 
 def expected_uses(walker: Walker, probabilities: np.ndarray, some: list[str], language: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """How often each piece is used, per language, over all segmentations of the words
-    (each of one language, seen so often). Words too long to be walked together, over 40
-    letters, are not learned from."""
+    (each of one language, seen so often). Words too long to be walked together are walked
+    one by one, in logs."""
     uses = np.zeros(probabilities.size)
     languages = probabilities.shape[1]
     units = _units(some)
@@ -104,7 +104,20 @@ def expected_uses(walker: Walker, probabilities: np.ndarray, some: list[str], la
         for start, length, at, ids, p in arcs:
             share = forward[start, at] * p * backward[start + length, at] * weight[at]
             np.add.at(uses, (ids % len(probabilities)) * languages + own[at], share)
-    return uses.reshape(probabilities.shape)
+    uses = uses.reshape(probabilities.shape)
+    for i, unit in enumerate(units):
+        if len(unit) > trie_pieces.TOGETHER:
+            logs = np.log(probabilities[:, language[i]])
+            arcs = [(start, start + length, piece, logs[piece]) for start, length, piece in walker.arcs_of(unit)]
+            forward, backward = np.full((2, len(unit) + 1), -np.inf)
+            forward[0] = backward[-1] = 0.0
+            for start, end, _, p in arcs:
+                forward[end] = np.logaddexp(forward[end], forward[start] + p)
+            for start, end, _, p in reversed(arcs):
+                backward[start] = np.logaddexp(backward[start], backward[end] + p)
+            for start, end, piece, p in arcs:
+                uses[piece, language[i]] += counts[i] * np.exp(forward[start] + p + backward[end] - forward[-1])
+    return uses
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
