@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as contract
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("documents", "pages", "labels")
+TABLES = ("documents", "pages", "labels", "benchmark", "embeddings")
 
 
 def plain(value):
@@ -29,7 +29,7 @@ def test_query_equals_its_sql(spark, name):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
-@pytest.mark.parametrize("number", range(1, 11))
+@pytest.mark.parametrize("number", range(1, 14))
 def test_each_operator_has_one_query(number):
     names = [name for name in contract.queries() if name.startswith(f"op{number}_")]
     assert len(names) == 1

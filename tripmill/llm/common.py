@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Sequence
 
@@ -16,23 +17,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _settled(spark: SparkSession) -> str:
+    """The folder for intermediate tables that the session names. Only on one machine, as
+    in tests, may there be none: then a temporary folder is used."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if named is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="checkpoints-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(named)
+    return named
+
+
 def cut(frame: DataFrame) -> DataFrame:
     """The frame computed once and kept in the shared checkpoint folder, so that
     a lost executor costs no second computation. The files go when nothing refers
     to them any longer, if spark.cleaner.referenceTracking.cleanCheckpoints is on."""
-    context = frame.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    _settled(frame.sparkSession)
     return frame.checkpoint()
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-    return (folder or spark.sparkContext.getCheckpointDir()).rstrip("/")
+    return _settled(spark).rstrip("/")
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -80,3 +94,33 @@ def running(
         )
         .drop(*(f"__key_{key}" for key in keys), *amounts, *(f"{name}_before" for name in amounts))
     )
+
+
+def ranked(frame: DataFrame, group: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """The frame with the rank (from 0) of each row in its group and the total of the group.
+
+    Rows are dealt by range over group and order, counted per range, and then ranked
+    within it; ranges before it add their counts. So a group that holds all rows is
+    as many ranges as there are partitions. Rows that tie in everything come in the order
+    of the frame. No column of `group` may be null.
+    """
+    dealt = cut(
+        frame.withColumn("__mark", F.monotonically_increasing_id())
+        .repartitionByRange(*(F.col(name) for name in group), *order, F.col("__mark"))
+        .withColumn("__range", F.spark_partition_id())
+    )
+    counts = dealt.groupBy(*group, "__range").agg(F.count("*").alias("__n"))
+    whole = Window.partitionBy(*group)
+    before = whole.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(
+        *group,
+        "__range",
+        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"),
+        F.sum("__n").over(whole).alias("total"),
+    )
+    inside = Window.partitionBy("__range", *group).orderBy(*order, F.col("__mark"))
+    return (
+        dealt.join(counts, [*group, "__range"])
+        .withColumn("rank", F.col("__before") + F.row_number().over(inside) - 1)
+        .drop("__mark", "__range", "__before")
+    )

@@ -55,7 +55,93 @@ def _licences() -> str:
     """
 
 
+# CTEs that give t, the table of CRC-32 (polynomial 0xEDB88320), as a list, and the
+# unsigned checksum of a text by it.
+_CRC_TABLE = """
+    bits(i, k, c) AS (
+        SELECT range, 0, range FROM range(256)
+        UNION ALL
+        SELECT i, k + 1, xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END) FROM bits WHERE k < 8
+    ), crc_table AS (
+        SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8
+    )
+"""
+
+
+def _crc32(text: str) -> str:
+    bytes_ = (
+        f"list_transform(range(1, (len(hex({text})) // 2)::BIGINT + 1), "
+        f"lambda k: ('0x' || substr(hex({text}), 2 * k - 1, 2))::BIGINT)"
+    )
+    step = "lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])"
+    return f"xor(list_reduce({bytes_}, {step}, 4294967295), 4294967295)"
+
+
+def _merkle(levels: int = 7, upper_levels: int = 3) -> str:
+    """Trees of up to 8 ** levels documents a language and 8 ** upper_levels languages."""
+
+    def field(value: str) -> str:
+        return f"coalesce(octet_length(encode({value}::VARCHAR))::VARCHAR || ':' || {value}::VARCHAR, '-')"
+
+    def leaf(text: str) -> str:
+        return f"sha256({' || '.join(map(field, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+
+    lowered = f"translate(text, '{UPPER}', '{UPPER.lower()}')"
+    parts = []
+    for name, count in (("a", levels), ("b", upper_levels)):
+        if name == "b":
+            roots = " UNION ALL ".join(f"SELECT tree, h FROM a{k} WHERE n = 1" for k in range(levels + 1))
+            parts.append(f"subroots AS ({roots})")
+            parts.append(
+                "b0 AS (SELECT '' AS tree, tree AS name, row_number() OVER (ORDER BY tree) - 1 AS r, "
+                "count(*) OVER () AS n, h FROM subroots)"
+            )
+        for k in range(count):
+            parts.append(
+                f"{name}{k + 1} AS (SELECT tree, r // 8 AS r, (n + 7) // 8 AS n, sha256(string_agg(h, '' ORDER BY r)) AS h "
+                f"FROM {name}{k} WHERE n > 1 GROUP BY tree, r // 8, n)"
+            )
+            parts.append(
+                f"s{name}{k} AS (SELECT x.tree, x.r, "
+                "coalesce(string_agg(y.h, '' ORDER BY y.r) FILTER (y.r < x.r), '') AS low, "
+                "coalesce(string_agg(y.h, '' ORDER BY y.r) FILTER (y.r > x.r), '') AS high "
+                f"FROM {name}{k} x JOIN {name}{k} y ON x.tree = y.tree AND x.r // 8 = y.r // 8 "
+                "WHERE x.n > 1 GROUP BY x.tree, x.r)"
+            )
+    # Every level adds its siblings to the proof and folds them into the digest so far.
+    steps = [("a", k, "f.tree", f"f.r // {8**k}") for k in range(levels)]
+    steps += [("b", k, "''", f"f.place // {8**k}") for k in range(upper_levels)]
+    parts.append(
+        "f0 AS (SELECT leaf.*, s.h AS subroot, b0.r AS place, '' AS proof, coalesce(tampered, leaf) AS folded "
+        "FROM leaf JOIN subroots s USING (tree) JOIN b0 ON b0.name = leaf.tree)"
+    )
+    for number, (name, k, tree, r) in enumerate(steps):
+        parts.append(
+            f"f{number + 1} AS (SELECT f.* REPLACE (proof || coalesce(low || high, '') AS proof, "
+            "CASE WHEN low IS NULL THEN folded ELSE sha256(low || folded || high) END AS folded) "
+            f"FROM f{number} f LEFT JOIN s{name}{k} s ON s.tree = {tree} AND s.r = {r})"
+        )
+    tops = " UNION ALL ".join(f"SELECT h FROM b{k} WHERE n = 1" for k in range(upper_levels + 1))
+    return f"""
+        WITH RECURSIVE {_CRC_TABLE}, hashed AS (
+            SELECT doc_id, coalesce('=' || lang, '') AS tree, {leaf('text')} AS leaf,
+                   CASE WHEN {_crc32('doc_id::VARCHAR')} % 3 = 0 THEN {leaf(lowered)} END AS tampered
+            FROM documents, crc_table
+        ), leaf AS (
+            SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r,
+                   count(*) OVER (PARTITION BY tree) AS n
+            FROM hashed
+        ), a0 AS (
+            SELECT tree, r, n, leaf AS h FROM leaf
+        ), {", ".join(parts)}, root AS ({tops})
+        SELECT doc_id, leaf, subroot, root.h AS root, sha256(proof) AS proof_sha256,
+               folded AS folded_root, folded = root.h AS verified
+        FROM f{len(steps)}, root
+    """
+
+
 ORACLE_SQL = {
+    "op12_merkle_manifest": _merkle(),
     "op6_near_dedup": f"""
         WITH RECURSIVE words AS (
             SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents
