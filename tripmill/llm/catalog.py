@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tripmill.llm import exact_dedup, language, licences, merkle, mixing, near_dedup, pieces, quality, resharding, toxicity, unigram, warc
+from tripmill.llm import exact_dedup, importance, language, licences, merkle, mixing, near_dedup, pieces, quality, resharding, toxicity, unigram, warc
 from tripmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +73,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(table(spark, sf_dir, "documents"))
 
@@ -88,5 +92,6 @@ QUERIES: dict[str, Query] = {
     "op8_licence_scan": op8_licence_scan,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_importance_resampling": op11_importance_resampling,
     "op12_merkle_manifest": op12_merkle_manifest,
 }

@@ -140,7 +140,53 @@ def _merkle(levels: int = 7, upper_levels: int = 3) -> str:
     """
 
 
+def _importance() -> str:
+    """Features of whole texts, without regard to lines."""
+    word = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+    pairs = "list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])"
+    noise = "('0x' || substr(sha256('7:' || doc_id::VARCHAR), 1, 8))::BIGINT"
+    return f"""
+        WITH RECURSIVE {_CRC_TABLE}, texts AS (
+            SELECT doc_id, regexp_extract_all({_LOWERED}, '{word}') AS w FROM documents
+        ), goals AS (
+            SELECT regexp_extract_all({_LOWERED}, '{word}') AS w FROM benchmark
+        ), used AS (
+            SELECT doc_id, unnest(list_concat(w, {pairs})) AS feature FROM texts
+        ), wanted AS (
+            SELECT unnest(list_concat(w, {pairs})) AS feature FROM goals
+        ), features AS (
+            SELECT feature, ({_crc32('feature')} % 10000)::INT AS bucket
+            FROM (SELECT feature FROM used UNION SELECT feature FROM wanted), crc_table
+        ), corpus AS (
+            SELECT bucket, count(*) AS s FROM used JOIN features USING (feature) GROUP BY bucket
+        ), target AS (
+            SELECT bucket, count(*) AS t FROM wanted JOIN features USING (feature) GROUP BY bucket
+        ), totals AS (
+            SELECT (SELECT count(*) FROM used) AS all_s, (SELECT count(*) FROM wanted) AS all_t
+        ), gains AS (
+            SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (all_s + 10000)
+                                           / ((s + 1)::DOUBLE * (all_t + 10000))))::BIGINT AS gain
+            FROM corpus LEFT JOIN target USING (bucket), totals
+        ), weighed AS (
+            SELECT doc_id, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight
+            FROM used JOIN features USING (feature) JOIN gains USING (bucket) GROUP BY doc_id
+        ), scored AS (
+            SELECT doc_id, len(w)::BIGINT AS n_words, greatest(2 * len(w) - 1, 0)::BIGINT AS n_features,
+                   coalesce(weight, 0) AS weight,
+                   coalesce(weight, 0) + floor(-1000 * ln(-ln(({noise} + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+            FROM texts LEFT JOIN weighed USING (doc_id)
+        ), ranked AS (
+            SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n
+            FROM scored WHERE n_words >= 20
+        )
+        SELECT doc_id, n_features, weight, score,
+               CASE WHEN place <= 25 * n // 100 THEN place END AS rank, n_words
+        FROM scored LEFT JOIN ranked USING (doc_id)
+    """
+
+
 ORACLE_SQL = {
+    "op11_importance_resampling": _importance(),
     "op12_merkle_manifest": _merkle(),
     "op6_near_dedup": f"""
         WITH RECURSIVE words AS (
