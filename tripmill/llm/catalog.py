@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tripmill.llm import exact_dedup, importance, language, licences, merkle, mixing, near_dedup, pieces, quality, resharding, toxicity, unigram, warc
+from tripmill.llm import cover_tree, exact_dedup, importance, language, licences, merkle, mixing, near_dedup, pieces, quality, resharding, toxicity, unigram, warc
 from tripmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,6 +81,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(table(spark, sf_dir, "documents"))
 
 
+def op13_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.nearest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_quality_rules": op2_quality_rules,
@@ -94,4 +98,5 @@ QUERIES: dict[str, Query] = {
     "op10_toxicity": op10_toxicity,
     "op11_importance_resampling": op11_importance_resampling,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_top_k_search": op13_top_k_search,
 }

@@ -185,7 +185,25 @@ def _importance() -> str:
     """
 
 
+# All queries against all rows. Components are summed as whole numbers.
+_TOP_K = """
+    WITH points AS (
+        SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
+        FROM embeddings
+        WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), scored AS (
+        SELECT q.vec_id AS query_id, c.vec_id,
+               list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+        FROM points q, points c WHERE q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+    ), ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+    )
+    SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
 ORACLE_SQL = {
+    "op13_top_k_search": _TOP_K,
     "op11_importance_resampling": _importance(),
     "op12_merkle_manifest": _merkle(),
     "op6_near_dedup": f"""
