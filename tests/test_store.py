@@ -1,11 +1,13 @@
 """Trip files: names, months, schemas, counts, the trend and the preview."""
 
 import datetime
+import re
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 from trip_files import arrow_table, at, trip, write, write_zones
 
 from tripmill import TripFilter, TripStore, refresh
@@ -208,8 +210,42 @@ def test_complete_months_in_one_pass_agree_with_the_listing(store):
         with_month = with_month.unionByName(of_month) if with_month else of_month
     for dataset in ("yellow", "green", "both"):
         listed = store.trend(dataset, wanted)
-        one_pass = months.trend_of_complete_months(with_month, dataset)
-        assert rows(one_pass.select(listed.columns)) == rows(listed)
+        one_pass = months.trend(months.sums_by_file_month(with_month, dataset))
+        assert one_pass.columns == listed.columns
+        assert rows(one_pass) == rows(listed)
+
+
+def test_month_names_go_back(spark):
+    texts = [(f"{year:04d}-{month:02d}",) for year in (1, 1998, 2025) for month in (1, 2, 11, 12)]
+    numbered = spark.createDataFrame(texts, "monat string").withColumn("no", months.number_of(F.col("monat")))
+    assert [row[0] for row in numbered.select(months.month_name(F.col("no"))).collect()] == [text for text, in texts]
+
+
+def test_the_month_of_stored_instants_reaches_the_reader(store, spark):
+    made = [trip(f"2025-{month:02d}-{day:02d} {hour:02d}:00:00") for month, day, hour in
+            [(10, 31, 23), (11, 1, 0), (11, 30, 23), (12, 1, 0)]]
+    table = arrow_table("yellow", made)
+    place = table.column_names.index("tpep_pickup_datetime")
+    instants = table.column(place).cast(pa.timestamp("us", "UTC"))
+    pq.write_table(table.set_column(place, "tpep_pickup_datetime", instants), f"{store.data_dir}/yellow_tripdata_2025-11.parquet")
+    chosen = TripFilter("yellow", "2025-11")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    for other in ("UTC", "America/New_York"):
+        spark.conf.set("spark.sql.session.timeZone", other)
+        try:
+            whole = chosen.apply(store.trips("yellow", ["2025-11"]))
+            trips = chosen.apply(store.trips("yellow", ["2025-11"], "2025-11"))
+            assert rows(trips) == rows(whole)
+            assert [row.pickup_datetime.day for row in trips.collect()] == [1, 30]
+            mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+            plan = trips._jdf.queryExecution().explainString(mode)
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", zone)
+        pushed = re.search(r"PushedFilters: (.*)", plan)[1]
+        assert "GreaterThanOrEqual(tpep_pickup_datetime,2025-" in pushed
+        assert "LessThan(tpep_pickup_datetime,2025-" in pushed
+    none = store.trips("yellow", ["2025-11"], "2025-13")
+    assert none.count() == 4
 
 
 def test_trend_without_any_month(store):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from datetime import date
 
 from pyspark.sql import Column, functions as F
 
@@ -34,6 +35,14 @@ def month_bounds(month: str) -> tuple[Column, Column] | None:
     return first.cast("timestamp_ntz"), F.add_months(first, 1).cast("timestamp_ntz")
 
 
+def month_micros(month: str) -> tuple[int, int]:
+    """The same bounds of an existing month as microseconds since 1970."""
+    year, number = parse_month(month)
+    first = date(year, number, 1)
+    following = date(year + number // 12, number % 12 + 1, 1)
+    return tuple((day - date(1970, 1, 1)).days * 86_400_000_000 for day in (first, following))
+
+
 def in_month(ts: Column, month: str) -> Column:
     """ts lies in the calendar month, as a half-open range: unlike a comparison
     of year and month parts, a range reaches the Parquet reader."""

@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tripmill.functions import calendar
-from tripmill.operators import selection
-from tripmill.operators.metrics import key_figures
+from tripmill.operators import metrics, selection
 from tripmill.operators.selection import pickup
 from tripmill.sources.schema import BOTH, COLOURS, dataset_name
 
-# What a trend adds up: its key figures as sums and counts.
-MEASURES = ("total_amount", "fare_amount", "trip_distance", "tip_amount")
+# What a trend adds up: its key figures as tallies per file month and pickup month.
+AMOUNTS = ("total_amount", "fare_amount", "trip_distance", "tip_amount")
 SUMS = "pickup_no int, n bigint, n_tip bigint, file_no int, " + ", ".join(
-    f"{name} double" for name in MEASURES
+    f"{name} double" for name in AMOUNTS
 )
 
 
@@ -41,24 +40,16 @@ def of_a_file(trips: DataFrame) -> DataFrame:
     return trips.where(F.col("file_month").isNotNull())
 
 
-def on_both_sides(found: DataFrame) -> DataFrame:
+def on_both_sides(found: DataFrame, month: str | Column = "monat") -> DataFrame:
     """Months with rows of both colours, ascending. One aggregation instead of
-    an intersection of two scans."""
-    return (
-        found.groupBy("monat")
-        .agg(_seen_on_both_sides().alias("complete"))
-        .where("complete")
-        .select("monat")
-        .orderBy("monat")
-    )
+    an intersection of two scans; month is what rows are counted by."""
+    return found.groupBy(month).agg(_seen_on_both_sides().alias("complete")).where("complete").drop("complete")
 
 
 def available_months(trips: DataFrame) -> DataFrame:
     """Months whose trips (with file_month) come from both colours."""
-    found = of_a_file(trips).select("taxi_type", "file_month").distinct()
-    return on_both_sides(
-        found.select("taxi_type", calendar.month_text(F.col("file_month")).alias("monat"))
-    )
+    first_days = on_both_sides(of_a_file(trips), "file_month")
+    return first_days.select(calendar.month_text(F.col("file_month")).alias("monat")).orderBy("monat")
 
 
 def source_counts(counts: DataFrame) -> DataFrame:
@@ -88,62 +79,51 @@ def counts_of_rows(trips: DataFrame) -> DataFrame:
 
 
 def _fit() -> Column:
+    """Trips that the trend adds up."""
     return pickup().isNotNull() & selection.in_trend()
 
 
 def month_sums(trips: DataFrame, *keys: str | Column) -> DataFrame:
-    """What the trend adds up, per key and pickup month."""
-    return (
-        trips.where(_fit())
-        .groupBy(*keys, month_number(pickup()).alias("pickup_no"))
-        .agg(
-            F.count("*").alias("n"),
-            F.count("tip_amount").alias("n_tip"),
-            *(F.sum(name).alias(name) for name in MEASURES),
-        )
+    """What the trend adds up of fit trips, per key and pickup month."""
+    by = month_number(pickup()).alias("pickup_no")
+    return trips.where(_fit()).groupBy(*keys, by).agg(*metrics.sums("n", "n_tip", *AMOUNTS))
+
+
+def sums_by_file_month(trips: DataFrame, dataset: str = BOTH) -> DataFrame:
+    """The sums of a dataset's trips that have their file's month with them (file_month) and
+    are of that month, for each month that has trips of both colours. One pass finds these
+    months and their sums."""
+    name = dataset_name(dataset)
+    own = _fit() & (month_number(pickup()) == month_number(F.col("file_month")))
+    if name != BOTH:
+        own = own & (F.col("taxi_type") == name)
+    summed = of_a_file(trips).withColumn("own", own).groupBy("file_month").agg(
+        *metrics.sums("n", "n_tip", *AMOUNTS, counted=F.col("own")), _seen_on_both_sides().alias("complete")
+    )
+    number = month_number(F.col("file_month"))
+    return summed.where("complete").select(
+        number.alias("file_no"), number.alias("pickup_no"), "n", "n_tip", *AMOUNTS
     )
 
 
-def _figures() -> list[Column]:
-    """The five key figures from the sums. Fit trips have a distance and a fare; tips
-    may be missing and have a count of their own."""
-    return [
-        F.sum("n").alias("total_trips"),
-        F.sum("total_amount").alias("total_revenue"),
-        F.try_divide(F.sum("fare_amount"), F.sum("n")).alias("avg_fare"),
-        F.try_divide(F.sum("trip_distance"), F.sum("n")).alias("avg_distance"),
-        F.try_divide(F.sum("tip_amount"), F.sum("n_tip")).alias("avg_tip"),
-    ]
+def month_name(number: Column) -> Column:
+    """YYYY-MM of months since year 0."""
+    year, month = (number - 1).cast("int"), (number - 1) % 12 + 1
+    return F.format_string("%04d-%02d", F.floor(year / 12).cast("int"), month.cast("int"))
 
 
-def trend(sums: DataFrame, months: DataFrame) -> DataFrame:
-    """Key figures of each listed month from the sums (with file_no) of its files.
-    A month without a matching trip has count 0 and no other values; without any month
-    there are no rows."""
+def trend(sums: DataFrame, months: DataFrame | None = None) -> DataFrame:
+    """Key figures of each listed month, or without a listing of each month of the sums,
+    from the sums of its files. A month without a matching trip has count 0 and no other
+    values; without any month there are no rows."""
     own = sums.where(F.col("pickup_no") == F.col("file_no"))
-    figures = own.groupBy("file_no").agg(*_figures())
-    return (
-        months.join(figures, number_of(F.col("monat")) == F.col("file_no"), "left")
-        .drop("file_no")
-        .fillna(0, ["total_trips"])
-        .orderBy("monat")
-    )
+    figures = metrics.of_complete(own).groupBy("file_no").agg(*metrics.key_figures())
+    if months is None:
+        named = figures.withColumn("monat", month_name(F.col("file_no")))
+    else:
+        named = months.join(figures, number_of(F.col("monat")) == F.col("file_no"), "left").fillna(0, ["total_trips"])
+    return named.select("monat", *FIGURES).orderBy("monat")
 
 
-def trend_of_complete_months(trips: DataFrame, dataset: str = BOTH) -> DataFrame:
-    """The same where no listing tells the months: trips of both colours with file_month,
-    the months those that both have. One pass finds months and key figures."""
-    name = dataset_name(dataset)
-    hit = _fit() & (month_number(pickup()) == month_number(F.col("file_month")))
-    if name != BOTH:
-        hit = hit & (F.col("taxi_type") == name)
-    return (
-        of_a_file(trips)
-        .withColumn("hit", hit)
-        .groupBy("file_month")
-        .agg(*key_figures(F.col("hit")), _seen_on_both_sides().alias("complete"))
-        .where("complete")
-        .withColumn("monat", calendar.month_text(F.col("file_month")))
-        .drop("file_month", "complete")
-        .orderBy("monat")
-    )
+# The columns of key figures.
+FIGURES = ("total_trips", "total_revenue", "avg_fare", "avg_distance", "avg_tip")

@@ -38,10 +38,6 @@ class TripFilter:
         return trips.where(self.predicate())
 
 
-def has_location(column: str) -> Column:
-    return F.col(column).isNotNull()
-
-
 def known_payment() -> Column:
     code = F.col("payment_type")
     return code.isNotNull() & code.between(1, 6)

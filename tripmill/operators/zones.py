@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tripmill.operators.selection import has_location
+from tripmill.operators import metrics
 
 TOP_ZONES = 15
 
@@ -18,12 +18,11 @@ def top_dropoff_zones(trips: DataFrame, zones: DataFrame, limit: int = TOP_ZONES
 
 
 def _top(trips: DataFrame, zones: DataFrame, location: str, limit: int) -> DataFrame:
-    counts = (
-        trips.where(has_location(location))
-        .groupBy(location)
-        .agg(F.count("*").alias("n"))
-    )
-    return rank_zones(counts, zones, location, limit)
+    return of_tallies(metrics.tallies(trips, location, "n"), zones, location, limit)
+
+
+def of_tallies(rows: DataFrame, zones: DataFrame, location: str, limit: int) -> DataFrame:
+    return rank_zones(metrics.counts_by(rows, location), zones, location, limit)
 
 
 def rank_zones(counts: DataFrame, zones: DataFrame, location: str, limit: int) -> DataFrame:

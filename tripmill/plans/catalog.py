@@ -78,6 +78,10 @@ def _by_month(metric: Callable[..., DataFrame], *arguments: str) -> Query:
     return run
 
 
+def _trend(dataset: str) -> Query:
+    return _by_month(lambda trips: months.trend(months.sums_by_file_month(trips, dataset)))
+
+
 TRIP_LOOKUPS = ("payment_type", "PULocationID", "DOLocationID")
 
 
@@ -139,8 +143,8 @@ def dashboard_both(spark: SparkSession, sf_dir: str) -> DataFrame:
         folder=dashboard.work_folder(spark) or spark.conf.get("spark.sql.warehouse.dir"),
         ordered=False,
     )
-    panels["monthly_kpis"] = months.trend_of_complete_months(
-        starview.trips(spark, sf_dir, "file_month")
+    panels["monthly_kpis"] = months.trend(
+        months.sums_by_file_month(starview.trips(spark, sf_dir, "file_month"))
     )
     entries = None
     for name, panel in panels.items():
@@ -199,9 +203,9 @@ QUERIES: dict[str, Query] = {
     "hourly_fare_tip_both": _metric(metrics.hourly_fare_tip, BOTH),
     "passenger_dist_both": _metric(metrics.passenger_dist, BOTH),
     "weekday_stats_both": _metric(metrics.weekday_stats, BOTH),
-    "monthly_kpis_yellow": _by_month(months.trend_of_complete_months, YELLOW),
-    "monthly_kpis_green": _by_month(months.trend_of_complete_months, GREEN),
-    "monthly_kpis_both": _by_month(months.trend_of_complete_months, BOTH),
+    "monthly_kpis_yellow": _trend(YELLOW),
+    "monthly_kpis_green": _trend(GREEN),
+    "monthly_kpis_both": _trend(BOTH),
     "available_months": _by_month(months.available_months),
     "source_counts": _by_month(lambda trips: months.source_counts(months.counts_of_rows(trips))),
     "raw_preview_yellow": raw_preview_yellow,

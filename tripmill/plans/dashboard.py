@@ -12,12 +12,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tripmill.functions import calendar, labels
-from tripmill.operators import metrics, selection, zones as zone_ranks
+from tripmill.operators import metrics, zones as zone_ranks
 from tripmill.operators.preview import raw_preview
-from tripmill.operators.selection import TripFilter, pickup
+from tripmill.operators.selection import TripFilter
 from tripmill.sources.store import TripStore
 
 # What to summarise by: a kind and up to three whole-number keys. Keys with few
@@ -25,64 +24,41 @@ from tripmill.sources.store import TripStore
 # x 10), zones (some hundred). Fewer kinds copy each trip less often.
 TIME, CODES, PICKUP, DROPOFF = range(4)
 FIRST_DAY = "DATE'1970-01-01'"
-SUMMARY = (
-    "kind int, key1 {kind}, key2 int, key3 int, n bigint, total_amount double, "
-    "trip_distance double, fare_amount double, tip_amount double, n_tip bigint, "
-    "paid_fare double, n_paid bigint, paid_tip double, n_paid_tip bigint"
+# What a panel over time adds up; the others count.
+SUMMED = tuple(name for name in metrics.MEASURES if name not in ("n", *metrics.COUNTED_BY_N))
+AMOUNTS = "total_amount, trip_distance, fare_amount, tip_amount"
+SUMMARY = "kind int, key1 {kind}, key2 int, key3 int, n bigint, " + ", ".join(
+    f"{name} {'bigint' if name.startswith('n_') else 'double'}" for name in SUMMED
 )
 
 
 def summarise(trips: DataFrame) -> DataFrame:
-    """Counts and sums of filtered trips per kind and keys, in one pass.
+    """Tallies of filtered trips per kind and keys, in one pass.
 
     Each trip is spread over the kinds and aggregated at once in the scan's
     stage. A trip that a metric leaves out has a NULL key there.
     """
     kind = _key_type(trips)
+    key = {name: value() for name, value in metrics.KEYS.items()}
     keyed = trips.select(
-        F.datediff(calendar.day(pickup()), F.expr(FIRST_DAY)).cast(kind).alias("day"),
-        F.hour(pickup()).alias("hour"),
-        F.when(selection.known_payment(), F.col("payment_type")).cast(kind).alias("payment"),
-        F.when(selection.in_histogram(), labels.mile_bin(F.col("trip_distance"))).alias("mile"),
-        F.when(
-            selection.plausible_passengers(), labels.head_count(F.col("passenger_count"))
-        ).alias("heads"),
-        *(F.col(name).cast(kind).alias(name) for name in ("PULocationID", "DOLocationID")),
-        "total_amount",
-        "trip_distance",
-        "fare_amount",
-        "tip_amount",
+        F.datediff(key["tag"], F.expr(FIRST_DAY)).cast(kind).alias("day"),
+        key["stunde"].cast("int").alias("hour"),
+        key["payment_type"].cast(kind).alias("payment"),
+        key["km_bin"].alias("mile"),
+        key["passagiere"].alias("heads"),
+        *(key[name].cast(kind).alias(name) for name in ("PULocationID", "DOLocationID")),
+        *AMOUNTS.split(", "),
     )
     # Only the panels over time use sums; elsewhere NULL is copied and added up.
-    measures = "total_amount, trip_distance, fare_amount, tip_amount"
     none = "NULL, NULL, NULL, NULL"
     spread = keyed.select(
         F.expr(
-            f"stack(4, {TIME}, day, hour, NULL, {measures}, {CODES}, payment, mile, heads, {none}, "
+            f"stack(4, {TIME}, day, hour, NULL, {AMOUNTS}, {CODES}, payment, mile, heads, {none}, "
             f"{PICKUP}, PULocationID, NULL, NULL, {none}, {DROPOFF}, DOLocationID, NULL, NULL, {none}) "
-            f"AS (kind, key1, key2, key3, {measures})"
+            f"AS (kind, key1, key2, key3, {AMOUNTS})"
         )
     )
-    fare, tip = F.col("fare_amount"), F.col("tip_amount")
-    paid_fare, paid_tip = F.when(selection.paid(), fare), F.when(selection.paid(), tip)
-    return spread.groupBy("kind", "key1", "key2", "key3").agg(
-        F.count("*").alias("n"),
-        F.sum("total_amount").alias("total_amount"),
-        F.sum("trip_distance").alias("trip_distance"),
-        F.sum(fare).alias("fare_amount"),
-        F.sum(tip).alias("tip_amount"),
-        F.count(tip).alias("n_tip"),
-        F.sum(paid_fare).alias("paid_fare"),
-        F.count(paid_fare).alias("n_paid"),
-        F.sum(paid_tip).alias("paid_tip"),
-        F.count(paid_tip).alias("n_paid_tip"),
-    )
-
-
-def _mean(total: str, count: str = "n") -> Column:
-    """Filtered trips all have a distance and a fare, so n counts those; tips
-    may be missing and have counts of their own."""
-    return F.try_divide(F.sum(total), F.sum(count))
+    return spread.groupBy("kind", "key1", "key2", "key3").agg(*metrics.sums("n", *SUMMED))
 
 
 def _key_type(trips: DataFrame) -> str:
@@ -101,17 +77,31 @@ def work_folder(spark: SparkSession) -> str | None:
     return spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
 
 
+# In the order of the dashboard.
+PANELS = (
+    "kpis", "daily_trips", "hourly_trips", "payment_dist", "distance_dist", "top_pickup_zones",
+    "top_dropoff_zones", "hourly_fare_tip", "passenger_dist", "weekday_stats",
+)
+
+
 class Panels(dict[str, DataFrame]):
-    """Panels by name, and the folder of the summary they read."""
+    """Panels by name, and the folder of the summary they read. The folder goes with
+    release(), or else when the session's driver ends."""
 
     def __init__(self, spark: SparkSession, folder: str):
         super().__init__()
         self.spark, self.folder = spark, folder
+        system, path = self._files()
+        system.deleteOnExit(path)
+
+    def _files(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        return path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), path
 
     def release(self) -> None:
         """Removes the summary; the filtered panels can't be computed after that."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        system, path = self._files()
+        system.delete(path, True)
 
 
 def panels(
@@ -133,7 +123,8 @@ def panels(
     shown = Panels(spark, f"{folder.rstrip('/')}/dashboard-{uuid.uuid4()}")
     filtered = chosen.apply(trips)
     summarise(filtered).write.parquet(shown.folder)
-    summary = spark.read.schema(SUMMARY.format(kind=_key_type(filtered))).parquet(shown.folder)
+    schema = SUMMARY.format(kind=_key_type(filtered))
+    summary = metrics.of_complete(spark.read.schema(schema).parquet(shown.folder))
     code = filtered.schema["payment_type"].dataType.simpleString()
 
     def kind(which: int, **keys: str) -> DataFrame:
@@ -147,43 +138,14 @@ def panels(
     pickups = kind(PICKUP, PULocationID="key1")
     dropoffs = kind(DROPOFF, DOLocationID="key1")
 
-    def counts(rows: DataFrame, key: str, name: str) -> DataFrame:
-        return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.sum("n").alias(name))
-
-    shown |= {
-        "kpis": hours.agg(
-            F.coalesce(F.sum("n"), F.lit(0)).alias("total_trips"),
-            F.sum("total_amount").alias("total_revenue"),
-            _mean("fare_amount").alias("avg_fare"),
-            _mean("trip_distance").alias("avg_distance"),
-            _mean("tip_amount", "n_tip").alias("avg_tip"),
-        ),
-        "daily_trips": counts(hours, "tag", "fahrten"),
-        "hourly_trips": counts(hours, "stunde", "fahrten"),
-        "payment_dist": metrics.payment_shares(counts(codes, "payment_type", "anzahl")),
-        "distance_dist": counts(codes, "km_bin", "anzahl"),
-        "top_pickup_zones": zone_ranks.rank_zones(
-            counts(pickups, "PULocationID", "n"), zones, "PULocationID", limit
-        ),
-        "top_dropoff_zones": zone_ranks.rank_zones(
-            counts(dropoffs, "DOLocationID", "n"), zones, "DOLocationID", limit
-        ),
-        "hourly_fare_tip": hours.where("n_paid > 0")
-        .groupBy("stunde")
-        .agg(
-            _mean("paid_fare", "n_paid").alias("avg_fare"),
-            _mean("paid_tip", "n_paid_tip").alias("avg_tip"),
-        ),
-        "passenger_dist": counts(codes, "passagiere", "fahrten"),
-        "weekday_stats": metrics.label_weekdays(
-            hours.groupBy(calendar.weekday(F.col("tag")).alias("dow_num")).agg(
-                F.sum("n").alias("fahrten"), _mean("fare_amount").alias("avg_fare")
-            )
-        ),
-    }
+    rows_of = dict.fromkeys(metrics.METRICS, hours)
+    rows_of |= dict.fromkeys(("payment_dist", "distance_dist", "passenger_dist"), codes)
+    made = {name: metric.of(rows_of[name]) for name, metric in metrics.METRICS.items()}
     if ordered:
-        for name, order in metrics.ORDER.items():
-            shown[name] = shown[name].orderBy(*order())
+        made = {name: metrics.METRICS[name].sorted(panel) for name, panel in made.items()}
+    made["top_pickup_zones"] = zone_ranks.of_tallies(pickups, zones, "PULocationID", limit)
+    made["top_dropoff_zones"] = zone_ranks.of_tallies(dropoffs, zones, "DOLocationID", limit)
+    shown.update((name, made[name]) for name in PANELS)
     return shown
 
 
@@ -197,7 +159,7 @@ def refresh(store: TripStore, chosen: TripFilter, folder: str | None = None) ->
     if not month:
         raise ValueError(f"no month with both colours in {store.data_dir}")
     chosen = TripFilter(chosen.dataset, month, chosen.max_dist, chosen.min_fare)
-    shown = panels(store.trips(chosen.dataset, [month]), store.zones(), chosen, folder=folder)
+    shown = panels(store.trips(chosen.dataset, [month], month), store.zones(), chosen, folder=folder)
     shown["monthly_kpis"] = store.trend(chosen.dataset, available)
     shown["raw_preview"] = raw_preview(store.raw(chosen.dataset, month))
     return shown

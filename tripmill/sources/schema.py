@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from tripmill.functions import calendar
+
 YELLOW, GREEN = "yellow", "green"
 COLOURS = (YELLOW, GREEN)
 BOTH = "both"
@@ -63,6 +65,20 @@ def _to_type(value: Column, stored: T.DataType, wanted: T.DataType) -> Column:
     return value.cast(wanted)
 
 
+def instants_in_month(raw: DataFrame, colour: str, month: str) -> DataFrame:
+    """Of a raw file that stores pickups as instants the rows whose UTC wall clock is in the
+    month, told by the stored column, so that the range reaches the Parquet reader. Other
+    files as they are."""
+    name = raw_name("pickup_datetime", colour)
+    stored = {field.name.lower(): field.dataType for field in raw.schema}
+    bounds = calendar.month_bounds(month)
+    if bounds is None or not isinstance(stored.get(name.lower()), T.TimestampType):
+        return raw
+    # Constants, folded when planned; the session's zone has no part in them.
+    low, high = (F.timestamp_micros(F.lit(micros)) for micros in calendar.month_micros(month))
+    return raw.where((F.col(name) >= low) & (F.col(name) < high))
+
+
 def _wider(stored: T.DataType, wanted: T.DataType) -> bool:
     return isinstance(stored, T.FractionalType) or (
         isinstance(stored, T.LongType) and isinstance(wanted, T.IntegerType)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tripmill.operators import months
 from tripmill.sources import layout
-from tripmill.sources.schema import colours_of, to_trip_schema
+from tripmill.sources.schema import colours_of, instants_in_month, to_trip_schema
 
 
 @dataclass(frozen=True)
@@ -26,7 +26,7 @@ class TripStore:
 
     def available_months(self) -> DataFrame:
         """Months present for both colours, ascending, as column monat."""
-        return months.on_both_sides(self.files())
+        return months.on_both_sides(self.files()).orderBy("monat")
 
     def month_list(self) -> list[str]:
         """The available months as text: file names, not data, and needed on the
@@ -41,11 +41,13 @@ class TripStore:
             return self.trips(dataset, [month])
         return self.spark.read.parquet(layout.trip_path(self.data_dir, colours[0], month))
 
-    def trips(self, dataset: str, wanted: Iterable[str]) -> DataFrame:
+    def trips(self, dataset: str, wanted: Iterable[str], month: str = "") -> DataFrame:
         """Trips of the named months' files in the combined schema, without the columns
-        that some of the files lack: only a query that needs one fails."""
+        that some of the files lack: only a query that needs one fails. month narrows the
+        scan to pickups in that month where a filter on the result could not, that is,
+        where the pickup is stored as an instant."""
         parts = [
-            to_trip_schema(raw, colour)
+            to_trip_schema(instants_in_month(raw, colour, month) if month else raw, colour)
             for colour in colours_of(dataset)
             for raw in self._read(colour, list(wanted))
         ]
