@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 from collections.abc import Sequence
@@ -44,6 +45,14 @@ def shared_folder(spark: SparkSession) -> str:
     return _settled(spark).rstrip("/")
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the files of shuffles and checkpoints that nothing
+    refers to any longer. It learns of them when the driver's memory is collected, which
+    a driver with little to do may put off until the disks are full."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def remove_folder(spark: SparkSession, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

@@ -31,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from tripmill.llm import common
@@ -55,6 +56,8 @@ PAIRS_PER_PARTITION = 200_000
 WORDS_HELD = 100_000
 # The join of a shingle that more members have is split.
 HOT_SHINGLE = 5_000
+# A key with more than one of so many rows is joined apart from the others.
+SHARE = 1_000
 
 _MIX = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63],
@@ -150,19 +153,37 @@ def _pivot_rows(marks: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return np.lexsort((ids, -near))[:PIVOTS]
 
 
-_PAIRS = "a long, b long, agreement double, to_pivot boolean, order int, region binary, mark binary"
+# What a sorted partition yields: pairs, the pivots it proposes for regions that may go on
+# in others, and the members of crowded regions and of such, these with mark and part.
+PAIR, PROPOSED, MEMBER = range(3)
+_FOUND = "kind int, a long, b long, agreement double, to_pivot boolean, order int, region binary, mark binary, part int"
+_PAIRS = "a long, b long, agreement double, to_pivot boolean"
+_KINDS = (
+    pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.int32(), pa.binary(), pa.binary(), pa.int32()
+)
 
 
-def _as_rows(a, b, agreement, to_pivot) -> pa.RecordBatch:
+def _found(kind: int, a, **columns) -> pa.RecordBatch:
     n = len(a)
+    given = {"kind": np.full(n, kind, np.int32), "a": a} | columns
+    names = [field.split()[0] for field in _FOUND.split(", ")]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(given[name], type_) if name in given else pa.nulls(n, type_) for name, type_ in zip(names, _KINDS)], names
+    )
+
+
+def _as_rows(a, b, agreement, to_pivot) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(agreement),
-         pa.array(np.full(n, to_pivot)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
-         pa.nulls(n, pa.binary())],
-        ["a", "b", "agreement", "to_pivot", "order", "region", "mark"],
+        [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(agreement), pa.array(np.full(len(a), to_pivot))],
+        ["a", "b", "agreement", "to_pivot"],
     )
 
 
+def _as_found(pairs: pa.RecordBatch) -> pa.RecordBatch:
+    columns = {name: pairs.column(name) for name in ("b", "agreement", "to_pivot")}
+    return _found(PAIR, pairs.column("a"), **columns)
+
+
 def _against(marks: np.ndarray, ids: np.ndarray, pivot_marks: np.ndarray, pivot_ids: np.ndarray):
     """Pairs of each row with the pivots that agree most, and enough."""
     near = np.stack([_agreement(marks, mark) for mark in pivot_marks], axis=1)
@@ -203,61 +224,60 @@ def _next_ones(marks: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidates of one sorted partition, the pivots of the regions at its two ends,
-    which may go on in other partitions, and (with neither b nor region) the members of
-    these and of crowded regions. A partition has ROWS_PER_PARTITION rows or
-    thereabouts, of about 150 bytes."""
+    which may go on in other partitions, and the members of these and of crowded regions. A
+    partition has ROWS_PER_PARTITION rows or thereabouts, of about 150 bytes."""
     held = [batch for batch in batches if batch.num_rows]
     if not held:
         return
+    task = TaskContext.get()
+    own = task.partitionId() if task else 0
     rows = pa.Table.from_batches(held)
     ids, orders = (rows.column(name).to_numpy() for name in ("id", "order"))
     marks = np.frombuffer(b"".join(rows.column("mark").to_pylist()), ">u2").reshape(-1, POSITIONS)
     del rows, held
-    members = []
     for order in np.unique(orders):
         begin, end = np.searchsorted(orders, [order, order + 1])
         part, names = marks[begin:end], ids[begin:end]
-        yield from _next_ones(part, names)
-        members += [names[low:high] for low, high in _runs(part, LEAST_DEPTH)]
+        for pairs in _next_ones(part, names):
+            yield _as_found(pairs)
         for depth in DEPTHS:
             for low, high in _runs(part, depth):
                 chosen = low + _pivot_rows(part[low:high], names[low:high])
-                yield from _against(part[low:high], names[low:high], part[chosen], names[chosen])
+                for pairs in _against(part[low:high], names[low:high], part[chosen], names[chosen]):
+                    yield _as_found(pairs)
         # The first and the last region, however small they are here.
         edge = {tuple(part[0, :LEAST_DEPTH]), tuple(part[-1, :LEAST_DEPTH])}
+        for low, high in _runs(part, LEAST_DEPTH):
+            if tuple(part[low, :LEAST_DEPTH]) not in edge:
+                n = high - low
+                yield _found(
+                    MEMBER, names[low:high], order=np.full(n, order, np.int32), region=[part[low, :LEAST_DEPTH].tobytes()] * n
+                )
         for prefix in edge:
             inside = np.flatnonzero((part[:, :LEAST_DEPTH] == prefix).all(axis=1))
-            members.append(names[inside])
             chosen = inside[_pivot_rows(part[inside], names[inside])]
-            n = len(chosen)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names[chosen]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()),
-                 pa.nulls(n, pa.bool_()), pa.array(np.full(n, order, np.int32)),
-                 pa.array([part[i, :LEAST_DEPTH].tobytes() for i in chosen], pa.binary()),
-                 pa.array([part[i].tobytes() for i in chosen], pa.binary())],
-                ["a", "b", "agreement", "to_pivot", "order", "region", "mark"],
-            )
-    several = np.unique(np.concatenate(members))
-    n = len(several)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(several), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), pa.nulls(n, pa.bool_()),
-         pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())],
-        ["a", "b", "agreement", "to_pivot", "order", "region", "mark"],
-    )
+            for kind, which in ((PROPOSED, chosen), (MEMBER, inside)):
+                n = len(which)
+                yield _found(
+                    kind, names[which], order=np.full(n, order, np.int32),
+                    region=[part[which[0], :LEAST_DEPTH].tobytes()] * n,
+                    mark=[part[i].tobytes() for i in which], part=np.full(n, own, np.int32),
+                )
 
 
 def _common_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pivots of each region among those of its parts, some for each partition."""
+    """The pivots of each region among those that its partitions propose."""
     for batch in batches:
         for row in batch.to_pylist():
-            ids = np.array([part["a"] for part in row["parts"]], np.int64)
-            marks = np.frombuffer(b"".join(part["mark"] for part in row["parts"]), ">u2").reshape(-1, POSITIONS)
+            ids = np.array([each["a"] for each in row["proposed"]], np.int64)
+            marks = np.frombuffer(b"".join(each["mark"] for each in row["proposed"]), ">u2").reshape(-1, POSITIONS)
             best = _pivot_rows(marks, ids)
             n = len(best)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([row["order"]] * n, pa.int32()), pa.array([row["region"]] * n, pa.binary()),
+                 pa.array([row["places"]] * n, pa.list_(pa.int32())),
                  pa.array(ids[best]), pa.array([marks[i].tobytes() for i in best], pa.binary())],
-                ["order", "region", "pivot", "pivot_mark"],
+                ["order", "region", "places", "pivot", "pivot_mark"],
             )
 
 
@@ -268,7 +288,7 @@ def _with_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 np.frombuffer(b"".join(batch.column(name).to_pylist()), ">u2").reshape(-1, POSITIONS)
                 for name in ("mark", "pivot_mark")
             ]
-            a, b = (batch.column(name).to_numpy() for name in ("id", "pivot"))
+            a, b = (batch.column(name).to_numpy() for name in ("a", "pivot"))
             near = _agreement(*both)
             hit = (near >= LEAST_AGREEMENT) & (a != b)
             yield _as_rows(a[hit], b[hit], near[hit], True)
@@ -276,7 +296,7 @@ def _with_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(a, b, agreement, to_pivot), a < b, of pairs of classes (id, mark) worth a look, and
-    (id) of the classes in regions that may hold other pairs."""
+    (id, order, region) of the classes in regions that may hold other pairs."""
     turned = F.expr(f"concat(substring(mark, {2 * STEP} * order + 1), substring(mark, 1, {2 * STEP} * order))")
     rows = (
         classes.withColumn("order", F.explode(F.sequence(F.lit(0), F.lit(ORDERS - 1))))
@@ -286,30 +306,33 @@ def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = common.cut(
         rows.repartitionByRange(max(parts, _least_partitions(classes)), "order", "mark", "id")
         .sortWithinPartitions("order", "mark", "id")
-        .mapInArrow(_neighbours, _PAIRS)
+        .mapInArrow(_neighbours, _FOUND)
     )
-    parted = found.where("region IS NOT NULL").select("order", "region", "a", "mark")
     # Of a region, PIVOTS rows for each partition that it lies in.
     pivots = (
-        parted.groupBy("order", "region")
-        .agg(F.collect_set(F.struct("a", "mark")).alias("parts"))
-        .where(F.size("parts") > PIVOTS)
-        .mapInArrow(_common_pivots, "order int, region binary, pivot long, pivot_mark binary")
+        found.where(F.col("kind") == PROPOSED)
+        .groupBy("order", "region")
+        .agg(F.collect_set(F.struct("a", "mark")).alias("proposed"), F.collect_set("part").alias("places"))
+        .where(F.size("proposed") > PIVOTS)
+        .mapInArrow(_common_pivots, "order int, region binary, places array<int>, pivot long, pivot_mark binary")
+        .withColumn("part", F.explode("places"))
     )
-    # Two regions a partition at most, so at most 2 PIVOTS times as many rows as partitions.
+    members = found.where(F.col("kind") == MEMBER)
+    # The rows of a region meet its pivots partition by partition.
     again = (
-        rows.withColumn("region", F.substring("mark", 1, 2 * LEAST_DEPTH))
-        .join(F.broadcast(pivots), ["order", "region"])
-        .select("id", "mark", "pivot", "pivot_mark")
+        members.where("mark IS NOT NULL")
+        .join(pivots, ["order", "region", "part"])
+        .select("a", "mark", "pivot", "pivot_mark")
         .mapInArrow(_with_pivots, _PAIRS)
     )
     pairs = (
-        found.where("region IS NULL AND b IS NOT NULL")
+        found.where(F.col("kind") == PAIR)
+        .select("a", "b", "agreement", "to_pivot")
         .unionByName(again)
         .groupBy("a", "b")
         .agg(F.max("agreement").alias("agreement"), F.bool_or("to_pivot").alias("to_pivot"))
     )
-    return pairs, found.where("region IS NULL AND b IS NULL").select(F.col("a").alias("id")).distinct()
+    return pairs, members.select(F.col("a").alias("id"), "order", "region")
 
 
 def _least_partitions(frame: DataFrame) -> int:
@@ -360,6 +383,16 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _meeting(rows: DataFrame, facts: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """rows joined with facts, which has one row per key and in `n` how many of all `total`
+    rows have that key. Keys with more than one of SHARE rows, fewer than SHARE of them, are
+    broadcast, so the rows of a hot key stay where they are; no other key has more."""
+    often = F.col(n) * SHARE > total
+    hot = common.cut(facts.where(often).coalesce(1))
+    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(facts.where(~often), key)
+    return rows.join(F.broadcast(hot), key).unionByName(others)
+
+
 def rare_pairs(members: DataFrame) -> DataFrame:
     """(a, b), a < b, of members (id, root, elements) with different roots: all that can
     be similar enough.
@@ -373,6 +406,7 @@ def rare_pairs(members: DataFrame) -> DataFrame:
     shingle, so members of a large component do not meet each other.
     """
     every = members.mapInArrow(_elements, "shingle long, id long, root long, size long")
+    total = members.agg(F.sum(F.octet_length("elements") / 8)).first()[0] or 0
     shared = (
         every.groupBy("shingle")
         .agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
@@ -380,7 +414,7 @@ def rare_pairs(members: DataFrame) -> DataFrame:
         .select("shingle", "n")
     )
     front = (
-        every.join(shared, "shingle")
+        _meeting(every, shared, "shingle", "n", int(total))
         .groupBy("id", "root", "size")
         .agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("rising"))
         .withColumn("before", F.col("size") - F.size("rising"))
@@ -396,11 +430,11 @@ def rare_pairs(members: DataFrame) -> DataFrame:
     most = (
         front.groupBy("shingle", "root").agg(F.count("*").alias("n"))
         .groupBy("shingle")
-        .agg(F.max(F.struct("n", "root"))["root"].alias("usual"), F.count("*").alias("roots"))
+        .agg(F.max(F.struct("n", "root"))["root"].alias("usual"), F.count("*").alias("roots"), F.sum("n").alias("uses"))
         .where("roots > 1")
-        .select("shingle", "usual")
+        .select("shingle", "usual", "uses")
     )
-    front = front.join(most, "shingle").withColumn("rare", F.col("root") != F.col("usual"))
+    front = _meeting(front, most, "shingle", "uses", front.count()).withColumn("rare", F.col("root") != F.col("usual"))
     large = front.withColumn("split", F.expr("pmod(xxhash64(id), splits)"))
     small = front.where("place < size - (6 * size + 6) div 7 + 1").withColumn(
         "split", F.explode(F.expr("sequence(0L, splits - 1)"))
@@ -417,10 +451,15 @@ def rare_pairs(members: DataFrame) -> DataFrame:
     return meet(large.where("rare"), small).union(meet(large.where("NOT rare"), small.where("rare"))).distinct()
 
 
+def _few(frame: DataFrame, rows: int) -> DataFrame:
+    """A frame of about so many rows, in tasks of PAIRS_PER_PARTITION or thereabouts: a
+    small one would else go through as many files as there are partitions, again and again."""
+    return frame.coalesce(1 + rows // PAIRS_PER_PARTITION)
+
+
 def _compact(frame: DataFrame) -> DataFrame:
-    """A frame that is kept, in tasks of PAIRS_PER_PARTITION rows or thereabouts: a small
-    one would else go through as many files as there are partitions, again and again."""
-    return frame.coalesce(1 + frame.count() // PAIRS_PER_PARTITION)
+    """The same of a frame that is kept."""
+    return _few(frame, frame.count())
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -428,20 +467,25 @@ def components(links: DataFrame) -> DataFrame:
     alternate until nothing changes; each is an aggregation and a join, so a node with
     very many links is no group in a task. The driver sees a count and a checksum."""
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    edges = _compact(common.cut(edges.where("u <> v").distinct()))
+    edges = common.cut(edges.where("u <> v").distinct())
+    n = edges.count()
+    edges = _few(edges, n)
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = _few(both.groupBy("u").agg(F.min("v").alias("m")), n).withColumn("m", F.least("u", "m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = _few(large.where("u <> v").distinct(), n)
+        least = _few(large.groupBy("u").agg(F.min("v").alias("m")), n)
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = _compact(common.cut(small.where("u <> v").distinct()))
+        before, edges = edges, common.cut(_few(small.where("u <> v").distinct(), n))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        del both, least, large, small, before
+        common.tidy(edges.sparkSession)
         if now == state:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
-        state = now
+        state, n = now, now[0]
 
 
 def _best(pairs: DataFrame) -> DataFrame:
@@ -472,23 +516,32 @@ def near_groups(docs: DataFrame) -> DataFrame:
     pairs, crowded = candidates(classes.select("id", "mark"))
     pairs, crowded = _compact(common.cut(pairs)), _compact(common.cut(crowded))
     # Each side is made distinct before the two meet, so pairs are not doubled.
-    wanted = pairs.select(F.col("a").alias("id")).distinct().union(pairs.select("b").distinct()).union(crowded).distinct()
+    ends = pairs.select(F.col("a").alias("id")).distinct().union(pairs.select("b").distinct())
+    wanted = ends.union(crowded.select("id").distinct()).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     sets = common.cut(texts.join(wanted, "id", "left_semi").mapInArrow(_sets, "id long, elements binary"))
     links = _compact(common.cut(confirmed(_best(pairs), sets)))
+    common.tidy(docs.sparkSession)
     first = components(links)
     ends = pairs.select("a", "b")
     for end in ("a", "b"):
         root = first.select(F.col("id").alias(end), F.col("root").alias(f"root_{end}"))
         ends = ends.join(root, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
     apart = _compact(common.cut(ends.where("root_a <> root_b").select("a", "b")))
-    more = confirmed(apart, sets)
-    links = links.unionByName(more)
-    roots = components(links)
-    members = sets.join(crowded, "id", "left_semi").join(roots, "id", "left")
-    left = _compact(common.cut(rare_pairs(members.select("id", F.coalesce("root", "id").alias("root"), "elements"))))
-    of_crowds = confirmed(left, sets)
-    roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(of_crowds))
+    more = _compact(common.cut(confirmed(apart, sets)))
+    roots = components(links.unionByName(more)) if more.count() else first
+    del pairs, links, first, ends, apart, more
+    common.tidy(docs.sparkSession)
+    # Where all members of a region are connected already, no pair of it says more.
+    placed = crowded.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    open_regions = placed.groupBy("order", "region").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    members = common.cut(placed.join(open_regions, ["order", "region"], "left_semi").select("id", "root").distinct())
+    left = _compact(common.cut(rare_pairs(sets.join(members, "id").select("id", "root", "elements"))))
+    of_crowds = _compact(common.cut(confirmed(left, sets)))
+    if of_crowds.count():
+        roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(of_crowds))
+    del sets, members, left, placed, open_regions, crowded
+    common.tidy(docs.sparkSession)
     of_class = classes.join(roots, "id", "left").select(
         "set_key", F.coalesce("root", "id").alias("component_id")
     )
@@ -509,5 +562,6 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 def drop_near(docs: DataFrame) -> DataFrame:
     """The documents that are kept, whole rows; rows that share an id stay or go alike."""
-    kept = near_groups(docs).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
+    of_ids = near_groups(docs).groupBy(F.col("doc_id").alias("__gone_id")).agg(F.bool_or("kept").alias("__stays"))
+    gone = of_ids.where("NOT __stays").select("__gone_id")
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone_id"), "left_anti")
