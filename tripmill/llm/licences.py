@@ -1,29 +1,36 @@
 """Licence scans: an exact set-similarity join of text blocks with licence templates.
 
-A block is a line of a document, a template a short licence notice, both as sets of
-tokens. All blocks are found that contain at least THRESHOLD of a template's tokens.
-Tokens are ordered by how often the whole corpus has them, rarest first. A block that
-shares enough tokens with a template of t, at least need = ceil(THRESHOLD t), shares one
-of the template's t - need + 1 rarest (prefix), has `need` known tokens (length), and has
-enough left behind the first shared token on both sides (position). The overlap of what
-passes is counted in full. Only tokens of templates can be shared, so the known tokens
-of a block stand for it.
+A template is a short licence notice, as a set of tokens. Its blocks are the windows of a
+text of as many words as the notice has and some SLACK, wherever lines end. All blocks
+are found that contain at least THRESHOLD of the template's tokens, need of t.
+
+Tokens are ordered by how often the whole corpus has them, rarest first. A block that shares
+enough tokens with a template shares one of its t - need + 1 rarest (prefix), so only words
+near one of these can be in such a block; it has need words of the template or more (length),
+and its rarest shared token is among those, as too few would be left behind it (position).
+The overlap of what passes is counted in full. A whole text that has fewer than need tokens
+of a template has no such block and is not looked at again.
 
 Beside that, phrases are found by their words in a row, whatever lies between the words.
 
-DataFrame functions only: no Python runs on the executors.
+DataFrame functions only: no Python runs on the executors. Texts are read and split once;
+those that may have a match are kept with their words.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from functools import reduce
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tripmill.llm import common
 
 THRESHOLD = 0.75
+# Words that a block may have beyond those of the notice: a part of them, and at least two.
+SLACK, LEAST_SLACK = 0.25, 2
 # What a word is, and phrases with their labels.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PHRASES = {
@@ -47,11 +54,6 @@ TEMPLATES = {
 }
 
 
-def word_list(text: Column) -> Column:
-    """The words of a lower-cased text, in order."""
-    return F.filter(F.split(text, SEPARATORS), lambda word: word != "")
-
-
 def _anywhere(phrase: str) -> str:
     """A pattern that a text with the phrase's words in a row matches in any case."""
     return "(?i)" + r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+".join(phrase.split())
@@ -69,79 +71,111 @@ def _starts(words: Column, phrase: str) -> Column:
     return F.filter(F.transform(words, here), lambda at: at.isNotNull())
 
 
-def phrases(docs: DataFrame, wanted: dict[str, str] = PHRASES) -> DataFrame:
-    """(doc_id, text, n_words, starts by label...) with lower-cased texts: for every
-    label an array of starts, null where the text does not have the phrase at all.
-    Texts are split into words only where a phrase may stand."""
+class Template(NamedTuple):
+    label: str
+    tokens: list[str]
+    #: Distinct tokens that a block must share, and words that it has.
+    need: int
+    words: int
+
+
+def parsed(templates: dict[str, str], threshold: float) -> list[Template]:
+    out = []
+    for label, text in sorted(templates.items()):
+        words = text.split()
+        tokens = sorted(set(words))
+        slack = max(LEAST_SLACK, math.ceil(SLACK * len(words)))
+        out.append(Template(label, tokens, math.ceil(threshold * len(tokens) - 1e-9), len(words) + slack))
+    return out
+
+
+def _array(values: Sequence[str]) -> Column:
+    return F.array(*map(F.lit, values))
+
+
+def read(docs: DataFrame, templates: list[Template]) -> DataFrame:
+    """The one pass over the texts. Per row a mark, n_words, the known tokens it has, the
+    labels of templates that it may contain (likely), its text if there are any, and where
+    phrases start, an array by label, null where the text does not have the phrase."""
     lowered = docs.select(
-        F.col("doc_id").cast("long"), common.ascii_lower(F.coalesce("text", F.lit(""))).alias("text")
+        F.monotonically_increasing_id().alias("mark"),
+        F.col("doc_id").cast("long").alias("doc_id"),
+        common.ascii_lower(F.coalesce("text", F.lit(""))).alias("text"),
     )
-    some = reduce(lambda a, b: a | b, [F.col("text").rlike(_anywhere(phrase)) for phrase in wanted])
-    counted = lowered.withColumn("n_words", F.regexp_count("text", F.lit(r"[0-9a-z\x{80}-\x{10FFFF}]+")).cast("long"))
-    listed = counted.withColumn("words", F.when(some, word_list(F.col("text"))))
-    return listed.select(
-        "doc_id", "text", "n_words",
-        *(_starts(F.col("words"), phrase).alias(f"at_{label}") for phrase, label in wanted.items()),
+    known = sorted({token for each in templates for token in each.tokens} | {w for phrase in PHRASES for w in phrase.split()})
+    split = lowered.withColumn("words", F.split("text", SEPARATORS)).withColumn(
+        "tokens", F.array_intersect("words", _array(known))
     )
-
-
-def token_order(blocks: DataFrame, templates: dict[str, str]) -> list[str]:
-    """The templates' tokens, the rarest in the corpus (by blocks that have them) first."""
-    spark = blocks.sparkSession
-    tokens = sorted({token for template in templates.values() for token in template.split()})
-    known = spark.createDataFrame([(token,) for token in tokens], "token string")
-    seen = (
-        blocks.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    blank = (F.get("words", F.lit(0)) == "").cast("int")
+    last = F.when(F.size("words") > 1, (F.element_at("words", -1) == "").cast("int")).otherwise(0)
+    likely = [
+        F.when(F.size(F.array_intersect("tokens", _array(each.tokens))) >= each.need, F.lit(each.label))
+        for each in templates
+    ]
+    may_have = F.col("text").rlike("|".join(map(_anywhere, PHRASES)))
+    in_full = F.when(may_have, F.filter("words", lambda word: word != ""))
+    listed = split.withColumn("likely", F.array_compact(F.array(*likely))).select(
+        "mark", "doc_id", (F.size("words") - blank - last).cast("long").alias("n_words"), "tokens", "likely",
+        F.when(F.size("likely") > 0, F.col("text")).alias("text"),
+        in_full.alias("in_full"),
+    )
+    return common.cut(
+        listed.select(
+            "mark", "doc_id", "n_words", "tokens", "likely", "text",
+            *(_starts(F.col("in_full"), phrase).alias(f"at_{label}") for phrase, label in PHRASES.items()),
+        )
     )
-    ordered = known.join(seen, "token", "left").orderBy(F.coalesce("n", F.lit(0)), "token")
-    return [row.token for row in ordered.collect()]
 
 
-def text_blocks(texts: DataFrame, templates: dict[str, str]) -> DataFrame:
-    """(key columns, tokens): each line's distinct known tokens, for lines with any."""
-    known = F.array(*(F.lit(token) for token in sorted({t for each in templates.values() for t in each.split()})))
-    return (
-        texts.select("doc_id", "text_key", F.explode(F.split("text", "\n")).alias("block"))
-        .select("doc_id", "text_key", F.array_intersect(F.split("block", SEPARATORS), known).alias("tokens"))
-        .where(F.size("tokens") > 0)
-    )
+def token_order(texts: DataFrame, templates: list[Template]) -> list[str]:
+    """The templates' tokens, those that the fewest texts have first."""
+    counts = texts.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    # As many rows as there are known tokens.
+    seen = {row.token: row.n for row in counts.collect()}
+    return sorted({token for each in templates for token in each.tokens}, key=lambda token: (seen.get(token, 0), token))
 
 
-def containments(blocks: DataFrame, templates: dict[str, str], threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, text_key, label, containment) of all blocks (doc_id, text_key, tokens)
-    that contain at least the threshold of a template's distinct tokens."""
-    order = token_order(blocks, templates)
-    rank = {token: i for i, token in enumerate(order)}
+def containments(texts: DataFrame, templates: list[Template]) -> DataFrame:
+    """(mark, label, containment) of all texts (mark, text, tokens, likely) with a block that
+    contains enough of a template's tokens, the most that one contains."""
+    rank = {token: i for i, token in enumerate(token_order(texts, templates))}
     rows = []
-    for label, template in sorted(templates.items()):
-        ranks = sorted({rank[token] for token in template.split()})
-        need = math.ceil(threshold * len(ranks) - 1e-9)
-        rows += [
-            (ranks[place], label, ranks, need, place) for place in range(len(ranks) - need + 1)
-        ]
-    spark = blocks.sparkSession
-    # As many rows as the templates have prefix tokens.
-    index = spark.createDataFrame(rows, "token int, label string, template array<int>, need int, place int")
-    ranks = F.create_map(*(F.lit(value) for token, i in rank.items() for value in (token, i)))
-    least = min(need for _, _, _, need, _ in rows)
-    ranked = (
-        blocks.where(F.size("tokens") >= least)
-        .withColumn("ranks", F.array_sort(F.transform("tokens", lambda token: ranks[token])))
-        .select("doc_id", "text_key", "ranks", F.posexplode("ranks").alias("at", "token"))
+    for each in templates:
+        ranks = sorted(rank[token] for token in each.tokens)
+        # The last of the rarest tokens, one of which every match shares.
+        prefix = ranks[len(ranks) - each.need]
+        rows += [(token, each.label, rank[token], prefix, each.need, each.words, len(ranks)) for token in each.tokens]
+    index = texts.sparkSession.createDataFrame(
+        rows, "token string, label string, rank int, prefix int, need int, words int, size int"
+    )
+    # A row per word of a template in a text that may contain it. The index has as many rows
+    # as the templates have tokens.
+    places = (
+        texts.where(F.size("likely") > 0)
+        .select("mark", "likely", F.posexplode(F.split("text", SEPARATORS)).alias("at", "token"))
+        .join(F.broadcast(index), "token")
+        .where(F.array_contains("likely", F.col("label")))
+        .drop("likely", "token")
     )
-    size, left = F.size("ranks"), F.least(F.size("ranks") - F.col("at"), F.size("template") - F.col("place"))
-    candidates = (
-        ranked.join(F.broadcast(index), "token")
-        # Length, then position: what can still be shared from here on. A block's first
-        # shared token is the one where nothing shared lies before, so `left` bounds all.
-        .where((size >= F.col("need")) & (left >= F.col("need")))
+    row = Window.partitionBy("mark", "label").orderBy("at")
+    rare = F.when(F.col("rank") <= F.col("prefix"), F.col("at"))
+    near = places.withColumns(
+        {
+            "before": F.last(rare, ignorenulls=True).over(row.rowsBetween(Window.unboundedPreceding, 0)),
+            "behind": F.first(rare, ignorenulls=True).over(row.rowsBetween(0, Window.unboundedFollowing)),
+        }
+    ).where((F.col("at") - F.col("before") < F.col("words")) | (F.col("behind") - F.col("at") < F.col("words")))
+    longest = max(each.words for each in templates)
+    frame = row.rangeBetween(0, longest - 1)
+    blocks = near.withColumn("following", F.collect_list(F.struct("at", "rank")).over(frame)).withColumn(
+        "ranks", F.expr("transform(filter(following, x -> x.at < at + words), x -> x.rank)")
     )
-    overlap = F.size(F.array_intersect("ranks", "template"))
+    passed = blocks.where((F.size("ranks") >= F.col("need")) & (F.array_min("ranks") <= F.col("prefix")))
     return (
-        candidates.withColumn("overlap", overlap)
+        passed.withColumn("overlap", F.size(F.array_distinct("ranks")))
         .where("overlap >= need")
-        .groupBy("doc_id", "text_key", "label")
-        .agg(F.max(F.col("overlap") / F.size("template")).alias("containment"))
+        .groupBy("mark", "label")
+        .agg(F.max(F.col("overlap") / F.col("size")).alias("containment"))
     )
 
 
@@ -154,14 +188,14 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
     labels, score (the highest containment, 1 with a phrase, else 0).
 
     A null text counts as empty: no words, no labels, score 0. Repeated rows are scanned
-    alike, one row each, with or without doc_id: matches go back to the rows by id and
-    text. Columns but doc_id and text are not read; no rows give none.
+    alike, one row each, with or without doc_id. A very long text is scanned whole, its
+    blocks a window at a time. Columns but doc_id and text are not read; no rows give none.
     """
-    based = phrases(docs)
-    key = F.xxhash64("text")
+    wanted = parsed(templates, threshold)
+    texts = read(docs, wanted)
     every = F.concat(*(F.coalesce(f"at_{label}", F.array().cast("array<int>")) for label in PHRASES.values()))
-    base = based.select(
-        "doc_id", key.alias("text_key"), "n_words",
+    base = texts.select(
+        "mark", "doc_id", "n_words",
         F.size(every).cast("long").alias("n_base"),
         F.array_min(every).cast("long").alias("first_word"),
         F.array_max(every).cast("long").alias("last_word"),
@@ -169,18 +203,13 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
             F.array(*(F.when(F.size(f"at_{label}") > 0, F.lit(label)) for label in PHRASES.values()))
         ).alias("base_list"),
     )
-    texts = docs.select(
-        F.col("doc_id").cast("long"), common.ascii_lower(F.coalesce("text", F.lit(""))).alias("text")
-    ).select("doc_id", "text", key.alias("text_key"))
     found = (
-        containments(text_blocks(texts, templates), templates, threshold)
-        .groupBy("doc_id", "text_key")
+        containments(texts, wanted)
+        .groupBy("mark")
         .agg(F.collect_set("label").alias("found"), F.max("containment").alias("containment"))
-        .select(F.col("doc_id").alias("found_id"), F.col("text_key").alias("found_key"), "found", "containment")
     )
-    same = F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("text_key") == F.col("found_key"))
     no_labels = F.array().cast("array<string>")
-    return base.join(found, same, "left").select(
+    return base.join(found, "mark", "left").select(
         "doc_id", "n_words", "n_base", "first_word", "last_word",
         _joined(F.col("base_list")).alias("base_labels"),
         _joined(F.concat("base_list", F.coalesce("found", no_labels))).alias("labels"),

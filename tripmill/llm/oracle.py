@@ -11,7 +11,8 @@ _LOWERED = f"translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}')"
 
 
 def _licences() -> str:
-    """Phrases by position, lines against templates by counting shared tokens."""
+    """Phrases by position; of each window of words from a template's token on, as long as
+    the notice and a quarter more (two words at least), the distinct tokens it shares."""
     starts = []
     for phrase in PHRASES:
         words = phrase.split()
@@ -19,9 +20,11 @@ def _licences() -> str:
         starts.append(f"list_filter(range(1, len(w) + 1), lambda i: coalesce({hit}, false))")
     templates = []
     for label, template in TEMPLATES.items():
-        tokens = sorted(set(template.split()))
+        words = template.split()
+        tokens = set(words)
         need = math.ceil(THRESHOLD * len(tokens) - 1e-9)
-        templates.append(f"('{label}', {tokens!r}, {need})")
+        length = len(words) + max(2, math.ceil(len(words) / 4))
+        templates += [f"('{label}', '{token}', {need}, {length}, {len(tokens)})" for token in sorted(tokens)]
     labels = ", ".join(f"CASE WHEN len(s{k}) > 0 THEN '{label}' END" for k, label in enumerate(PHRASES.values()))
     return f"""
         WITH words AS (
@@ -35,13 +38,14 @@ def _licences() -> str:
                    list_filter([{labels}], lambda x: x IS NOT NULL) AS base_list
             FROM found
         ), templates AS (
-            SELECT * FROM (VALUES {", ".join(templates)}) AS t(label, tokens, need)
-        ), lines AS (
-            SELECT doc_id, unnest(string_split(content, chr(10))) AS line FROM words
+            SELECT * FROM (VALUES {", ".join(templates)}) AS t(label, token, need, length, size)
+        ), placed AS (
+            SELECT doc_id, unnest(w) AS token, generate_subscripts(w, 1) AS place FROM words
         ), shared AS (
-            SELECT doc_id, label, need, len(tokens) AS size,
-                   len(list_intersect(regexp_extract_all(line, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), tokens)) AS overlap
-            FROM lines, templates
+            SELECT doc_id, label, need, size, count(DISTINCT token) OVER (
+                PARTITION BY doc_id, label ORDER BY place RANGE BETWEEN CURRENT ROW AND length - 1 FOLLOWING
+            ) AS overlap
+            FROM placed JOIN templates USING (token)
         ), contained AS (
             SELECT doc_id, list(DISTINCT label) AS labels, max(overlap / size) AS containment
             FROM shared WHERE overlap >= need GROUP BY doc_id
