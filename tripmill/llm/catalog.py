@@ -18,7 +18,7 @@ SHARDS = 16
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = mixing.place(table(spark, sf_dir, "documents").select("doc_id", "source"))
-    return placed.select("row.doc_id", "source", "parts", "block", "slot", "position")
+    return placed.select("row.doc_id", "source", "share", "block", "slot", "position")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

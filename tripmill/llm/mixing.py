@@ -1,16 +1,18 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-A source's documents come in a seeded random order and are dealt into blocks. Weights
-are whole parts, W in total, and time runs in slots of one block. In a round of W slots
-a source with p parts has p blocks; block k of them is released at floor(k W / p) and
-due at ceil((k + 1) W / p), and in each slot the released block that is due first runs.
-That meets every deadline, so after each slot each source is less than one block away
-from its share. At the end of a round every source has exactly its share, so all rounds
-with the same blocks look alike and one of each kind is scheduled, however many there
-are. Sources beyond the LANES largest share a lane, whose blocks are dealt among them by
-the same rule; its weight is the sum of theirs. When a source runs out the others share its slots by their weights, so every row
-has one place in the mix. There are two kinds more for each source that runs out: the
-schedule has at most (2 lanes + 1) W entries, and the rows look theirs up in it.
+A source's documents come in a seeded random order and are dealt into blocks. Time runs in
+slots of one block. While all sources last, the ideal gives each its weight's share of
+every slot; from where one has had its last block, the others share its slots by their
+weights. Block k of a source is released when the ideal has given the source k blocks, and
+due when it has given k + 1; in each slot the released block that is due first runs. That
+meets every deadline, so after each slot each source is less than one block away from
+its share, by the weights as they are given.
+
+Blocks have BLOCK_ROWS rows, or as many more as keep the schedule below BLOCKS blocks and
+one per source; so the driver's part is bounded, and the rows look their slots up in it.
+Sources beyond the SOURCES largest share lanes, whose blocks are dealt among them by the
+same rule in Spark, a lane a task, and which the schedule treats as sources; one of these
+is less than one block away from its share of its lane, which is that far from its own.
 """
 
 from __future__ import annotations
@@ -18,78 +20,29 @@ from __future__ import annotations
 import heapq
 import math
 from bisect import bisect_right
-from typing import NamedTuple
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tripmill.llm import common
 
-# Rows per block, parts in all, and the most sources with a lane of their own.
+# Rows per block at least, and blocks in a schedule at most beside one per source.
 BLOCK_ROWS = 64
-PARTS = 1000
-LANES = 200
+BLOCKS = 200_000
+# Sources that the schedule knows apart, and lanes that the others share.
+SOURCES, LANES = 10_000, 1_000
 # How strongly the target weights follow the sizes of the sources (1: fully).
 EXPONENT = 0.7
 SEED = 20
-
-
-class Phase(NamedTuple):
-    """Rounds that look alike: the first one, its first slot, slots per round, and per
-    lane the slots of its blocks within the round."""
-
-    first_round: int
-    first_slot: int
-    slots: int
-    places: list[list[int]]
-
-
-def whole_parts(weights: list[float], total: int = PARTS) -> list[int]:
-    """Weights as whole parts of `total`, each at least 1, by largest remainders."""
-    scale = sum(weights)
-    if not scale:
-        return [1] * len(weights)
-    exact = [weight / scale * total for weight in weights]
-    parts = [max(1, int(value)) for value in exact]
-    rest = sorted(range(len(exact)), key=lambda i: (int(exact[i]) - exact[i], i))
-    for i in rest[: max(0, total - sum(parts))]:
-        parts[i] += 1
-    return parts
-
-
-def earliest_deadline_first(parts: list[int], blocks: list[int]) -> list[list[int]]:
-    """Slots of the blocks of each lane, in a round that has so many of each.
-
-    While all lanes have blocks, lane i gets parts[i] of every W slots; from where one
-    has had its last, the others share its slots. Block k of a lane spans a stretch of
-    that ideal; it is released where the stretch begins and due where it ends.
-    """
-
-    def ideal_end(lane: int, k: int) -> tuple[int, int]:
-        """When the ideal has given the lane k blocks, as a fraction."""
-        given = sum(min(p * k, n * parts[lane]) for p, n in zip(parts, blocks))
-        return given, parts[lane]
-
-    slots = sum(blocks)
-    places: list[list[int]] = [[] for _ in blocks]
-    waiting = [(0, lane) for lane, n in enumerate(blocks) if n]
-    ready: list[tuple[int, int]] = []
-    for slot in range(slots):
-        while waiting and waiting[0][0] <= slot:
-            lane = heapq.heappop(waiting)[1]
-            given, part = ideal_end(lane, len(places[lane]) + 1)
-            heapq.heappush(ready, (-(-given // part), lane))
-        lane = heapq.heappop(ready)[1]
-        places[lane].append(slot)
-        if len(places[lane]) < blocks[lane]:
-            given, part = ideal_end(lane, len(places[lane]))
-            heapq.heappush(waiting, (given // part, lane))
-    return places
+# Slots whose rows are counted together.
+SLOTS = 4_096
 
 
 def deal(weights: list[float], blocks: list[int]) -> list[list[int]]:
-    """Slots of the blocks of very many sources that share a lane: releases and deadlines
-    of `earliest_deadline_first` over the whole run, with weights as they are. Work grows
-    with the blocks and the logarithm of the sources."""
+    """The slots of each source's blocks, earliest deadline first among those released.
+    Work grows with the blocks and the logarithm of the sources."""
     lasts = sorted((n / w, n, w) for w, n in zip(weights, blocks))
     limits = [v for v, _, _ in lasts]
     done, live = [0], [math.fsum(weights)]
@@ -118,137 +71,142 @@ def deal(weights: list[float], blocks: list[int]) -> list[list[int]]:
     return places
 
 
-def phases(parts: list[int], blocks: list[int]) -> list[Phase]:
-    """The kinds of rounds in order, for lanes with so many blocks each."""
-    whole = [n // p for n, p in zip(blocks, parts)]
-    starts = sorted({0, *whole, *(n + 1 for n in whole)})
-    found = []
-    for start in starts:
-        before = [min(n, start * p) for n, p in zip(blocks, parts)]
-        in_round = [min(n - b, p) for n, b, p in zip(blocks, before, parts)]
-        if any(in_round):
-            found.append(Phase(start, sum(before), sum(in_round), earliest_deadline_first(parts, in_round)))
-    return found
-
-
-def slot_of(plan: list[Phase], part: int, lane: int, block: int) -> int:
-    round_, k = divmod(block, part)
-    phase = [each for each in plan if each.first_round <= round_][-1]
-    return phase.first_slot + (round_ - phase.first_round) * phase.slots + phase.places[lane][k]
-
-
-def _dealt(rows: DataFrame, shared: list[tuple[str | None, int]], target, block_rows: int) -> DataFrame:
-    """The rows of the shared lane, ordered by the turns of their sources' blocks: bucket,
-    shuffled and id stand for the turn and the place in the source."""
-    spark = rows.sparkSession
-    names = spark.createDataFrame([(name,) for name, _ in shared if name is not None], "turn_source string")
-    places = deal([target(name, n) for name, n in shared], [-(-n // block_rows) for _, n in shared])
-    turns = spark.createDataFrame(
-        [(name, k, turn) for (name, _), own in zip(shared, places) for k, turn in enumerate(own)],
-        "turn_name string, turn_k long, turn long",
-    )
-    ranked = common.running(
-        rows.join(names, F.col("source") == F.col("turn_source"), "left"),
-        ["turn_source"], ["bucket"], [F.col("shuffled"), F.col("id")], rank=F.lit(1),
-    ).withColumn("own_k", F.expr(f"rank div {block_rows}"))
-    same = F.col("turn_source").eqNullSafe(F.col("turn_name")) & (F.col("own_k") == F.col("turn_k"))
-    return ranked.join(turns, same).select(
-        "row", "source", F.col("rank").alias("id"), "lane", "parts", F.col("turn").alias("shuffled"),
-        F.expr(f"turn div {max(1, common.BUCKET_ROWS // block_rows)}").alias("bucket"),
-    )
-
-
-def place(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(row, source, parts, block, slot, position): each document as a struct, and where
-    it comes in the mix. position is gapless from 0 over all documents.
-
-    Without weights, a source's target is its size to the power EXPONENT. Sources beyond
-    the LANES largest keep their targets within a lane that they share. Those without a
-    given weight and null count as one source (with weight by its size, or weights[None]).
-    The driver holds all sources and the blocks of the shared lane. Weights of 0 or less are refused. Rows that repeat
-    are rows like any other; no rows give none.
+_DEALT = "source string, n long, lane int, k long, turn long"
+
+
+def _deal_lane(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The turns of the blocks of a lane's sources."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            members = sorted(row["members"], key=lambda each: each["source"] or "")
+            places = deal([each["weight"] for each in members], [each["blocks"] for each in members])
+            sizes = [len(own) for own in places]
+            which = np.repeat(np.arange(len(members)), sizes)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([each["source"] for each in members], pa.string()).take(pa.array(which)),
+                    pa.array([each["n"] for each in members], pa.int64()).take(pa.array(which)),
+                    pa.array(np.full(len(which), row["lane"], np.int32)),
+                    pa.array(np.concatenate([np.arange(size) for size in sizes])),
+                    pa.array(np.concatenate([np.array(own, np.int64) for own in places])),
+                ],
+                ["source", "n", "lane", "k", "turn"],
+            )
+
+
+def _schedule(spark, weights: list[float], blocks: list[int]) -> DataFrame:
+    """(owner, k, slot): BLOCKS rows and one per owner at most."""
+    places = deal(weights, blocks)
+    table = pa.table({
+        "owner": np.repeat(np.arange(len(blocks), dtype=np.int32), blocks),
+        "k": np.concatenate([np.arange(n, dtype=np.int64) for n in blocks]),
+        "slot": np.concatenate([np.array(own, np.int64) for own in places]),
+    })
+    return spark.createDataFrame(table)
+
+
+def place(docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int | None = None) -> DataFrame:
+    """(row, source, share, block, slot, position): each document as a struct, and where
+    it comes in the mix. position is gapless from 0 over all documents; share is its
+    source's part of all weights.
+
+    Without weights, a source's target is its size to the power EXPONENT. Those without a
+    given weight and null count as one source (with the smallest weight, or weights[None]).
+    Weights of 0 or less are refused. Rows that repeat are rows like any other; no rows
+    give none.
     """
     if weights is not None and any(weight <= 0 for weight in weights.values()):
         raise ValueError("target weights must be positive")
+    spark = docs.sparkSession
     rows = docs.select(
-        F.struct("*").alias("row"), F.col("source").cast("string").alias("source"), F.col("doc_id").cast("long").alias("id")
-    )
-    sizes = rows.groupBy("source").agg(F.count("*").alias("n"))
-    counted = [(row.source, row.n) for row in sizes.orderBy(F.desc("n"), "source").collect()]
-    named = [(name, n) for name, n in counted if name is not None and (weights is None or name in weights)]
-    total = sum(n for _, n in counted)
-    lanes, shared = named[:LANES], named[LANES:]
-    rest = total - sum(n for _, n in named)
-    if rest:
-        shared.append((None, rest))
+        F.struct("*").alias("row"), F.col("source").cast("string").alias("named"), F.col("doc_id").cast("long").alias("id")
+    ).withColumn("source", F.col("named"))
+    if weights is not None:
+        # As many rows as the caller's weights.
+        given = spark.createDataFrame([(name,) for name in weights if name is not None] or [("",)], "given string")
+        rows = rows.join(F.broadcast(given), F.col("named") == F.col("given"), "left").withColumn("source", F.col("given")).drop("given")
+    sizes = common.cut(rows.groupBy("source").agg(F.count("*").alias("n")))
+    total, sources = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    if block_rows is None:
+        block_rows = max(BLOCK_ROWS, -(-total // BLOCKS))
     smallest = min((weights or {}).values(), default=1.0)
-
-    def target(name: str | None, n: int) -> float:
-        return n**EXPONENT if weights is None else weights.get(name, smallest)
-
-    wanted = [target(name, n) for name, n in lanes]
-    if shared:
-        lanes.append((None, sum(n for _, n in shared)))
-        wanted.append(math.fsum(target(name, n) for name, n in shared))
-    parts = whole_parts(wanted)
-    plan = phases(parts, [-(-n // block_rows) for _, n in lanes])
-
-    spark = docs.sparkSession
-    lane_table = spark.createDataFrame(
-        [(lane, name, parts[lane]) for lane, (name, _) in enumerate(lanes) if name is not None],
-        "lane int, lane_source string, lane_parts int",
-    )
-    schedule = spark.createDataFrame(
-        [
-            (number, lane, k, slot)
-            for number, phase in enumerate(plan)
-            for lane, places in enumerate(phase.places)
-            for k, slot in enumerate(places)
-        ],
-        "phase int, lane int, k long, in_round long",
+    if weights is None:
+        weight = F.pow("n", F.lit(EXPONENT))
+    else:
+        weight = F.lit(float(weights.get(None, smallest)))
+        if any(name is not None for name in weights):
+            pairs = [F.lit(each) for name, value in weights.items() if name is not None for each in (name, float(value))]
+            weight = F.coalesce(F.create_map(*pairs)[F.col("source")], weight)
+    targets = sizes.withColumns({"weight": weight, "blocks": F.expr(f"(n + {block_rows - 1}) div {block_rows}")})
+    largest = targets.orderBy(F.desc("n"), "source").limit(SOURCES).collect()
+    known = spark.createDataFrame(
+        [(row.source, owner, row.n, row.weight) for owner, row in enumerate(largest)],
+        "known string, owner int, n long, weight double",
     )
-    last = len(lanes) - 1
-    rows = (
-        rows.join(F.broadcast(lane_table), F.col("source") == F.col("lane_source"), "left")
-        .withColumn("lane", F.coalesce("lane", F.lit(last)))
-        .withColumn("parts", F.coalesce("lane_parts", F.lit(parts[last] if parts else 1)))
-        .withColumn("shuffled", F.xxhash64(F.lit(SEED), "id"))
-        .withColumn("bucket", F.shiftright("shuffled", 64 - max(1, common.bucket_bits(total))))
-        .select("row", "source", "id", "lane", "parts", "shuffled", "bucket")
+    owners = [(row.weight, row.blocks) for row in largest]
+    lanes = {}
+    same = F.col("source").eqNullSafe(F.col("known"))
+    if sources > SOURCES:
+        others = common.cut(
+            targets.join(F.broadcast(known.select("known")), same, "left_anti")
+            .withColumn("lane", F.pmod(F.xxhash64("source"), F.lit(LANES)).cast("int"))
+        )
+        sums = others.groupBy("lane").agg(F.sum("weight").alias("weight"), F.sum("blocks").alias("blocks"))
+        for row in sums.orderBy("lane").collect():
+            lanes[row.lane] = len(owners)
+            owners.append((row.weight, row.blocks))
+    if not owners:
+        return rows.select(
+            "row", F.col("named").alias("source"), *(F.lit(None).cast(kind).alias(name) for name, kind in
+            (("share", "double"), ("block", "long"), ("slot", "long"), ("position", "long"))),
+        )
+    every = math.fsum(weight for weight, _ in owners)
+    schedule = _schedule(spark, [weight for weight, _ in owners], [blocks for _, blocks in owners])
+    blocks = schedule.join(F.broadcast(known), "owner").select(F.col("known").alias("source"), "owner", "n", "weight", "k", "slot")
+    if lanes:
+        dealt = (
+            others.groupBy("lane").agg(F.collect_list(F.struct("source", "n", "weight", "blocks")).alias("members"))
+            .mapInArrow(_deal_lane, _DEALT)
+        )
+        of_lane = spark.createDataFrame(list(lanes.items()), "lane int, owner int")
+        turns = schedule.withColumnRenamed("k", "turn").join(F.broadcast(of_lane), "owner")
+        own = others.select(F.col("source").alias("of"), F.col("weight"))
+        nested = dealt.join(turns, ["lane", "turn"]).join(own, F.col("source").eqNullSafe(F.col("of")))
+        blocks = blocks.unionByName(
+            nested.select("source", F.lit(None).cast("int").alias("owner"), "n", "weight", "k", "slot")
+        )
+    # Where each block's rows begin: the last block of a source may be short.
+    blocks = common.running(
+        blocks.withColumns({
+            "rows": F.least(F.lit(block_rows), F.col("n") - F.col("k") * block_rows),
+            "bucket": F.expr(f"slot div {SLOTS}"),
+        }),
+        [], ["bucket"], [F.col("slot")], begin=F.col("rows"),
     )
-    if len(shared) > 1:
-        own = rows.where(F.col("lane") != last)
-        rows = own.unionByName(_dealt(rows.where(F.col("lane") == last), shared, target, block_rows))
-    ranked = common.running(rows, ["lane"], ["bucket"], [F.col("shuffled"), F.col("id")], rank=F.lit(1))
-    starts = F.array(*(F.lit(phase.first_round).cast("long") for phase in plan or [Phase(0, 0, 0, [])]))
-    blocked = ranked.select(
-        "row", "source", "parts", "lane",
-        F.expr(f"rank div {block_rows}").alias("block"),
-        (F.col("rank") % block_rows).alias("in_block"),
-    ).withColumns({"round": F.expr("block div parts"), "k": F.col("block") % F.col("parts")})
-    blocked = blocked.withColumn(
-        "phase", (F.size(F.filter(starts, lambda start: start <= F.col("round"))) - 1).cast("int")
-    )
-    numbers = spark.createDataFrame(
-        [(i, phase.first_round, phase.first_slot, phase.slots) for i, phase in enumerate(plan)],
-        "phase int, first_round long, first_slot long, slots long",
+    blocks = common.cut(blocks.select("source", "owner", (F.col("weight") / every).alias("share"), "k", "slot", "begin"))
+
+    # Every row's place in its source, whose rows come in the order of a hash.
+    keyed = rows.join(F.broadcast(known.select("known", F.col("owner").alias("own"))), same, "left").drop("known")
+    keyed = keyed.withColumn("shuffled", F.xxhash64(F.lit(SEED), "id")).withColumn(
+        "bucket", F.shiftright("shuffled", 64 - max(1, common.bucket_bits(total)))
     )
-    slot = F.col("first_slot") + (F.col("round") - F.col("first_round")) * F.col("slots") + F.col("in_round")
-    placed = (
-        blocked.join(F.broadcast(schedule), ["phase", "lane", "k"])
-        .join(F.broadcast(numbers), "phase")
-        .withColumn("slot", slot)
+    ranked = common.running(keyed, ["own", "source"], ["bucket"], [F.col("shuffled"), F.col("id")], rank=F.lit(1)).select(
+        "row", "named", "source", "own", F.expr(f"rank div {block_rows}").alias("k"), (F.col("rank") % block_rows).alias("in_block")
     )
-    # A lane's last block may be short; every later position moves up by what it lacks.
-    position = F.col("slot") * block_rows + F.col("in_block")
-    for lane, (_, n) in enumerate(lanes):
-        if n % block_rows:
-            ends = slot_of(plan, parts[lane], lane, n // block_rows)
-            position -= F.when(F.col("slot") > ends, block_rows - n % block_rows).otherwise(0)
-    return placed.select("row", "source", "parts", "block", "slot", position.alias("position"))
-
-
-def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    found = ["row", F.col("named").alias("source"), "share", F.col("k").alias("block"), "slot", (F.col("begin") + F.col("in_block")).alias("position")]
+    mine = blocks.where("owner IS NOT NULL").select(F.col("owner").alias("own"), "share", "k", "slot", "begin")
+    # BLOCKS rows and one per source at most.
+    placed = ranked.join(F.broadcast(mine), ["own", "k"]).select(*found)
+    if lanes:
+        theirs = blocks.where("owner IS NULL").select(F.col("source").alias("of"), "share", F.col("k").alias("of_k"), "slot", "begin")
+        nested = ranked.where("own IS NULL").join(
+            theirs, F.col("source").eqNullSafe(F.col("of")) & (F.col("k") == F.col("of_k"))
+        )
+        placed = placed.unionByName(nested.select(*found))
+    return placed
+
+
+def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int | None = None) -> DataFrame:
     """The documents, all their columns and no other, in the order of the mix: the files
     written from it, read by name, are the mix from first to last."""
     return (
