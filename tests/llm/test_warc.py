@@ -1,6 +1,8 @@
 import hashlib
+import os
 import random
 
+import pyarrow as pa
 from hypothesis import given, settings, strategies as st
 
 from tripmill.llm import warc
@@ -44,11 +46,13 @@ def test_round_trip_in_chunks(spark, tmp_path):
     rows = odd_pages()
     for size in (37, 1 << 20):
         path = str(tmp_path / f"archive-{size}")
-        warc.write(pages_of(spark, rows), path, chunk_chars=size)
+        warc.write(pages_of(spark, rows), path, chunk_bytes=size)
         records = warc.read_records(spark, path).drop("chunks").collect()
         assert sorted(map(tuple, records), key=repr) == expected(rows)
         content = {}
-        for row in sorted(warc.read_chunks(spark, path).collect(), key=lambda row: row.chunk):
+        chunks = warc.read_chunks(spark, path).collect()
+        assert len({(row.record_id, row.chunk) for row in chunks}) == len(chunks)
+        for row in sorted(chunks, key=lambda row: row.chunk):
             content.setdefault(row.page_id, []).append(row.content)
         texts = {i: html for i, _, html in rows if i is not None}
         revisits = {i for i, _, _, kind, _ in expected(rows) if kind == "revisit"}
@@ -56,7 +60,7 @@ def test_round_trip_in_chunks(spark, tmp_path):
             if i != 13:
                 assert b"".join(content[i]) == (b"" if i in revisits else (html or "").encode())
         if size == 37:
-            assert max(len(each) for parts in content.values() for each in parts) <= 37 * 4
+            assert max(len(each) for parts in content.values() for each in parts) <= 37
 
 
 def test_operator_and_empty_table(spark):
@@ -66,6 +70,28 @@ def test_operator_and_empty_table(spark):
     assert warc.round_trip(pages_of(spark, rows).limit(0)).count() == 0
 
 
+@given(text=st.text(max_size=60), size=st.integers(4, 30))
+def test_segments_end_between_characters(text, size):
+    parts = [part.to_pybytes() for part in warc.segments(pa.py_buffer(text.encode()), size)]
+    assert "".join(part.decode() for part in parts) == text
+    assert all(len(part) <= size for part in parts) and len(parts) <= 1 + len(text.encode()) // (size - 3)
+
+
+def test_a_batch_moves_equal_payloads_once():
+    same = "payload that many pages have " * 10
+    batch = pa.table({"page_id": [5, None, 3, 3, 9, 8], "url": ["u"] * 6, "html": [same, same, same, same, "short", None]})
+    (lean,) = warc._lean(iter(batch.to_batches()))
+    kept = [(value or b"").decode() for value in lean.column("payload").to_pylist()]
+    assert kept == ["", "", same, same, "short", ""]
+    assert lean.column("payload").null_count == 2
+
+
+def test_archives_are_removed(spark):
+    folder = warc.common.shared_folder(spark).removeprefix("file:")
+    assert warc.round_trip(pages_of(spark, odd_pages())).count() == len(odd_pages())
+    assert not [name for name in os.listdir(folder) if name.startswith("warc-")]
+
+
 @settings(max_examples=100, deadline=None)
 @given(contents=st.lists(st.binary(max_size=40).map(lambda b: b.replace(b"\x00", b"\r\n")), max_size=5))
 def test_parser_counts_bytes(contents):
