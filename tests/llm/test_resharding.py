@@ -1,4 +1,6 @@
+import os
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -70,18 +72,72 @@ def test_rows_are_placed_near_their_capacity(documents):
     assert abs(moved - least) <= 8 * largest
 
 
-def test_only_affected_shards_are_written(documents, tmp_path):
-    rows = [(i, "x" * 9) for i in range(90)]
-    frame = documents(rows)
-    # Shards 0 and 1 trade, shard 2 is as it should be.
-    old = F.when(F.col("doc_id") < 50, 0).when(F.col("doc_id") < 60, 1).otherwise(2)
-    placed, flow = resharding.assign(resharding.sized(frame, old), 3)
-    path = str(tmp_path / "new")
-    assert resharding.rewrite(frame, placed, flow, 3, path) == [0, 1]
-    back = frame.sparkSession.read.parquet(path)
-    assert Counter(row.new_shard for row in back.select("new_shard").collect()) == {0: 30, 1: 30}
-    assert back.columns == [*frame.columns, "new_shard"]
-    assert {row.doc_id for row in back.collect()} == set(range(60))
+def layout(path):
+    return {name: sorted((f, os.stat(f"{path}/{name}/{f}").st_mtime_ns) for f in os.listdir(f"{path}/{name}"))
+            for name in os.listdir(path) if name.startswith("new_shard=")}
+
+
+def test_a_layout_is_brought_up_to_date_in_place(spark, documents, tmp_path):
+    rows = [(i, "x" * 9) for i in range(90)] + [(7, "x" * 9)] * 3 + [(None, "none")] * 4 + [(None, None)] * 2
+    path = str(tmp_path / "layout")
+    # Shard 0 is too large and 1 too small.
+    frame = spark.createDataFrame(
+        [(i, t, k, [0] * 55 + [1] * 12 + [2] * 32) for k, (i, t) in enumerate(rows)], "doc_id long, text string, n_chars long, s array<int>"
+    ).selectExpr("doc_id", "text", "n_chars", "s[CAST(n_chars AS INT)] AS new_shard")
+    frame.write.partitionBy("new_shard").parquet(path)
+    before = layout(path)
+    docs = spark.read.parquet(path)
+    placed, flow = resharding.assign(resharding.sized(docs, F.col("new_shard")), 3)
+    want = Counter((row.id, row.crc, row.shard) for row in placed.collect())
+    slots = Counter(row.shard for row in placed.collect())
+    which = resharding.rewrite(
+        docs.withColumnRenamed("new_shard", "old"), F.col("old"), placed, flow, 3, path
+    )
+    after = layout(path)
+    assert set(after) == {"new_shard=0", "new_shard=1", "new_shard=2"} and set(which) <= {0, 1, 2}
+    for shard in {0, 1, 2} - set(which):
+        assert after[f"new_shard={shard}"] == before[f"new_shard={shard}"]
+    back = spark.read.parquet(path).collect()
+    assert Counter((row.doc_id, zlib.crc32((row.text or "").encode()), row.new_shard) for row in back) == want
+    assert sorted(row.n_chars for row in back) == list(range(len(rows)))
+    assert Counter(row.new_shard for row in back) == slots
+
+
+def test_an_unaffected_shard_keeps_its_files(spark, documents, tmp_path):
+    path = str(tmp_path / "layout")
+    rows = [(i, "x" * 9, 0 if i < 50 else 1 if i < 60 else 2) for i in range(90)]
+    spark.createDataFrame(rows, "doc_id long, text string, new_shard int").write.partitionBy("new_shard").parquet(path)
+    before = layout(path)
+    docs = spark.read.parquet(path).withColumnRenamed("new_shard", "old")
+    placed, flow = resharding.assign(resharding.sized(docs, F.col("old")), 3)
+    assert resharding.rewrite(docs, F.col("old"), placed, flow, 3, path) == [0, 1]
+    after = layout(path)
+    assert after["new_shard=2"] == before["new_shard=2"]
+    assert all(not set(after[name]) & set(before[name]) for name in ("new_shard=0", "new_shard=1"))
+    back = spark.read.parquet(path)
+    assert Counter(row.new_shard for row in back.collect()) == {0: 30, 1: 30, 2: 30}
+    assert sorted(row.doc_id for row in back.collect()) == list(range(90))
+
+
+def test_fewer_shards_leave_none_behind(spark, tmp_path):
+    path = str(tmp_path / "layout")
+    rows = [(i, "x" * 9, i % 4) for i in range(80)]
+    spark.createDataFrame(rows, "doc_id long, text string, new_shard int").write.partitionBy("new_shard").parquet(path)
+    docs = spark.read.parquet(path).withColumnRenamed("new_shard", "old")
+    placed, flow = resharding.assign(resharding.sized(docs, F.col("old")), 2)
+    assert resharding.rewrite(docs, F.col("old"), placed, flow, 2, path) == [0, 1]
+    back = spark.read.parquet(path).collect()
+    assert sorted(row.doc_id for row in back) == list(range(80)) and {row.new_shard for row in back} == {0, 1}
+
+
+def test_a_thousand_shards_to_a_thousand_are_quick():
+    rng = random.Random(1)
+    sizes = [rng.randint(0, 10**9) for _ in range(1000)]
+    room = resharding.capacities(sum(sizes), 1000)
+    start = time.perf_counter()
+    flow = resharding.least_moves(sizes, room)
+    assert time.perf_counter() - start < 120
+    assert sum(flow[i][i] for i in range(1000)) == sum(min(a, b) for a, b in zip(sizes, room))
 
 
 def test_odd_rows(documents, odd_rows):

@@ -29,80 +29,112 @@ def capacities(total: int, shards: int) -> list[int]:
     return [total // shards + (i < total % shards) for i in range(shards)]
 
 
-def least_moves(sizes: list[int], room: list[int], cost=lambda old, new: int(old != new)) -> list[list[int]]:
-    """flow[old][new] in bytes, at least total cost: successive shortest paths with
-    potentials. Sizes and room must sum to the same."""
-    if sum(sizes) != sum(room):
-        raise ValueError("the new shards must hold exactly what the old ones have")
-    n, m = len(sizes), len(room)
-    source, sink = n + m, n + m + 1
-    # Edges: [to, capacity, cost, place of the reverse edge].
-    graph: list[list[list[int]]] = [[] for _ in range(n + m + 2)]
-
-    def edge(a: int, b: int, capacity: int, price: int) -> None:
-        graph[a].append([b, capacity, price, len(graph[b])])
-        graph[b].append([a, 0, -price, len(graph[a]) - 1])
-
-    for i, size in enumerate(sizes):
-        edge(source, i, size, 0)
-        for j in range(m):
-            edge(i, n + j, size, cost(i, j))
-    for j, size in enumerate(room):
-        edge(n + j, sink, size, 0)
-    potential = [0] * len(graph)
-    left = sum(sizes)
-    while left:
-        distance: list[float] = [float("inf")] * len(graph)
+def _cheapest(nodes: int, edges: list[tuple[int, int, int, int]], source: int, sink: int, amount: int) -> list[int]:
+    """The flow on each edge (from, to, capacity, cost) that brings the amount from source
+    to sink at least total cost: successive shortest paths with potentials."""
+    graph: list[list[int]] = [[] for _ in range(nodes)]
+    to, left, price = [], [], []
+    for a, b, capacity, cost in edges:
+        for at, other, room, paid in ((a, b, capacity, cost), (b, a, 0, -cost)):
+            graph[at].append(len(to))
+            to.append(other)
+            left.append(room)
+            price.append(paid)
+    potential = [0] * nodes
+    while amount:
+        distance: list[float] = [float("inf")] * nodes
         distance[source] = 0
-        came: list[tuple[int, int]] = [(-1, -1)] * len(graph)
+        came = [-1] * nodes
         queue = [(0, source)]
         while queue:
             far, at = heapq.heappop(queue)
             if far > distance[at]:
                 continue
-            for place, (to, capacity, price, _) in enumerate(graph[at]):
-                longer = far + price + potential[at] - potential[to]
-                if capacity and longer < distance[to]:
-                    distance[to], came[to] = longer, (at, place)
-                    heapq.heappush(queue, (longer, to))
+            for edge in graph[at]:
+                longer = far + price[edge] + potential[at] - potential[to[edge]]
+                if left[edge] and longer < distance[to[edge]]:
+                    distance[to[edge]], came[to[edge]] = longer, edge
+                    heapq.heappush(queue, (longer, to[edge]))
         for at, far in enumerate(distance):
             if far < float("inf"):
                 potential[at] += far
-        amount, at = left, sink
+        taken, at = [], sink
         while at != source:
-            before, place = came[at]
-            amount, at = min(amount, graph[before][place][1]), before
-        left, at = left - amount, sink
-        while at != source:
-            before, place = came[at]
-            graph[before][place][1] -= amount
-            graph[at][graph[before][place][3]][1] += amount
-            at = before
-    flow = [[0] * m for _ in range(n)]
-    for i in range(n):
-        for to, _, _, back in graph[i]:
-            if n <= to < n + m:
-                flow[i][to - n] = graph[to][back][1]
+            taken.append(came[at])
+            at = to[came[at] ^ 1]
+        moved = min(amount, *(left[edge] for edge in taken))
+        for edge in taken:
+            left[edge] -= moved
+            left[edge ^ 1] += moved
+        amount -= moved
+    return left[1::2]
+
+
+def least_moves(sizes: list[int], room: list[int], cost=None) -> list[list[int]]:
+    """flow[old][new] in bytes, at least total cost. Sizes and room must sum to the same.
+
+    Without prices a byte that stays costs nothing and one that moves costs 1; then all
+    that moves passes one node, so the network has an edge per shard and not per pair."""
+    if sum(sizes) != sum(room):
+        raise ValueError("the new shards must hold exactly what the old ones have")
+    n, m = len(sizes), len(room)
+    source, sink, moving = n + m, n + m + 1, n + m + 2
+    edges = [(source, i, size, 0) for i, size in enumerate(sizes)]
+    edges += [(n + j, sink, size, 0) for j, size in enumerate(room)]
+    if cost:
+        pairs = [(i, j) for i in range(n) for j in range(m)]
+        edges += [(i, n + j, sizes[i], cost(i, j)) for i, j in pairs]
+    else:
+        pairs = [(i, i) for i in range(min(n, m))]
+        edges += [(i, n + i, sizes[i], 0) for i, _ in pairs]
+        edges += [(i, moving, size, 1) for i, size in enumerate(sizes)]
+        edges += [(moving, n + j, size, 0) for j, size in enumerate(room)]
+    found = _cheapest(n + m + 3, edges, source, sink, sum(sizes))[n + m :]
+    flow = [[0] * m for _ in sizes]
+    for (i, j), amount in zip(pairs, found):
+        flow[i][j] = amount
+    if not cost:
+        # What leaves the old shards goes to the new ones in their order.
+        out, into = found[len(pairs) : len(pairs) + n], found[len(pairs) + n :]
+        i = j = 0
+        while i < n and j < m:
+            amount = min(out[i], into[j])
+            flow[i][j] += amount
+            out[i] -= amount
+            into[j] -= amount
+            if not out[i]:
+                i += 1
+            else:
+                j += 1
     return flow
 
 
 def sized(docs: DataFrame, old_shard: Column) -> DataFrame:
-    """(id, size, crc, old): a row's size is its text's UTF-8 bytes and one more."""
+    """(id, size, crc, key, old): a row's size is its text's UTF-8 bytes and one more. Rows
+    with the same key have the same id, text and old shard; an old shard of null is 0."""
     content = F.coalesce("text", F.lit("")).cast("binary")
+    old = F.coalesce(old_shard.cast("int"), F.lit(0))
     return docs.select(
         F.col("doc_id").cast("long").alias("id"),
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(content).alias("crc"),
-        old_shard.cast("int").alias("old"),
+        _key(old).alias("key"),
+        old.alias("old"),
     )
 
 
+def _key(old: Column) -> Column:
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    parts = (F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("-")), digest, old.cast("string"))
+    return F.concat_ws("/", *parts)
+
+
 def assign(rows: DataFrame, shards: int) -> tuple[DataFrame, list[list[int]]]:
-    """Rows (id, size, crc, old) with their new `shard` and `slot`, and the flow.
+    """Rows (id, size, crc, key, old) with their new `shard` and `slot`, and the flow.
 
-    `old` is 0 or more; it may have gaps, null counts as shard 0. Rows that repeat are
-    rows like any other. No rows leave every shard empty."""
-    rows = rows.withColumn("old", F.coalesce("old", F.lit(0)))
+    `old` is 0 or more and may have gaps. The law is `bytes`: a group of equal texts is
+    dealt out like other rows, as many shards must share a group that has a third of all
+    bytes; rows that repeat are rows like any other. No rows leave every shard empty."""
     sums = {row.old: row.size for row in rows.groupBy("old").agg(F.sum("size").alias("size")).limit(SHARDS + 1).collect()}
     old = max(sums, default=0) + 1
     if old + shards > SHARDS:
@@ -140,7 +172,7 @@ def assign(rows: DataFrame, shards: int) -> tuple[DataFrame, list[list[int]]]:
     placed = common.cut(
         ran.join(F.broadcast(table), "old")
         .withColumn("shard", F.element_at("news", F.least(place, F.size("ends") - 1) + 1))
-        .select("id", "size", "crc", "old", "shard", "rank")
+        .select("id", "size", "crc", "key", "old", "shard", "rank")
     )
     # A stretch has rows of consecutive ranks; its slots follow those of lower old shards.
     counted = placed.groupBy("shard", "old").agg(F.count("*").alias("n"), F.min("rank").alias("first")).collect()
@@ -153,7 +185,7 @@ def assign(rows: DataFrame, shards: int) -> tuple[DataFrame, list[list[int]]]:
     shift = spark.createDataFrame(slots, "old int, shard int, shift long")
     return (
         placed.join(F.broadcast(shift), ["old", "shard"])
-        .select("id", "size", "crc", "old", "shard", (F.col("rank") + F.col("shift")).alias("slot")),
+        .select("id", "size", "crc", "key", "old", "shard", (F.col("rank") + F.col("shift")).alias("slot")),
         flow,
     )
 
@@ -169,24 +201,40 @@ def affected(flow: list[list[int]], shards: int) -> list[int]:
     ]
 
 
-def rewrite(docs: DataFrame, placed: DataFrame, flow: list[list[int]], shards: int, path: str, files_per_shard: int = 8) -> list[int]:
-    """Writes the affected shards of whole rows as path/new_shard=<n>, rows in slot order
-    over several files, and tells which. Rows are matched by doc_id and text."""
+def rewrite(
+    docs: DataFrame, old_shard: Column, placed: DataFrame, flow: list[list[int]], shards: int, path: str, files_per_shard: int = 8
+) -> list[int]:
+    """Brings the layout path/new_shard=<n> up to date and tells which shards it wrote: only
+    affected ones, rows in slot order over several files. The others stay as they are, file
+    by file. docs may be read from that layout: new files replace a shard's old ones when all
+    are written; shards left without rows are removed after that.
+
+    Every row goes where its own place is: rows are matched by id, full digest of the text
+    and old shard, those that repeat all that by their rank, so repeats and rows without id
+    keep a place each."""
     which = affected(flow, shards)
-    content = F.coalesce("text", F.lit("")).cast("binary")
-    rows = docs.select(
-        F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"),
-        F.crc32(content).alias("crc"),
-    )
-    wanted = placed.where(F.col("shard").isin(which)).select(
-        F.col("id").alias("placed_id"), F.col("crc").alias("placed_crc"), F.col("shard").alias("new_shard"), "slot"
-    ).dropDuplicates(["placed_id", "placed_crc"])
-    same = F.col("id").eqNullSafe(F.col("placed_id")) & (F.col("crc") == F.col("placed_crc"))
+    gone = [i for i in range(len(flow)) if i >= shards and any(flow[i])]
+    gone += [j for j in which if not any(moved[j] for moved in flow)]
+    old = F.coalesce(old_shard.cast("int"), F.lit(0))
+    touched = sorted({*which, *gone})
+    rows = docs.where(old.isin(touched)).select(F.struct("*").alias("row"), _key(old).alias("key"))
+    wanted = placed.where(F.col("shard").isin(which)).select("key", F.col("shard").alias("new_shard"), "slot")
+    repeats = common.cut(wanted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    once = rows.join(repeats, "key", "left_anti").join(wanted.join(repeats, "key", "left_anti"), "key")
+    several = [
+        common.ranked(side.join(repeats, "key", "left_semi"), ["key"], order).drop("total")
+        for side, order in ((rows, []), (wanted, [F.col("new_shard"), F.col("slot")]))
+    ]
     (
-        rows.join(wanted, same)
+        once.unionByName(several[0].join(several[1], ["key", "rank"]).drop("rank"))
         .repartitionByRange(max(1, len(which)) * files_per_shard, "new_shard", "slot")
         .sortWithinPartitions("new_shard", "slot")
         .select("row.*", "new_shard")
-        .write.partitionBy("new_shard").mode("overwrite").parquet(path)
+        .write.partitionBy("new_shard")
+        .option("partitionOverwriteMode", "dynamic")
+        .mode("overwrite")
+        .parquet(path)
     )
+    for shard in gone:
+        common.remove_folder(docs.sparkSession, f"{path.rstrip('/')}/new_shard={shard}")
     return which
