@@ -93,3 +93,24 @@ def test_nothing_to_learn_from(documents):
     model = language.fit(documents(rows), pieces.load(catalog.PIECES))
     assert {row.lang_pred for row in language.predict(documents(rows), model).collect()} == {"und"}
     assert language.predict(documents([]), model).count() == 0
+
+
+def test_languages_are_learned_in_groups_without_a_difference(documents, monkeypatch):
+    letters = ("abcde", "defgh", "ghijk", "klmno", "nopqr")
+    rows = [(i, " ".join(words(12, i, letters[i % 5])), f"l{i % 5}") for i in range(100, 200)]
+    vocabulary = pieces.load(catalog.PIECES)
+    whole = language.fit(documents(rows), vocabulary)
+    monkeypatch.setattr(language, "GROUP", 2)
+    parted = language.fit(documents(rows), vocabulary)
+    assert parted.languages == whole.languages == [f"l{k}" for k in range(5)]
+    assert np.allclose(parted.probabilities, whole.probabilities, rtol=1e-9)
+    texts = [text for _, text, _ in rows[:20]] + [None, "1"]
+    names, scores = language.Scorer(whole).score(texts)
+    assert language.Scorer(parted).score(texts)[0] == names == [f"l{i % 5}" for i in range(100, 120)] + ["und"] * 2
+
+
+def test_more_languages_than_a_model_holds_are_refused(documents, monkeypatch):
+    monkeypatch.setattr(language, "LANGUAGES", 3)
+    rows = [(i, "some text", f"l{i % 4}") for i in range(100, 140)]
+    with pytest.raises(ValueError, match="languages"):
+        language.fit(documents(rows), pieces.load(catalog.PIECES))

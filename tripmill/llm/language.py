@@ -27,9 +27,10 @@ from tripmill.llm.pieces import HELD, TOGETHER, Vocabulary, Walker
 
 LETTERS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
-#: Documents per language that are learned from, about, and languages at most.
+#: Documents per language that are learned from, about; languages that are learned and
+#: scored together, and those that a model can hold: more are an error.
 SAMPLE = 2_000
-LANGUAGES = 200
+GROUP, LANGUAGES = 100, 500
 ROUNDS = 4
 #: The share of every probability that is dealt evenly, so that no piece has none.
 SMOOTHING = 0.01
@@ -136,12 +137,16 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, vocabulary: Vocabulary, sample: int = SAMPLE) -> Model:
     """Learns from documents that are not held out and have a language, about `sample`
     per language, chosen by a hash of their ids (all of a language that has fewer). With
-    no such document there is no language and every text is undetermined."""
+    no such document there is no language and every text is undetermined. Every language
+    is learned; more than LANGUAGES are refused, as the driver and each task hold the
+    probabilities of all."""
     usable = docs.select(F.col("doc_id").cast("long"), "text", F.col("lang").cast("string")).where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & ~common.held_out(F.col("doc_id"))
     )
-    sizes = usable.groupBy("lang").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "lang").limit(LANGUAGES).collect()
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("size")).limit(LANGUAGES + 1).collect()
     languages = sorted(row.lang for row in sizes)
+    if len(languages) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages: fit several models")
     if not languages:
         return Model([], np.ones((len(vocabulary.pieces) + 1, 0)), vocabulary)
     spark = docs.sparkSession
@@ -155,6 +160,15 @@ def fit(docs: DataFrame, vocabulary: Vocabulary, sample: int = SAMPLE) -> Model:
         .groupBy("lang", "word")
         .agg(F.sum("n").alias("n"))
     )
+    # Languages are independent of each other; a group of them goes through the rounds.
+    groups_ = [languages[first : first + GROUP] for first in range(0, len(languages), GROUP)]
+    parts = [_learn(counted.where(F.col("lang").isin(some)), some, vocabulary) for some in groups_]
+    return Model(languages, np.concatenate(parts, axis=1), vocabulary)
+
+
+def _learn(counted: DataFrame, languages: list[str], vocabulary: Vocabulary) -> np.ndarray:
+    """The pieces' probabilities per language, from (lang, word, n)."""
+    spark = counted.sparkSession
     number = {lang: i for i, lang in enumerate(languages)}
     probabilities = np.full((len(vocabulary.pieces) + 1, len(languages)), 1 / len(vocabulary.pieces))
     for _ in range(ROUNDS):
@@ -181,29 +195,38 @@ def fit(docs: DataFrame, vocabulary: Vocabulary, sample: int = SAMPLE) -> Model:
         known = np.maximum(uses.sum(axis=0), 1e-9)
         probabilities = (1 - SMOOTHING) * uses / known + SMOOTHING / len(uses)
         shared.unpersist()
-    return Model(languages, probabilities, vocabulary)
+    return probabilities
 
 
 class Scorer:
-    """Scores texts; the log-likelihoods of up to HELD words are held."""
+    """Scores texts; the log-likelihoods of up to HELD words are held, of fewer if there are
+    many languages."""
 
     def __init__(self, model: Model):
         self.model = model
         self.walker = Walker(model.vocabulary.trie)
         self.index: dict[str, int] = {}
         self.logs = np.zeros((0, len(model.languages)))
+        self.held = HELD * GROUP // max(GROUP, len(model.languages))
+
+    def _logs(self, some: list[str]) -> np.ndarray:
+        of_groups = [
+            log_likelihoods(self.walker, self.model.probabilities[:, first : first + GROUP], some)
+            for first in range(0, len(self.model.languages), GROUP)
+        ]
+        return np.concatenate(of_groups, axis=1) if of_groups else np.zeros((len(some), 0))
 
     def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """The language and its probability among the learned ones, per text."""
         counters = [Counter(words(text)) for text in texts]
         flat = [word for counter in counters for word in counter]
         new = list(dict.fromkeys(word for word in flat if word not in self.index))
-        if len(self.index) + len(new) > HELD:
+        if len(self.index) + len(new) > self.held:
             self.index, self.logs = {}, self.logs[:0]
             new = list(dict.fromkeys(flat))
         if new:
             known = len(self.index)
-            self.logs = np.concatenate([self.logs, log_likelihoods(self.walker, self.model.probabilities, new)])
+            self.logs = np.concatenate([self.logs, self._logs(new)])
             self.index.update((word, known + i) for i, word in enumerate(new))
         counts = np.fromiter((n for counter in counters for n in counter.values()), np.int64, len(flat))
         text_of = np.repeat(np.arange(len(texts)), [len(counter) for counter in counters])
