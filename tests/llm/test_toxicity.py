@@ -1,4 +1,7 @@
+import math
+import random
 import zlib
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -120,14 +123,88 @@ def test_a_capped_class_moves_no_scores(spark, documents, monkeypatch):
     assert capped[2] < 0.3 < whole[2]
 
 
-def test_strong_terms_stand_before_rare_ones(spark, monkeypatch):
+def test_strong_terms_stand_before_rare_ones(spark):
     """Many words of a few toxic texts only, and one of most toxic and some other texts."""
-    monkeypatch.setattr(toxicity, "TERMS", 2)
     rare = [" ".join(f"{chr(97 + j)}{chr(97 + k)}x" for j in range(5) for k in range(8)) + f" {i}" for i in range(6)]
     toxic = [(text, 1) for text in rare] + [(f"vile {i}", 1) for i in range(60)]
     other = [(f"vile {i}" if i < 8 else f"calm {i}", 0) for i in range(100)]
     chosen = toxicity.choose_terms(spark.createDataFrame(toxic + other, "text string, toxic int"))
-    assert chosen[0] == "vile"
+    assert chosen[0] == "vile" and "aax" not in chosen
+
+
+def brute_force(rows, labels):
+    """(doc_id, score) by all cosines of every document with every example."""
+    toxic = {i: y for i, _, y in labels if learnable(i)}
+    count = {i: toxicity.words(text) for i, text in rows}
+    every = {}
+    for i, of_text in count.items():
+        every[i] = Counter()
+        for word, n in of_text.items():
+            every[i].update({term: n for term in toxicity.terms(word)})
+        every[i] |= {term + "+": 1 for term, n in every[i].items() if n > 1}
+    distinct = {(text, toxic[i]): i for i, text in rows if i in toxic}
+    seen = (Counter(), Counter())
+    for (_, y), i in distinct.items():
+        seen[y].update(every[i].keys())
+    n_other, n_toxic = (sum(y == label for _, y in distinct) for label in (0, 1))
+
+    def g(a, b):
+        share = n_toxic / (n_toxic + n_other)
+        return 2 * sum(x * math.log(x / ((a + b) * part)) for x, part in ((a, share), (b, 1 - share)) if x)
+
+    strength = {
+        term: g(a, seen[0][term]) for term, a in seen[1].items()
+        if a >= 3 and (a / n_toxic) / ((seen[0][term] + 0.5) / n_other) >= 3 and g(a, seen[0][term]) >= 15
+    }
+    best = sorted(strength, key=lambda term: (-strength[term], term))
+    chosen = list(dict.fromkeys(best + [term.removesuffix("+") for term in best]))
+    vectors = {i: {t: every[i][t] for t in chosen if t in every[i]} for i in every}
+    df = Counter(t for vector in vectors.values() for t in vector)
+    idf = {t: math.log((len(rows) + 1) / (df[t] + 1)) + 1 for t in chosen}
+    weighed = {i: unit({t: (1 + math.log(n)) * idf[t] for t, n in v.items()}) if v else {} for i, v in vectors.items()}
+
+    def heaviest(i):
+        return sorted((chosen.index(t) for t in weighed[i]), key=lambda t: (-weighed[i][chosen[t]], t))[:3]
+
+    examples = sorted((i for i in toxic if weighed[i]), key=lambda i: (heaviest(i), i))
+    prior = (sum(toxic.values()) + 0.5) / (len(toxic) + 1)
+
+    def share(i, without=None):
+        near = []
+        for place, j in enumerate(examples):
+            cosine = round(sum(w * weighed[j].get(t, 0) for t, w in weighed[i].items()), 9)
+            if cosine > 0 and j != without:
+                near.append((-cosine, place, toxic[j]))
+        near = sorted(near)[: toxicity.NEIGHBOURS]
+        if not near and without is None:
+            return None
+        voted, total = (sum(-c * w for c, _, y in near for w in [y if k else 1]) for k in (1, 0))
+        return (voted + toxicity.PRIOR_VOTE * prior) / (total + toxicity.PRIOR_VOTE)
+
+    shares = [share(i, without=i) for i in examples] + [None for i in toxic if not weighed[i]]
+    truth = [toxic[i] for i in examples] + [toxic[i] for i in toxic if not weighed[i]]
+    rates = toxicity.calibrate(shares, truth, [1.0] * len(truth), prior)
+    model = toxicity.Model(None, None, prior, rates)
+    return {i: model.score(share(i)) for i in every}
+
+
+def test_scores_equal_brute_force(spark, documents):
+    rng = random.Random(11)
+    rows, labels = [], []
+    nasty = ["vileness", "horridly", "nastyword", "wretchedest", "scummy"]
+    for i in range(260):
+        text = words(rng.randint(5, 40), i)
+        toxic = int(rng.random() < 0.3)
+        for _ in range(rng.randint(1, 3) if rng.random() < (0.75 if toxic else 0.1) else 0):
+            text.insert(rng.randrange(len(text)), rng.choice(nasty) + rng.choice(("", "", "s", "like")))
+        rows.append((i, " ".join(text)))
+        if rng.random() < 0.8:
+            labels.append((i, 1, toxic))
+    found = toxicity.detect(documents(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    wanted = brute_force(rows, labels)
+    assert len({row.score for row in found}) >= 3
+    for row in found:
+        assert row.score == pytest.approx(wanted[row.doc_id], abs=1e-6), row
 
 
 def test_odd_rows_and_missing_labels(spark, documents, odd_rows):

@@ -1,9 +1,10 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Terms are words and their beginnings, and the same once more where a text has them
-twice. From a bounded sample of labelled documents those
-are chosen that toxic ones have far more often than others; how many documents have each
-is counted over the whole corpus. Every document becomes a TF-IDF vector over the terms.
+twice. Of a bounded sample of labelled documents all those are taken that toxic ones have
+surely and far more often than others (over all words, the nearest texts are those on
+the same matter, toxic or not); how many documents have each is counted over the whole
+corpus. Every document becomes a TF-IDF vector over the terms.
 
 The labelled vectors lie in an inverted index in blocks of examples. For each term a block
 knows its largest weight, so the sum over a query's terms bounds every cosine of a block.
@@ -31,9 +32,8 @@ from tripmill.llm.pieces import HELD
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 BEGINNINGS = (4, 5, 6, 7, 8)
 AGAIN = "+"
-#: Labelled documents that are learned from at most, and terms chosen at most (each
-#: once more where only its double was chosen).
-TOXIC_EXAMPLES, OTHER_EXAMPLES, TERMS = 4_000, 8_000, 4_096
+#: Labelled documents that are learned from at most.
+TOXIC_EXAMPLES, OTHER_EXAMPLES = 4_000, 8_000
 #: A term is chosen from so many toxic examples, such a lift and such a G-statistic on.
 LEAST_EXAMPLES, LEAST_LIFT, LEAST_G = 3, 3.0, 15.0
 NEIGHBOURS = 15
@@ -220,8 +220,9 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def choose_terms(examples: DataFrame) -> list[str]:
-    """The terms of labelled texts (text, toxic) that tell most, TERMS at most. A text
-    that repeats counts once under each label."""
+    """The terms of labelled texts (text, toxic) that tell toxic ones, those that tell most
+    first; the texts are a bounded sample, so the terms are no more than it has. A text that
+    repeats counts once under each label."""
     examples = common.cut(examples.select("text", "toxic").distinct())
     sizes = {row.toxic: row["count"] for row in examples.groupBy("toxic").count().collect()}
     n_toxic, n_other = sizes.get(1, 0), sizes.get(0, 0)
@@ -236,7 +237,6 @@ def choose_terms(examples: DataFrame) -> list[str]:
         .withColumn("g", _g_statistic(F.col("toxic"), F.col("other"), n_toxic, n_other))
         .where((F.col("lift") >= LEAST_LIFT) & (F.col("g") >= LEAST_G))
         .orderBy(F.desc("g"), "term")
-        .limit(TERMS)
     )
     best = [row.term for row in counted.collect()]
     # A doubled term is found by its single one.
