@@ -1,5 +1,7 @@
 """Each stage on its own input, against a plain version."""
 
+import os
+
 import pytest
 
 import corpus_pipeline
@@ -7,7 +9,7 @@ from test_exact_dedup import expected as exact_groups
 from test_near_dedup import expected as near_groups
 from test_quality import expected as base_counts
 from tripmill.llm import mixing, quality
-from tripmill.llm.common import cut, table
+from tripmill.llm.common import cut, shared_folder, table
 
 SF = "/root/testdata/sf0.001"
 
@@ -82,3 +84,10 @@ def test_empty_documents(spark):
         assert after.count() == 0
         if name != "sentencepiece":
             assert after.columns == docs.columns
+
+
+def test_run_gives_the_last_stage_and_leaves_no_files(spark, stages):
+    result = corpus_pipeline.run(spark, SF)
+    assert sorted(row.doc_id for row in result.collect()) == sorted(row.doc_id for row in stages[5][1].collect())
+    folder = shared_folder(spark).removeprefix("file:")
+    assert not [name for name in os.listdir(folder) if name.startswith("pipeline-")]
