@@ -388,7 +388,7 @@ def _meeting(rows: DataFrame, facts: DataFrame, key: str, n: str, total: int) ->
     rows have that key. Keys with more than one of SHARE rows, fewer than SHARE of them, are
     broadcast, so the rows of a hot key stay where they are; no other key has more."""
     often = F.col(n) * SHARE > total
-    hot = common.cut(facts.where(often).coalesce(1))
+    hot = common.cut(facts.where(often).repartition(1))
     others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(facts.where(~often), key)
     return rows.join(F.broadcast(hot), key).unionByName(others)
 
