@@ -110,15 +110,24 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 def drop_exact(docs: DataFrame) -> DataFrame:
     """The documents that stay, whole rows. Rows that repeat both id and text count
-    once, with any one of their other columns' values."""
-    kept = exact_groups(docs).where("kept").select(
-        F.col("doc_id").alias("__kept_id"), F.col("text_sha256").alias("__kept_digest")
+    once, with any one of their other columns' values.
+
+    Rows are told by id and digest. Only those keys meet the texts whose rows go or
+    repeat, which are few beside all rows."""
+    keys = exact_groups(docs).groupBy("doc_id", "text_sha256").agg(
+        F.count("*").alias("n"), F.bool_or("kept").alias("__stays")
+    )
+    odd = common.cut(
+        keys.where("n > 1 OR NOT __stays").select(
+            F.col("doc_id").alias("__odd_id"), F.col("text_sha256").alias("__odd_digest"), "__stays"
+        )
     )
     digest = F.sha2(common.ascii_lower(F.coalesce("text", F.lit(""))), 256)
     keyed = docs.withColumn("__digest", digest)
-    same = F.col("doc_id").eqNullSafe(F.col("__kept_id")) & (F.col("__digest") == F.col("__kept_digest"))
-    return (
-        keyed.join(kept, same, "left_semi")
-        .dropDuplicates(["doc_id", "__digest"])
-        .drop("__digest")
-    )
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__odd_id")) & (F.col("__digest") == F.col("__odd_digest"))
+    stays = keyed.join(odd, same, "left_anti")
+    repeated = odd.where("__stays")
+    if not repeated.isEmpty():
+        once = keyed.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "__digest"])
+        stays = stays.unionByName(once)
+    return stays.drop("__digest")
