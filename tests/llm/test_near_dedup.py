@@ -130,3 +130,22 @@ def test_components(spark):
     got_roots = {row.id: row.root for row in near_dedup.components(frame).collect()}
     assert got_roots == {i: find(i) for i in root if find(i) != i}
     assert near_dedup.components(frame.limit(0)).count() == 0
+
+
+def test_hot_keys_meet_like_others(spark):
+    rows = spark.range(6000).selectExpr("if(id % 3 = 0, 7L, id % 1500) AS shingle", "id")
+    facts = rows.groupBy("shingle").count().withColumnRenamed("count", "n")
+    got = near_dedup._meeting(rows, facts.where("shingle <> 8"), "shingle", "n", 6000)
+    want = rows.join(facts.where("shingle <> 8"), "shingle")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(got.columns).collect()))
+
+
+def test_rows_of_an_id_stay_or_go_alike(documents):
+    """Rows that share an id are one document, which links what is like either."""
+    one, two = words(60, 1), words(60, 2)
+    rows = [
+        (3, " ".join(two)), (5, " ".join(one)), (5, " ".join(two[:-1] + ["other"])), (6, " ".join(one + ["more"])),
+        (7, " ".join(two + ["more"])), (None, " ".join(two)),
+    ]
+    left = near_dedup.drop_near(documents(rows)).collect()
+    assert sorted((row.doc_id or -1, row.text) for row in left) == sorted((i or -1, text) for i, text in rows if i in (3, None))

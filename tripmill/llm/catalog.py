@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tripmill.llm import cover_tree, exact_dedup, importance, language, licences, merkle, mixing, near_dedup, pieces, quality, resharding, toxicity, unigram, warc
+from tripmill.llm import (
+    cover_tree, exact_dedup, importance, language, licences, merkle, mixing, near_dedup,
+    pieces, quality, resharding, toxicity, unigram, warc,
+)
 from tripmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
