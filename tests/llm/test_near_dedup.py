@@ -149,3 +149,30 @@ def test_rows_of_an_id_stay_or_go_alike(documents):
     ]
     left = near_dedup.drop_near(documents(rows)).collect()
     assert sorted((row.doc_id or -1, row.text) for row in left) == sorted((i or -1, text) for i, text in rows if i in (3, None))
+
+
+def test_only_members_that_can_have_a_partner_meet(spark, monkeypatch):
+    """Texts that share a passage and have much of their own add no row to the join."""
+    rng = random.Random(11)
+    passage = words(150, 30)
+    rows = [(i, " ".join(passage + [f"o{i}x{n}" for n in range(60)])) for i in range(300)]
+    # Ten pairs in the crowd; the first one's text is one of two of its id.
+    rows += [(1_000 + i, " ".join(rows[i][1].split()[:-4] + list("wxyz"))) for i in range(10)]
+    rows += [(0, " ".join(words(50, 31)))]
+    rng.shuffle(rows)
+    sets = {text: shingle_set(text) for _, text in rows}
+    similar = {
+        (i, j) for i, a in rows for j, b in rows
+        if i < j and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])
+    }
+    assert similar == {(i, 1_000 + i) for i in range(10)}
+    hashes = near_dedup._WordHashes()
+    members = spark.createDataFrame(
+        [(i, i, near_dedup.shingles(text, hashes).tobytes()) for i, text in rows], "id long, root long, elements binary"
+    )
+    seen = []
+    meeting = near_dedup._meeting
+    monkeypatch.setattr(near_dedup, "_meeting", lambda rows, *rest: seen.append(rows.count()) or meeting(rows, *rest))
+    pairs = {(row.a, row.b) for row in near_dedup.rare_pairs(members).collect()}
+    assert similar <= pairs
+    assert seen[0] == sum(len(sets[text]) for i, text in rows if (i % 1_000 < 10 and len(sets[text]) > 60))

@@ -393,11 +393,31 @@ def _meeting(rows: DataFrame, facts: DataFrame, key: str, n: str, total: int) ->
     return rows.join(F.broadcast(hot), key).unionByName(others)
 
 
+def _with_partners(members: DataFrame) -> DataFrame:
+    """The members (id, root, elements) that can be similar enough to another one. Of a
+    pair, each has three quarters of its shingles in common with the other, so a member
+    with more than a quarter that nobody else has is in none. Texts that only share a
+    passage go here, before their shingles meet others. A row with its text is counted
+    apart from others of its id."""
+    row = F.xxhash64("id", "elements")
+    own = (
+        members.select(row.alias("id"), "root", "elements")
+        .mapInArrow(_elements, "shingle long, id long, root long, size long")
+        .groupBy("shingle")
+        .agg(F.count("*").alias("n"), F.min("id").alias("row"), F.min("size").alias("size"))
+        .where("n = 1")
+        .groupBy("row", "size")
+        .agg(F.count("*").alias("own"))
+    )
+    alone = own.where("4 * own > size").select("row")
+    return common.cut(members.join(alone, row == F.col("row"), "left_anti"))
+
+
 def rare_pairs(members: DataFrame) -> DataFrame:
     """(a, b), a < b, of members (id, root, elements) with different roots: all that can
     be similar enough.
 
-    Shingles are ordered: first those of one root only, which no pair has in common, then
+    Members that can have no partner are taken out first. Shingles are ordered: first those of one root only, which no pair has in common, then
     by the number of members that have them. Sets x and y, x the larger, that are similar
     enough have 3/7 of their sizes' sum in common, so a first common shingle within the
     first quarter of x and the first seventh of y, and enough left behind it in both.
@@ -405,6 +425,7 @@ def rare_pairs(members: DataFrame) -> DataFrame:
     these beginnings. Of two different roots one is not the most frequent one of a
     shingle, so members of a large component do not meet each other.
     """
+    members = _with_partners(members)
     every = members.mapInArrow(_elements, "shingle long, id long, root long, size long")
     total = members.agg(F.sum(F.octet_length("elements") / 8)).first()[0] or 0
     shared = (
