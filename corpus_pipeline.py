@@ -3,7 +3,8 @@ sources to target weights, SentencePiece encoding.
 
 Each stage takes all documents that its predecessor kept and returns whole rows with the
 columns of documents; the last returns the ids. Mixing keeps every row: its decision is
-the order in which the rows, and so the files written from them, come by name.
+the order in which the rows, and so the files written from them, come by name. Encoding
+takes the order from there: its rows have the position in the mix at which they are trained on.
 """
 
 from __future__ import annotations
@@ -37,7 +38,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return unigram.encode(docs, pieces.load(catalog.PIECES))
+    placed = mixing.read_back(docs).select("row.doc_id", "row.text", "position")
+    return unigram.encode(placed, pieces.load(catalog.PIECES), "position")
 
 
 STAGES = [

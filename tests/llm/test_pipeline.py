@@ -8,7 +8,7 @@ import corpus_pipeline
 from test_exact_dedup import expected as exact_groups
 from test_near_dedup import expected as near_groups
 from test_quality import expected as base_counts
-from tripmill.llm import mixing, quality
+from tripmill.llm import catalog, mixing, pieces, quality, unigram
 from tripmill.llm.common import cut, shared_folder, table
 
 SF = "/root/testdata/sf0.001"
@@ -91,3 +91,29 @@ def test_run_gives_the_last_stage_and_leaves_no_files(spark, stages):
     assert sorted(row.doc_id for row in result.collect()) == sorted(row.doc_id for row in stages[5][1].collect())
     folder = shared_folder(spark).removeprefix("file:")
     assert not [name for name in os.listdir(folder) if name.startswith("pipeline-")]
+
+
+def test_encoded_rows_have_their_place_in_the_mix(spark, stages, tmp_path):
+    placed = mixing.place(stages[3][1])
+    position = {row.doc_id: row.position for row in placed.select("row.doc_id", "position").collect()}
+    assert sorted(position.values()) == list(range(len(position)))
+    assert {row.doc_id: row.position for row in stages[5][1].collect()} == position
+    # As the stages hand on their rows: files of several sizes, which Spark reads in another order.
+    edges = [0, 3, 10, 12, 40, len(position)]
+    for name, (low, high) in enumerate(zip(edges, edges[1:])):
+        part = placed.where(f"position >= {low} AND position < {high}").orderBy("position").select("row.*")
+        part.coalesce(1).write.option("compression", "none").parquet(f"{tmp_path}/{name}")
+    read = spark.read.parquet(*(f"{tmp_path}/{name}" for name in range(len(edges) - 1)))
+    assert [row.doc_id for row in read.select("doc_id").collect()] != sorted(position, key=position.get)
+    encoded = corpus_pipeline.encode(spark, read, SF)
+    assert {row.doc_id: row.position for row in encoded.collect()} == position
+    assert encoded.drop("position").columns == unigram.encode(read, pieces.load(catalog.PIECES)).columns
+
+
+def test_every_row_of_a_read_mix_has_one_place(documents, odd_rows, tmp_path):
+    frame = documents(odd_rows)
+    frame.repartition(4).write.parquet(f"{tmp_path}/mix")
+    for mix in (frame, frame.sparkSession.read.parquet(f"{tmp_path}/mix"), frame.limit(0)):
+        rows = mixing.read_back(mix).collect()
+        assert sorted(row.position for row in rows) == list(range(mix.count()))
+        assert sorted(map(str, (row.row for row in rows))) == sorted(map(str, mix.collect()))

@@ -24,7 +24,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tripmill.llm import common
 
@@ -215,3 +216,26 @@ def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, block
         .sortWithinPartitions("position")
         .select("row.*")
     )
+
+
+def read_back(mix: DataFrame) -> DataFrame:
+    """(row, position): each document of a mix that was written and is read again, as a
+    struct, and where it comes in the mix, gapless from 0.
+
+    Spark packs files by size when it reads them, so rows do not come in the order of the
+    mix; that is the order of the files by name and of the rows in each, as `mixed` writes
+    them. A frame that is not read from Parquet files comes in its own order, for which it
+    is computed once. No rows give none.
+    """
+    row = F.struct("*").alias("row")
+    try:
+        file = mix.metadataColumn("_metadata")
+        rows = mix.select(row, file["file_path"].alias("part"), file["row_index"].alias("place"))
+    except AnalysisException:
+        mark = F.monotonically_increasing_id()
+        rows = common.cut(mix.select(row, F.shiftright(mark, 33).alias("part"), mark.bitwiseAND((1 << 33) - 1).alias("place")))
+    # One row per file.
+    sizes = rows.groupBy("part").agg((F.max("place") + 1).alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    begins = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
+    return rows.join(F.broadcast(begins), "part").select("row", (F.col("begin") + F.col("place")).alias("position"))

@@ -168,12 +168,13 @@ class Decoder:
         return [text[1:] if text.startswith(" ") else text for text in texts]
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(doc_id, n_pieces, n_byte_pieces, n_words, ids, round_trip) of every whole text.
+def encode(docs: DataFrame, vocabulary: Vocabulary, *carried: str) -> DataFrame:
+    """(doc_id, n_pieces, n_byte_pieces, n_words, ids, round_trip) of every whole text, and
+    the columns named in `carried` as they are.
 
     Words are runs of characters other than space and line end. A null or empty text has
     no ids; round_trip says that decoding the ids gives the text back (null: as empty).
-    Repeated rows are encoded alike; columns but doc_id and text are not read.
+    Repeated rows are encoded alike; columns but doc_id, text and `carried` are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
@@ -193,14 +194,13 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(first, len(texts)), pa.array(counts.astype(np.int64)),
                      pa.array(running[offsets[1:]] - running[offsets[:-1]]), pa.array(words, pa.int64()),
-                     ids, pa.array(same)],
-                    ["doc_id", "n_pieces", "n_byte_pieces", "n_words", "ids", "round_trip"],
+                     ids, pa.array(same), *(batch.column(name).slice(first, len(texts)) for name in carried)],
+                    ["doc_id", "n_pieces", "n_byte_pieces", "n_words", "ids", "round_trip", *carried],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run,
-        "doc_id long, n_pieces long, n_byte_pieces long, n_words long, ids array<int>, round_trip boolean",
-    )
+    fields = "doc_id long, n_pieces long, n_byte_pieces long, n_words long, ids array<int>, round_trip boolean"
+    more = (f", {name} {docs.schema[name].dataType.simpleString()}" for name in carried)
+    return docs.select(F.col("doc_id").cast("long"), "text", *carried).mapInArrow(run, fields + "".join(more))
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
